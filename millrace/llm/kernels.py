@@ -83,12 +83,30 @@ def gram_sets(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return (key & _GRAM_MASK).astype(np.int64), np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
 
 
-def set_keys(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 63-bit key of each row's gram set (0 for an empty set); equal sets have equal keys."""
+def set_ids(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit id of each row's gram set, as two int64; equal sets have equal ids.
+
+    96 bits are parities: bit k tells whether an odd number of the set's grams hash
+    to k. Where two ids differ in more of these bits than the sets may differ in
+    grams, the sets differ in too many grams, so most false candidates fall without
+    a look at the sets. 32 bits are a plain hash.
+    """
     size = np.diff(offsets)
-    out = np.zeros(len(size), np.int64)
+    high, low = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
     full = size > 0
     if full.any():
-        total = np.add.reduceat(mix(grams.astype(np.uint64) ^ _M2), offsets[:-1][full])
-        out[full] = (mix(total ^ size[full].astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
-    return out
+        start = offsets[:-1][full]
+        h = mix(grams.astype(np.uint64) ^ _M2)
+        bit = (h >> np.uint64(32)) % np.uint64(96)
+        first = bit < np.uint64(64)
+        one = np.uint64(1)
+        a = np.bitwise_xor.reduceat(np.where(first, one << (bit & np.uint64(63)), np.uint64(0)), start)
+        b = np.bitwise_xor.reduceat(np.where(first, np.uint64(0), one << (bit & np.uint64(31))), start)
+        plain = mix(np.add.reduceat(h, start) ^ size[full].astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+        high[full], low[full] = a.view(np.int64), (b << np.uint64(32) | plain).view(np.int64)
+    return high, low
+
+
+def differing_bits(h1: np.ndarray, l1: np.ndarray, h2: np.ndarray, l2: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of grams in one set but not the other."""
+    return np.bitwise_count((h1 ^ h2).view(np.uint64)).astype(np.int64) + np.bitwise_count((l1 ^ l2).view(np.uint64) >> np.uint64(32))

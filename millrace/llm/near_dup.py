@@ -27,14 +27,14 @@ def _postings(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) ->
         level, _, mass = shared.value
         cuts = np.maximum(1, np.ceil(16 * parts * mass / max(1.0, mass.sum()))).astype(np.int64)
         first = np.cumsum(cuts) - cuts
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for _, _, texts in J._batches(batches):
             g, at = J._grams(texts)
             n = np.diff(at)
-            cls = K.set_keys(g, at)
+            high, low = K.set_ids(g, at)
             key, _ = J.ordered(g, at, level, bits)
             new = np.zeros(len(n), bool)
-            for i, c in enumerate(cls.tolist()):
+            for i, c in enumerate(zip(high.tolist(), low.tolist())):
                 if n[i] and c not in seen:  # a class met twice in a task is sent once
                     seen.add(c)
                     new[i] = True
@@ -45,22 +45,22 @@ def _postings(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) ->
             row = np.repeat(np.arange(len(n)), n)[keep]
             lev, key, pos = key[keep] >> 44, key[keep], pos[keep]
             part = (first[lev] + ((key & ((1 << 44) - 1)) * cuts[lev] >> 44)) % parts
-            owner, size, block = cls[row], n[row], np.zeros(len(row), np.int64)
+            block = np.zeros(len(row), np.int64)
             count = 2.0 ** (lev / 6)
             hot = np.flatnonzero(count > J.HOT)
             if len(hot):
-                index, blk = J.blocks(key[hot], owner[hot], count[hot])
+                index, blk = J.blocks(low[row[hot]], count[hot])
                 cold = np.flatnonzero(count <= J.HOT)
                 take = np.concatenate([cold, hot[index]])
                 part = np.concatenate([part[cold], (part[hot[index]] + (K.mix(blk.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)) % parts])
-                key, owner, size, pos, block = key[take], owner[take], size[take], pos[take], np.concatenate([block[cold], blk])
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key), pa.array(owner), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(block)], ["part", "gram", "cls", "n", "pos", "block"])
+                key, row, pos, block = key[take], row[take], pos[take], np.concatenate([block[cold], blk])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key), pa.array(high[row]), pa.array(low[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(block)], ["part", "gram", "h", "l", "n", "pos", "block"])
 
-    return src.mapInArrow(run, "part int, gram long, cls long, n int, pos int, block long")
+    return src.mapInArrow(run, "part int, gram long, h long, l long, n int, pos int, block long")
 
 
 def _partial_overlaps(postings: DataFrame, t: tuple[int, int], parts: int) -> DataFrame:
-    """(a, b, shared) of each fragment: pairs of classes and how many of its grams they share.
+    """Pairs of classes of each fragment, and how many of its grams they share.
 
     A pair counts at a gram only if, given both sizes and both places in the order,
     the needed overlap can still be reached from there on; a pair at or above t has
@@ -71,35 +71,28 @@ def _partial_overlaps(postings: DataFrame, t: tuple[int, int], parts: int) -> Da
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        gram, cls, n, pos, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 6))
+        gram, h, l, n, pos, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 7))
         del held
         by = np.argsort(K.mix(gram.astype(np.uint64) ^ K.mix(block.astype(np.uint64))))
-        gram, cls, n, pos, block = gram[by], cls[by], n[by], pos[by], block[by]
+        gram, h, l, n, pos, block = gram[by], h[by], l[by], n[by], pos[by], block[by]
         same = (gram[1:] == gram[:-1]) & (block[1:] == block[:-1])
         edge = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
         end = np.repeat(edge[1:], np.diff(edge))
-        part, cross = J.own_part(cls, block), J.crosses(block)
-        at, step, found, waiting = np.arange(len(gram)), 1, [], 0
-        a = b = w = np.zeros(0, np.int64)
+        part, cross = J.own_part(l, block), J.crosses(block)
+        at, step, pairs = np.arange(len(gram)), 1, J.Pairs()
         while len(at):
             at = at[at + step < end[at]]
             x, y = at, at + step
-            ok = (cls[x] != cls[y]) & (~cross[x] | (part[x] != part[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= J.overlap_needed(t, n[x], n[y]))
+            ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= J.overlap_needed(t, n[x], n[y]))
+            x, y = x[ok], y[ok]
+            ok = J.close_enough(t, n[x], n[y], h[x], l[x], h[y], l[y])
             x, y = x[ok], y[ok]
             if len(x):
-                found.append((np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])))
-                waiting += len(x)
+                pairs.add(h[x], l[x], h[y], l[y], np.ones(len(x), np.int64))
             step += 1
-            if found and (waiting > 2_000_000 or not len(at)):
-                a, b, w = J.count_pairs(np.concatenate([a, *(p for p, _ in found)]), np.concatenate([b, *(q for _, q in found)]), np.concatenate([w, np.ones(waiting, np.int64)]))
-                found, waiting = [], 0
-        if found:
-            a, b, w = J.count_pairs(np.concatenate([a, *(p for p, _ in found)]), np.concatenate([b, *(q for _, q in found)]), np.concatenate([w, np.ones(waiting, np.int64)]))
-        for at0 in range(0, len(a), 50_000):
-            s = slice(at0, at0 + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(w[s])], ["a", "b", "shared"])
+        yield from pairs.batches()
 
-    return postings.repartitionById(parts, "part").mapInArrow(run, "a long, b long, shared long")
+    return postings.repartitionById(parts, "part").mapInArrow(run, J.PAIRS)
 
 
 def class_pairs(df: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +100,11 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, threshold: tuple[int,
     src = J.source(df, id_col, text_col)
     bits = J.sketch_bits(df.count())
     seen = cut(J.profile(src, bits), "kind")
-    members = seen.where("kind = 0").select("cls", "rid", "n")
+    members = seen.where("kind = 0").select("h", "l", "rid", "n")
     order = J.Order(df.sparkSession, seen.where("kind = 1"), bits)
     parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
     partial = _partial_overlaps(_postings(src, order, threshold, parts), threshold, parts)
-    pairs = cut(partial.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
+    pairs = cut(partial.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("shared")))
     return members, cut(J.similar(src, members, pairs, threshold))
 
 
@@ -129,11 +122,10 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "record_id", text_col: str
     gives an empty result; other columns are not read.
     """
     members, pairs = class_pairs(df, id_col, text_col, threshold)
-    a, b = members.select(F.col("cls").alias("a"), F.col("rid").alias("ra")), members.select(F.col("cls").alias("b"), F.col("rid").alias("rb"))
-    between = pairs.select("a", "b").join(a, "a").join(b, "b").select("ra", "rb")
-    twice = members.groupBy("cls").count().where("count > 1").select("cls")
-    copies = members.join(twice, "cls", "left_semi").select(F.col("cls").alias("a"), F.col("rid").alias("ra"))
-    within = copies.join(copies.select("a", F.col("ra").alias("rb")), "a").where("ra < rb").select("ra", "rb")
+    between = pairs.select("ah", "al", "bh", "bl").join(members.select(F.col("h").alias("ah"), F.col("l").alias("al"), F.col("rid").alias("ra")), ["ah", "al"]).join(members.select(F.col("h").alias("bh"), F.col("l").alias("bl"), F.col("rid").alias("rb")), ["bh", "bl"]).select("ra", "rb")
+    twice = members.groupBy("h", "l").count().where("count > 1").select("h", "l")
+    copies = members.join(twice, ["h", "l"], "left_semi").select("h", "l", F.col("rid").alias("ra"))
+    within = copies.join(copies.select("h", "l", F.col("ra").alias("rb")), ["h", "l"]).where("ra < rb").select("ra", "rb")
     both = between.unionByName(within)
     return both.where("ra <> rb").select(F.least("ra", "rb").alias("record_id_a"), F.greatest("ra", "rb").alias("record_id_b"))
 
@@ -145,9 +137,10 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "record_id", text_col: st
     of its own class, itself included. Groups are connected components.
     """
     members, pairs = class_pairs(df, id_col, text_col, threshold)
-    label = components(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
-    classes = members.groupBy("cls").agg(F.min("rid").alias("least"), F.count(F.lit(1)).alias("copies")).join(degree, "cls", "left").join(label.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    heads = classes.groupBy("label").agg(F.min("least").alias("group_id"))
-    of = classes.join(heads, "label").select("cls", "group_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies")
-    return members.join(of, "cls").select(F.col("rid").alias("record_id"), "group_id", "links", "copies")
+    node = members.groupBy("h", "l").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("copies"))
+    node = cut(node)
+    links = cut(pairs.join(node.select(F.col("h").alias("ah"), F.col("l").alias("al"), F.col("node").alias("x")), ["ah", "al"]).join(node.select(F.col("h").alias("bh"), F.col("l").alias("bl"), F.col("node").alias("y")), ["bh", "bl"]).select("x", "y"))
+    label = components(links).select("node", F.col("label").alias("group_id"))
+    degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    of = node.join(degree, "node", "left").join(label, "node", "left").select("h", "l", F.coalesce("group_id", "node").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "copies")
+    return members.join(of, ["h", "l"]).select(F.col("rid").alias("record_id"), "group_id", "links", "copies")

@@ -32,7 +32,7 @@ CHUNK = 1 << 16
 HOT = 20_000
 BLOB = 5
 
-PROFILE = "kind tinyint, cls long, rid long, side tinyint, n int, slot int, blob binary"
+PROFILE = "kind tinyint, h long, l long, rid long, side tinyint, n int, slot int, blob binary"
 
 
 def sketch_bits(rows: int) -> int:
@@ -70,7 +70,7 @@ def profile(src: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << bits), np.uint32)
-        names = ["kind", "cls", "rid", "side", "n", "slot", "blob"]
+        names = ["kind", "h", "l", "rid", "side", "n", "slot", "blob"]
         for rid, side, texts in _batches(batches):
             g, at = _grams(texts)
             n = np.diff(at)
@@ -82,13 +82,14 @@ def profile(src: DataFrame, bits: int) -> DataFrame:
                     np.add.at(counts[s], own, 1)
             keep = n > 0
             m = int(keep.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(K.set_keys(g, at)[keep]), pa.array(rid[keep].astype(np.int64)), pa.array(side[keep].astype(np.int8)), pa.array(n[keep].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            high, low = K.set_ids(g, at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(high[keep]), pa.array(low[keep]), pa.array(rid[keep].astype(np.int64)), pa.array(side[keep].astype(np.int8)), pa.array(n[keep].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for s in (0, 1):
             for c in range(0, 1 << bits, CHUNK):
                 part = counts[s, c : c + CHUNK]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([c // CHUNK], pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int8()), pa.nulls(1, pa.int32()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([c // CHUNK], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int8()), pa.nulls(1, pa.int32()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
 
     return src.mapInArrow(run, PROFILE)
 
@@ -100,19 +101,19 @@ def _sum_chunks(table: pa.Table) -> pa.Table:
         total[: len(part)] += part
     total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
     first = table.slice(0, 1)
-    return pa.table({"side": first.column("side"), "cls": first.column("cls"), "slot": first.column("slot"), "blob": pa.array([zlib.compress(total.tobytes(), 1)])})
+    return pa.table({"side": first.column("side"), "h": first.column("h"), "slot": first.column("slot"), "blob": pa.array([zlib.compress(total.tobytes(), 1)])})
 
 
 class Order:
     """The global order on the driver: a level byte per counter and which sides have it."""
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, bits: int):
-        schema = "side tinyint, cls long, slot int, blob binary"
-        part = chunks.select("side", "cls", "slot", "blob").groupBy("side", "cls", "slot").applyInArrow(_sum_chunks, schema)
+        schema = "side tinyint, h long, slot int, blob binary"
+        part = chunks.select("side", "h", "slot", "blob").groupBy("side", "h", "slot").applyInArrow(_sum_chunks, schema)
         counts = np.zeros((2, max(CHUNK, 1 << bits)), np.uint64)
-        for r in part.groupBy("side", "cls").applyInArrow(_sum_chunks, schema).collect():
+        for r in part.groupBy("side", "h").applyInArrow(_sum_chunks, schema).collect():
             data = np.frombuffer(zlib.decompress(r.blob), np.uint32)
-            counts[r.side, r.cls * CHUNK : r.cls * CHUNK + len(data)] = data
+            counts[r.side, r.h * CHUNK : r.h * CHUNK + len(data)] = data
         counts = counts[:, : 1 << bits]
         total = counts.sum(axis=0)
         self.bits, self.grams = bits, int(total.sum())
@@ -146,7 +147,7 @@ def ordered(g: np.ndarray, at: np.ndarray, level: np.ndarray, bits: int) -> tupl
     return (key & np.uint64((1 << 52) - 1)).astype(np.int64), (K.mix(u) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def blocks(order_key: np.ndarray, cls: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def blocks(cls: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of posting, block) for postings of grams with more than HOT postings.
 
     The classes of such a gram fall in S parts by hash; a posting goes to the S
@@ -171,25 +172,57 @@ def crosses(block: np.ndarray) -> np.ndarray:
     return (block > 0) & (pair // 4096 != pair % 4096)
 
 
-def count_pairs(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and the sum of their weights."""
-    if not len(a):
-        return a, b, w
-    by = np.argsort(K.mix(a.astype(np.uint64)) ^ (b.astype(np.uint64) << np.uint64(1)))
-    a, b, w = a[by], b[by], w[by]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return a[new], b[new], np.add.reduceat(w, new)
+def close_enough(t: tuple[int, int], na: np.ndarray, nb: np.ndarray, ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Whether two sets can be similar by the parities of their ids; never false for a similar pair."""
+    return K.differing_bits(ha, la, hb, lb) <= na + nb - 2 * overlap_needed(t, na, nb)
+
+
+class Pairs:
+    """Distinct pairs of ids with summed weights, compressed as they come."""
+
+    def __init__(self) -> None:
+        self.rows, self.waiting, self.parts = [np.zeros(0, np.int64)] * 5, 0, []
+
+    def add(self, ha, la, hb, lb, w) -> None:
+        swap = (ha > hb) | ((ha == hb) & (la > lb))
+        self.parts.append([np.where(swap, hb, ha), np.where(swap, lb, la), np.where(swap, ha, hb), np.where(swap, la, lb), w])
+        self.waiting += len(ha)
+        if self.waiting > 2_000_000:
+            self.compress()
+
+    def compress(self) -> None:
+        if not self.parts:
+            return
+        cols = [np.concatenate([c, *(p[k] for p in self.parts)]) for k, c in enumerate(self.rows)]
+        self.parts, self.waiting = [], 0
+        u = [c.view(np.uint64) for c in cols[:4]]
+        by = np.argsort(K.mix(u[0] ^ K.mix(u[1] ^ K.mix(u[2] ^ K.mix(u[3])))))
+        cols = [c[by] for c in cols]
+        differ = np.zeros(max(0, len(by) - 1), bool)
+        for c in cols[:4]:
+            differ |= c[1:] != c[:-1]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(by)), bool), differ]))
+        self.rows = [c[new] for c in cols[:4]] + [np.add.reduceat(cols[4], new) if len(new) else cols[4]]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.compress()
+        for at in range(0, len(self.rows[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000]) for c in self.rows], ["ah", "al", "bh", "bl", "w"])
+
+
+PAIRS = "ah long, al long, bh long, bl long, w long"
 
 
 def similar(src: DataFrame, members: DataFrame, pairs: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The exact check of candidate class pairs: (a, b, na, nb, overlap) of those at or above t.
+    """The exact check of candidate class pairs: (ah, al, bh, bl, na, nb, overlap) of those at or above t.
 
     Only classes that occur in a pair have their sets built again. A bitmap of
     those rows (1 MB, whatever the data) keeps the rest from being tokenised; the
     join decides, the bitmap only saves work.
     """
     spark = src.sparkSession
-    reps = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(members.groupBy("cls").agg(F.min("rid").alias("rid")), "cls")
+    in_pairs = pairs.select(F.explode(F.array(F.struct(F.col("ah").alias("h"), F.col("al").alias("l")), F.struct(F.col("bh").alias("h"), F.col("bl").alias("l")))).alias("c")).select("c.h", "c.l").distinct()
+    reps = members.join(in_pairs, ["h", "l"], "left_semi").groupBy("h", "l").agg(F.min("rid").alias("rid"))
     reps = cut(reps)
     bits = 23
 
@@ -225,7 +258,7 @@ def similar(src: DataFrame, members: DataFrame, pairs: DataFrame, t: tuple[int,
                 data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((off * BLOB).astype(np.int32).tobytes()), pa.py_buffer(packed)])
                 yield pa.RecordBatch.from_arrays([part.column(0), data], ["rid", "grams"])
 
-    sets = src.mapInArrow(blobs, "rid long, grams binary").join(reps, "rid").select("cls", "grams")
+    sets = src.mapInArrow(blobs, "rid long, grams binary").join(reps, "rid").select("h", "l", "grams")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +277,7 @@ def similar(src: DataFrame, members: DataFrame, pairs: DataFrame, t: tuple[int,
                 both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(8 * BLOB)).astype(np.int64), minlength=part.num_rows)
                 na, nb = sizes
                 ok = both * t[1] >= t[0] * (na + nb - both)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok)), *(pa.array(x[ok].astype(np.int32)) for x in (na, nb, both))], ["a", "b", "na", "nb", "overlap"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).filter(pa.array(ok)) for k in range(4)), *(pa.array(x[ok].astype(np.int32)) for x in (na, nb, both))], ["ah", "al", "bh", "bl", "na", "nb", "overlap"])
 
-    full = pairs.select("a", "b").join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
-    return full.mapInArrow(count, "a long, b long, na int, nb int, overlap int")
+    full = pairs.select("ah", "al", "bh", "bl").join(sets.toDF("ah", "al", "ga"), ["ah", "al"]).join(sets.toDF("bh", "bl", "gb"), ["bh", "bl"]).select("ah", "al", "bh", "bl", "ga", "gb")
+    return full.mapInArrow(count, "ah long, al long, bh long, bl long, na int, nb int, overlap int")
