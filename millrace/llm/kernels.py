@@ -62,6 +62,16 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), np.repeat(np.arange(len(texts)), np.diff(at))[starts]
 
 
+def _grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(44-bit id of the gram at each token, whether the n tokens lie in one row)."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    g = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        g = mix(g * _M3 + h[k : len(h) - n + 1 + k])
+    return g & _GRAM_MASK, row[: len(g)] == row[n - 1 :]
+
+
 def gram_sets(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(gram ids, offsets): row i holds its distinct n-token grams, ascending, at offsets[i]:offsets[i+1].
 
@@ -69,20 +79,35 @@ def gram_sets(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     overlap from the true one with a chance of about 1e-9.
     """
     h, row = tokens(texts)
-    rows = len(texts)
-    if len(h) < n:
-        return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
-    g = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        g = mix(g * _M3 + h[k : len(h) - n + 1 + k])
-    ok = row[: len(g)] == row[n - 1 :]
-    key = (row[: len(g)][ok].astype(np.uint64) << np.uint64(GRAM_BITS)) | (g[ok] & _GRAM_MASK)
+    g, ok = _grams(h, row, n)
+    key = (row[: len(g)][ok].astype(np.uint64) << np.uint64(GRAM_BITS)) | g[ok]
     key.sort()
     key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
-    size = np.bincount((key >> np.uint64(GRAM_BITS)).astype(np.int64), minlength=rows)
+    size = np.bincount((key >> np.uint64(GRAM_BITS)).astype(np.int64), minlength=len(texts))
     return (key & _GRAM_MASK).astype(np.int64), np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
 
 
+def suffixes(texts: list[str], n: int = 3, more: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, row, place, continuation) of every suffix of at least n tokens.
+
+    The continuation holds the ``more`` tokens after the gram, 16 bits of each,
+    first token highest, 0 beyond the end of the text: suffixes sorted by gram and
+    continuation are a suffix array to a depth of n + more tokens.
+    """
+    h, row = tokens(texts)
+    g, ok = _grams(h, row, n)
+    at = np.flatnonzero(ok)
+    far = np.concatenate([h, np.zeros(n + more, np.uint64)])
+    of = np.concatenate([row, np.full(n + more, -1)])
+    cont = np.zeros(len(at), np.uint64)
+    for k in range(more):
+        there = at + n + k
+        lane = np.where(of[there] == row[at], (far[there] & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0))
+        cont = cont << np.uint64(16) | lane
+    begin = np.searchsorted(row, np.arange(len(texts)))
+    return g[at], row[at], at - begin[row[at]], cont
+
+
 def set_ids(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 128-bit id of each row's gram set, as two int64; equal sets have equal ids.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, near_dup, packing
+from . import cross_split, encoding, group_splits, leakage, near_dup, packing, pair_defects, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +44,55 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p8_containers")
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.cross_split_pairs(table(spark, sf_dir, "assemble_v5"))
+
+
+@query("p4_report")
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "assemble_v5")
+    return cross_split.overlap_report(rows, cross_split.cross_split_pairs(rows))
+
+
+@query("p1_found", "SELECT id FROM corpus_builder WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12288))) > 2048")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "corpus_builder")).where("piece = 0").select("id")
+
+
+@query("p1_pieces")
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "corpus_builder"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_splits.related_pairs(table(spark, sf_dir, "assemble_v5"))
+
+
+@query("p3_splits")
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_splits.assign_splits(table(spark, sf_dir, "assemble_v5"))
+
+
+@query("p3_balance")
+def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "assemble_v5")
+    return group_splits.split_balance(group_splits.assign_splits(rows), rows)
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.rows_of(spark, sf_dir).select("table_name", "row_id", "item_id")
+
+
+@query("p5_leaks")
+def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.rows_of(spark, sf_dir)
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.pair_defects(table(spark, sf_dir, "data_build"))
