@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_split, encoding, group_splits, leakage, near_dup, packing, pair_defects, splitting
+from . import cross_split, encoding, group_splits, leakage, near_dup, packing, pair_defects, splitting, subjects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,13 @@ def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.pair_defects(table(spark, sf_dir, "data_build"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(*(table(spark, sf_dir, n) for n in ("documents", "subject_areas", "subject_labels")))
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(p9_found(spark, sf_dir), table(spark, sf_dir, "documents"))
