@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,48 +15,96 @@ from ..shared import cut
 from . import kernels as K
 from . import setjoin as J
 
-SUFFIX = "part int, gram long, cont long, h long, l long, n int, pos int, place int, side tinyint, block long"
+SUFFIX = "part int, gram long, cont long, h long, l long, x long, n int, pos int, place int, side tinyint, block long"
+#: Parities of a set that travel with its suffixes.
+BINS = 160
 
 
-def _suffixes(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) -> DataFrame:
-    """The suffixes that can start a span shared with the other side.
+def _scaled(values: np.ndarray, up: bool) -> np.ndarray:
+    """Sizes on a logarithmic scale of one byte, rounded to the safe side."""
+    q = 16 * np.log2(np.maximum(1, values))
+    return np.clip(np.ceil(q + 1e-9) if up else np.floor(q + 1e-9), 1, 255).astype(np.uint8)
+
+
+class _Rare:
+    """The suffixes of a batch that can start a span shared with the other side, by what is known so far.
 
     A text that is similar enough to another shares one of its rarest grams with it
-    (as many as may be missing, and one more); of each such gram one suffix is kept,
-    and only if the sketch of the other side has the gram at all. Suffixes go to
-    partitions by their first three tokens, so a partition owns whole intervals of
-    the suffix array of all texts.
+    (as many as may be missing, and one more). One suffix is kept of each such gram,
+    if the sketch of the other side has the gram at all.
     """
+
+    def __init__(self, texts: list, side: np.ndarray, level: np.ndarray, sides: np.ndarray, bits: int, t: tuple[int, int]):
+        g, row, place, cont = K.suffixes([K.fold(x) for x in texts])
+        slot = (K.mix(g) >> np.uint64(64 - bits)).astype(np.int64)
+        key = (row.astype(np.uint64) << np.uint64(52)) | (level[slot].astype(np.uint64) << np.uint64(44)) | g
+        by = np.argsort(key)
+        key = key[by]
+        by = by[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
+        self.g, self.row, self.place, self.cont, self.slot = g[by], row[by], place[by], cont[by], slot[by]
+        self.n = np.bincount(self.row, minlength=len(texts))
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.pos = np.arange(len(by)) - np.repeat(self.at[:-1], self.n)
+        size = self.n[self.row]
+        self.side = side[self.row].astype(np.int64)
+        self.keep = (self.pos < size - J.least(t, size) + 1) & ((sides[self.slot] >> (1 - self.side)) & 1 > 0)
+        #: the largest partner that can still be similar if this is the first gram they share
+        self.largest = (t[0] + t[1]) * (size - self.pos) // t[0] - size
+        self.size = size
+
+
+def _reach(src: DataFrame, order: J.Order, t: tuple[int, int]) -> np.ndarray:
+    """For each side and counter, the smallest text with such a suffix and the largest partner one of them allows."""
     shared, bits = order.shared, order.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, sides, _ = shared.value
+        found = np.zeros((4, 1 << bits), np.uint8)
+        for _, side, texts in J._batches(batches):
+            r = _Rare(texts, side, level, sides, bits, t)
+            for s in (0, 1):
+                own = np.flatnonzero(r.keep & (r.side == s))
+                np.maximum.at(found[s], r.slot[own], 255 - _scaled(r.size[own], False) + 1)
+                np.maximum.at(found[2 + s], r.slot[own], _scaled(r.largest[own], True))
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for s in range(4):
+            for c in range(0, 1 << bits, J.CHUNK):
+                part = found[s, c : c + J.CHUNK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int8()), pa.array([c // J.CHUNK], pa.int64()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["side", "h", "slot", "blob"])
+
+    return J.merge_chunks(src.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), bits, 4, np.uint8, np.maximum)
+
+
+def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, int], parts: int) -> DataFrame:
+    """The suffixes worth sending: those that some suffix of the other side, by its text's size, can go with.
+
+    Suffixes go to partitions by their first three tokens, so a partition owns whole
+    intervals of the suffix array of all texts.
+    """
+    shared, bits, bound = order.shared, order.bits, src.sparkSession.sparkContext.broadcast(reach)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, sides, _ = shared.value
+        reached = bound.value
         seen: set[tuple[int, int, int]] = set()
         for _, side, texts in J._batches(batches):
-            g, row, place, cont = K.suffixes([K.fold(x) for x in texts])
-            slot = (K.mix(g) >> np.uint64(64 - bits)).astype(np.int64)
-            key = (row.astype(np.uint64) << np.uint64(52)) | (level[slot].astype(np.uint64) << np.uint64(44)) | g
-            by = np.argsort(key)
-            key = key[by]
-            by = by[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
-            g, row, place, cont, slot = g[by], row[by], place[by], cont[by], slot[by]
-            n = np.bincount(row, minlength=len(texts))
-            at = np.concatenate([[0], np.cumsum(n)])
-            high, low = K.set_ids(g, at)
-            new = np.zeros(len(n), bool)
+            r = _Rare(texts, side, level, sides, bits, t)
+            high, low, more = K.set_ids(r.g.astype(np.int64), r.at, BINS)
+            new = np.zeros(len(r.n), bool)
             for i, c in enumerate(zip(high.tolist(), low.tolist(), side.tolist())):
-                if n[i] and c not in seen:
+                if r.n[i] and c not in seen:  # a class met twice in a task is sent once
                     seen.add(c)
                     new[i] = True
             if len(seen) > 1_000_000:
                 seen.clear()
-            pos = np.arange(len(g)) - np.repeat(at[:-1], n)
-            keep = (pos < np.repeat(n - J.least(t, n) + 1, n)) & np.repeat(new, n)
-            keep &= (sides[slot] >> (1 - side[row].astype(np.int64))) & 1 > 0
+            least, most = reached[1 - r.side, r.slot].astype(np.float64), reached[3 - r.side, r.slot].astype(np.float64)
+            keep = r.keep & new[r.row] & (least > 0)
+            keep &= (r.largest * (1 + 1e-6) >= 2.0 ** ((256 - least) / 16)) & ((most == 255) | (2.0 ** (most / 16) * (1 + 1e-6) >= r.size))
             keep = np.flatnonzero(keep)
-            row, pos, block = row[keep], pos[keep], np.zeros(len(keep), np.int64)
-            part = (K.mix(g[keep] ^ K._M3) % np.uint64(parts)).astype(np.int64)
-            count = 2.0 ** (level[slot[keep]] / 6)
+            row, pos, block = r.row[keep], r.pos[keep], np.zeros(len(keep), np.int64)
+            part = (K.mix(r.g[keep] ^ K._M3) % np.uint64(parts)).astype(np.int64)
+            count = 2.0 ** (level[r.slot[keep]] / 6)
             hot = np.flatnonzero(count > J.HOT)
             if len(hot):
                 index, blk = J.blocks(low[row[hot]], count[hot])
@@ -62,7 +112,7 @@ def _suffixes(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) ->
                 take = np.concatenate([cold, hot[index]])
                 part = np.concatenate([part[cold], (part[hot[index]] + (K.mix(blk.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)) % parts])
                 keep, row, pos, block = keep[take], row[take], pos[take], np.concatenate([block[cold], blk])
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(g[keep].astype(np.int64)), pa.array(cont[keep].view(np.int64)), pa.array(high[row]), pa.array(low[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(side[row].astype(np.int8)), pa.array(block)], ["part", "gram", "cont", "h", "l", "n", "pos", "place", "side", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(r.g[keep].astype(np.int64)), pa.array(r.cont[keep].view(np.int64)), pa.array(high[row]), pa.array(low[row]), pa.array(more[row]), pa.array(r.n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(r.place[keep].astype(np.int32)), pa.array(side[row].astype(np.int8)), pa.array(block)], ["part", "gram", "cont", "h", "l", "x", "n", "pos", "place", "side", "block"])
 
     return src.mapInArrow(run, SUFFIX)
 
@@ -80,10 +130,10 @@ def _shared_spans(suffixes: DataFrame, t: tuple[int, int], parts: int) -> DataFr
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        gram, cont, h, l, n, pos, place, side, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 10))
+        gram, cont, h, l, extra, n, pos, place, side, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 11))
         del held
         by = np.lexsort((cont.view(np.uint64), block, gram))
-        gram, cont, h, l, n, pos, place, side, block = gram[by], cont[by], h[by], l[by], n[by], pos[by], place[by], side[by], block[by]
+        gram, cont, h, l, extra, n, pos, place, side, block = (c[by] for c in (gram, cont, h, l, extra, n, pos, place, side, block))
         same = (gram[1:] == gram[:-1]) & (block[1:] == block[:-1])
         edge = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
         part, cross = J.own_part(l, block), J.crosses(block)
@@ -101,7 +151,7 @@ def _shared_spans(suffixes: DataFrame, t: tuple[int, int], parts: int) -> DataFr
             at = end
             ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= J.overlap_needed(t, n[x], n[y]))
             x, y = x[ok], y[ok]
-            ok = J.close_enough(t, n[x], n[y], h[x], l[x], h[y], l[y])
+            ok = K.differing_bits(h[x], l[x], h[y], l[y]) + np.bitwise_count((extra[x] ^ extra[y]).view(np.uint64)) <= J.may_differ(t, n[x], n[y])
             x, y = x[ok], y[ok]
             if not len(x):
                 continue
@@ -139,11 +189,12 @@ def cross_split_pairs(df: DataFrame, id_col: str = "record_id", text_col: str =
     """
     src = J.source(df, id_col, text_col, side_of(df[split_col]))
     bits = J.sketch_bits(df.count())
-    seen = cut(J.profile(src, bits), "kind")
+    seen = cut(J.profile(src, bits, BINS), "kind")
     members = seen.where("kind = 0").select("h", "l", "rid", "side")
     order = J.Order(df.sparkSession, seen.where("kind = 1"), bits)
     parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
-    spans = _shared_spans(_suffixes(src, order, threshold, parts), threshold, parts)
+    reach = _reach(src, order, threshold)
+    spans = _shared_spans(_suffixes(src, order, reach, threshold, parts), threshold, parts)
     pairs = cut(spans.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("covered")))
     found = cut(J.similar(src, members, pairs, threshold))
     side = lambda k: members.select(F.col("h").alias(f"{k}h"), F.col("l").alias(f"{k}l"), F.col("rid").alias(f"r{k}"), F.col("side").alias(f"s{k}"))

@@ -108,28 +108,31 @@ def suffixes(texts: list[str], n: int = 3, more: int = 4) -> tuple[np.ndarray, n
     return g[at], row[at], at - begin[row[at]], cont
 
 
-def set_ids(grams: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit id of each row's gram set, as two int64; equal sets have equal ids.
-
-    96 bits are parities: bit k tells whether an odd number of the set's grams hash
-    to k. Where two ids differ in more of these bits than the sets may differ in
-    grams, the sets differ in too many grams, so most false candidates fall without
-    a look at the sets. 32 bits are a plain hash.
+def set_ids(grams: np.ndarray, offsets: np.ndarray, bins: int = 96) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 128-bit id of each row's gram set, as two int64, and further parities; equal sets have equal ids.
+
+    Bit k of ``bins`` parities tells whether an odd number of the set's grams hash to
+    k. Where two sets differ in more of these bits than they may differ in grams, they
+    differ in too many grams, so most false candidates fall without a look at the
+    sets. The id holds 96 parities and 32 bits of a plain hash; parities beyond 96
+    (at most 160) are in the third array.
     """
     size = np.diff(offsets)
-    high, low = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    out = [np.zeros(len(size), np.uint64) for _ in range(3)]
     full = size > 0
     if full.any():
         start = offsets[:-1][full]
         h = mix(grams.astype(np.uint64) ^ _M2)
-        bit = (h >> np.uint64(32)) % np.uint64(96)
-        first = bit < np.uint64(64)
-        one = np.uint64(1)
-        a = np.bitwise_xor.reduceat(np.where(first, one << (bit & np.uint64(63)), np.uint64(0)), start)
-        b = np.bitwise_xor.reduceat(np.where(first, np.uint64(0), one << (bit & np.uint64(31))), start)
+        bit = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+        one = np.uint64(1) << (bit & np.uint64(63))
+        word = bit >> np.uint64(6)
+        parity = [np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), start) if 64 * w < bins else np.uint64(0) for w in range(3)]
         plain = mix(np.add.reduceat(h, start) ^ size[full].astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-        high[full], low[full] = a.view(np.int64), (b << np.uint64(32) | plain).view(np.int64)
-    return high, low
+        low = np.uint64(0xFFFFFFFF)
+        out[0][full] = parity[0]
+        out[1][full] = (parity[1] & low) << np.uint64(32) | plain
+        out[2][full] = (parity[1] >> np.uint64(32)) | (parity[2] << np.uint64(32))
+    return tuple(x.view(np.int64) for x in out)
 
 
 def differing_bits(h1: np.ndarray, l1: np.ndarray, h2: np.ndarray, l2: np.ndarray) -> np.ndarray:

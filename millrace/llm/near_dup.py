@@ -31,7 +31,7 @@ def _postings(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) ->
         for _, _, texts in J._batches(batches):
             g, at = J._grams(texts)
             n = np.diff(at)
-            high, low = K.set_ids(g, at)
+            high, low, _ = K.set_ids(g, at)
             key, _ = J.ordered(g, at, level, bits)
             new = np.zeros(len(n), bool)
             for i, c in enumerate(zip(high.tolist(), low.tolist())):
@@ -85,7 +85,7 @@ def _partial_overlaps(postings: DataFrame, t: tuple[int, int], parts: int) -> Da
             x, y = at, at + step
             ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= J.overlap_needed(t, n[x], n[y]))
             x, y = x[ok], y[ok]
-            ok = J.close_enough(t, n[x], n[y], h[x], l[x], h[y], l[y])
+            ok = K.differing_bits(h[x], l[x], h[y], l[y]) <= J.may_differ(t, n[x], n[y])
             x, y = x[ok], y[ok]
             if len(x):
                 pairs.add(h[x], l[x], h[y], l[y], np.ones(len(x), np.int64))

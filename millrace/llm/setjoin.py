@@ -65,7 +65,7 @@ def source(df: DataFrame, id_col: str, text_col: str, side: Column | None = None
     return df.select(df[id_col].cast("long").alias("rid"), side.cast("tinyint").alias("side"), df[text_col].cast("string").alias("text")).where("rid is not null and side is not null and text is not null")
 
 
-def profile(src: DataFrame, bits: int) -> DataFrame:
+def profile(src: DataFrame, bits: int, bins: int = 96) -> DataFrame:
     """One pass: rows of kind 0 give each row's class, rows of kind 1 chunks of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,7 @@ def profile(src: DataFrame, bits: int) -> DataFrame:
                     np.add.at(counts[s], own, 1)
             keep = n > 0
             m = int(keep.sum())
-            high, low = K.set_ids(g, at)
+            high, low, _ = K.set_ids(g, at, bins)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(high[keep]), pa.array(low[keep]), pa.array(rid[keep].astype(np.int64)), pa.array(side[keep].astype(np.int8)), pa.array(n[keep].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for s in (0, 1):
@@ -94,27 +94,33 @@ def profile(src: DataFrame, bits: int) -> DataFrame:
     return src.mapInArrow(run, PROFILE)
 
 
-def _sum_chunks(table: pa.Table) -> pa.Table:
+def _merged(table: pa.Table, kind: type, merge) -> pa.Table:
     total = np.zeros(CHUNK, np.uint64)
     for blob in table.column("blob").to_pylist():
-        part = np.frombuffer(zlib.decompress(blob), np.uint32)
-        total[: len(part)] += part
-    total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
+        part = np.frombuffer(zlib.decompress(blob), kind)
+        total[: len(part)] = merge(total[: len(part)], part)
+    total = np.minimum(total, np.iinfo(kind).max).astype(kind)
     first = table.slice(0, 1)
     return pa.table({"side": first.column("side"), "h": first.column("h"), "slot": first.column("slot"), "blob": pa.array([zlib.compress(total.tobytes(), 1)])})
 
 
+def merge_chunks(chunks: DataFrame, bits: int, sides: int, kind: type, merge) -> np.ndarray:
+    """The merged sketch on the driver, ``sides`` arrays of 2**bits; merged in two levels, so no task reads all chunks."""
+    schema = "side tinyint, h long, slot int, blob binary"
+    one = lambda table: _merged(table, kind, merge)
+    part = chunks.select("side", "h", "slot", "blob").groupBy("side", "h", "slot").applyInArrow(one, schema)
+    out = np.zeros((sides, max(CHUNK, 1 << bits)), kind)
+    for r in part.groupBy("side", "h").applyInArrow(one, schema).collect():
+        data = np.frombuffer(zlib.decompress(r.blob), kind)
+        out[r.side, r.h * CHUNK : r.h * CHUNK + len(data)] = data
+    return out[:, : 1 << bits]
+
+
 class Order:
     """The global order on the driver: a level byte per counter and which sides have it."""
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, bits: int):
-        schema = "side tinyint, h long, slot int, blob binary"
-        part = chunks.select("side", "h", "slot", "blob").groupBy("side", "h", "slot").applyInArrow(_sum_chunks, schema)
-        counts = np.zeros((2, max(CHUNK, 1 << bits)), np.uint64)
-        for r in part.groupBy("side", "h").applyInArrow(_sum_chunks, schema).collect():
-            data = np.frombuffer(zlib.decompress(r.blob), np.uint32)
-            counts[r.side, r.h * CHUNK : r.h * CHUNK + len(data)] = data
-        counts = counts[:, : 1 << bits]
+        counts = merge_chunks(chunks, bits, 2, np.uint32, np.add).astype(np.uint64)
         total = counts.sum(axis=0)
         self.bits, self.grams = bits, int(total.sum())
         level = level_of(total)
@@ -172,9 +178,9 @@ def crosses(block: np.ndarray) -> np.ndarray:
     return (block > 0) & (pair // 4096 != pair % 4096)
 
 
-def close_enough(t: tuple[int, int], na: np.ndarray, nb: np.ndarray, ha: np.ndarray, la: np.ndarray, hb: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Whether two sets can be similar by the parities of their ids; never false for a similar pair."""
-    return K.differing_bits(ha, la, hb, lb) <= na + nb - 2 * overlap_needed(t, na, nb)
+def may_differ(t: tuple[int, int], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """In how many grams two sets of these sizes may differ; parities that differ in more bits rule a pair out."""
+    return na + nb - 2 * overlap_needed(t, na, nb)
 
 
 class Pairs:
