@@ -1,33 +1,8 @@
-"""Named queries over the test tables and the SQL that gives the same rows."""
+"""Named queries over the test tables, by the inventory's numbers, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .registry import QUERIES, SQL  # noqa: F401
+from . import q_gates, q_relations, q_dedup, q_scores, q_sources, q_tables  # noqa: F401  each registers its queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "a01_count_by_subset"
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL if SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-@query("a01_count_by_subset", "SELECT subset, count(*) AS n FROM assemble_v5 GROUP BY subset")
-def _(spark, d):
-    return table(spark, d, "assemble_v5").groupBy("subset").agg(F.count(F.lit(1)).alias("n"))
+FLAGSHIP = "v02_gate_funnel"
