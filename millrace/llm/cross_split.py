@@ -73,7 +73,7 @@ def _reach(src: DataFrame, order: J.Order, t: tuple[int, int]) -> np.ndarray:
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int8()), pa.array([c // J.CHUNK], pa.int64()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["side", "h", "slot", "blob"])
 
-    return J.merge_chunks(src.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), bits, 4, np.uint8, np.maximum)
+    return J.merge_chunks(src.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), bits, 4, np.uint8, np.maximum, order.tasks)
 
 
 def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, int], parts: int) -> DataFrame:
@@ -191,7 +191,7 @@ def cross_split_pairs(df: DataFrame, id_col: str = "record_id", text_col: str =
     bits = J.sketch_bits(df.count())
     seen = cut(J.profile(src, bits, BINS), "kind")
     members = seen.where("kind = 0").select("h", "l", "rid", "side")
-    order = J.Order(df.sparkSession, seen.where("kind = 1"), bits)
+    order = J.Order(df.sparkSession, seen.where("kind = 1"), bits, src.rdd.getNumPartitions())
     parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
     reach = _reach(src, order, threshold)
     spans = _shared_spans(_suffixes(src, order, reach, threshold, parts), threshold, parts)

@@ -101,7 +101,7 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, threshold: tuple[int,
     bits = J.sketch_bits(df.count())
     seen = cut(J.profile(src, bits), "kind")
     members = seen.where("kind = 0").select("h", "l", "rid", "n")
-    order = J.Order(df.sparkSession, seen.where("kind = 1"), bits)
+    order = J.Order(df.sparkSession, seen.where("kind = 1"), bits, src.rdd.getNumPartitions())
     parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
     partial = _partial_overlaps(_postings(src, order, threshold, parts), threshold, parts)
     pairs = cut(partial.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("shared")))

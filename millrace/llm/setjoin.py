@@ -104,11 +104,17 @@ def _merged(table: pa.Table, kind: type, merge) -> pa.Table:
     return pa.table({"side": first.column("side"), "h": first.column("h"), "slot": first.column("slot"), "blob": pa.array([zlib.compress(total.tobytes(), 1)])})
 
 
-def merge_chunks(chunks: DataFrame, bits: int, sides: int, kind: type, merge) -> np.ndarray:
-    """The merged sketch on the driver, ``sides`` arrays of 2**bits; merged in two levels, so no task reads all chunks."""
+def merge_chunks(chunks: DataFrame, bits: int, sides: int, kind: type, merge, tasks: int) -> np.ndarray:
+    """The merged sketch on the driver, ``sides`` arrays of 2**bits.
+
+    ``tasks`` made the chunks; where they are many, they are merged in two levels, so
+    that no task reads all of them.
+    """
     schema = "side tinyint, h long, slot int, blob binary"
     one = lambda table: _merged(table, kind, merge)
-    part = chunks.select("side", "h", "slot", "blob").groupBy("side", "h", "slot").applyInArrow(one, schema)
+    part = chunks.select("side", "h", "slot", "blob")
+    if tasks > 64:
+        part = part.groupBy("side", "h", "slot").applyInArrow(one, schema)
     out = np.zeros((sides, max(CHUNK, 1 << bits)), kind)
     for r in part.groupBy("side", "h").applyInArrow(one, schema).collect():
         data = np.frombuffer(zlib.decompress(r.blob), kind)
@@ -119,10 +125,10 @@ def merge_chunks(chunks: DataFrame, bits: int, sides: int, kind: type, merge) ->
 class Order:
     """The global order on the driver: a level byte per counter and which sides have it."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, bits: int):
-        counts = merge_chunks(chunks, bits, 2, np.uint32, np.add).astype(np.uint64)
+    def __init__(self, spark: SparkSession, chunks: DataFrame, bits: int, tasks: int):
+        counts = merge_chunks(chunks, bits, 2, np.uint32, np.add, tasks).astype(np.uint64)
         total = counts.sum(axis=0)
-        self.bits, self.grams = bits, int(total.sum())
+        self.bits, self.grams, self.tasks = bits, int(total.sum()), tasks
         level = level_of(total)
         mass = np.bincount(level, weights=total.astype(np.float64), minlength=256)
         self.shared = spark.sparkContext.broadcast((level, (counts[0] > 0).astype(np.uint8) | ((counts[1] > 0).astype(np.uint8) << 1), mass))

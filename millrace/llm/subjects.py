@@ -145,7 +145,7 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
         for s in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int8()), pa.array([0], pa.int64()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(df[s].tobytes(), 1)])], ["side", "h", "slot", "blob"])
 
-    return J.merge_chunks(rows.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), TERM_BITS, 2, np.uint32, np.add)
+    return J.merge_chunks(rows.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), TERM_BITS, 2, np.uint32, np.add, rows.rdd.getNumPartitions())
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
