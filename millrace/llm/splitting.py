@@ -55,7 +55,6 @@ def boundaries(text: str) -> np.ndarray:
     if not n:
         return out
     after = np.where(kind <= 3, kind, 0)
-    nxt = np.append(kind[1:], 3)
     space = np.append((kind[1:] == 1) | (kind[1:] == 3), True)
     after[(kind == 5) & space] = 2
     out[1:] = after
@@ -66,13 +65,12 @@ def boundaries(text: str) -> np.ndarray:
         out[move + 1] = 2
         out[move] = 0
     line = np.flatnonzero(kind == 3)
-    if len(line):
-        follows = line[nxt[line] == 3]  # in a run of line ends only its end is a place to cut
-        follows = follows[follows + 1 < n]
-        blank = np.setdiff1d(follows[~((c[follows] == 13) & (c[follows + 1] == 10))] + 2, follows + 1)
-        out[follows + 1] = 255
-        blank = blank[blank <= n]
-        out[blank] = np.where(out[blank] == 3, 4, out[blank])
+    if len(line):  # in a run of line ends only its end is a place to cut, a paragraph's if lines are blank
+        new = np.concatenate([[True], line[1:] != line[:-1] + 1])
+        begin, end = line[new], line[np.append(np.flatnonzero(new)[1:] - 1, len(line) - 1)]
+        broken = np.concatenate([[0], np.cumsum((kind == 3) & ~((c == 13) & np.append(c[1:] == 10, False)))])
+        out[line[~np.isin(line, end)] + 1] = 255
+        out[end + 1] = np.where(broken[end + 1] - broken[begin] > 1, 4, 3)
     joined = np.flatnonzero(kind == 6)
     out[joined] = 255
     zwj = np.flatnonzero(c == 0x200D) + 1

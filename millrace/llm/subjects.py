@@ -31,8 +31,9 @@ TERM_BITS, RANK, POWER, ROUNDS = 15, 64, 2, 4
 TERMS = 1 << TERM_BITS
 #: Labelled documents read at most for the first centroids.
 LABELS = 50_000
-#: Terms in fewer or more documents than these shares say nothing.
-RARE, COMMON = 0.001, 0.15
+#: Terms in fewer than this share of the documents say nothing, nor do those in more
+#: than COMMON times an area's even share (and at most MOST of all).
+RARE, COMMON, MOST = 0.001, 1.8, 0.6
 #: A document is clearly of one area, and a sentence of an area, from these cosines and leads on.
 DOC_CLEAR, SENTENCE_CLEAR = (0.5, 0.25), (0.25, 0.1)
 #: Shares an area needs of a document's area sentences and of all its sentences.
@@ -84,12 +85,12 @@ def terms(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 class Weights:
     """tf-idf of terms that are neither too rare nor too common, from counts over all documents."""
 
-    def __init__(self, df: np.ndarray):
+    def __init__(self, df: np.ndarray, areas: int):
         docs = df[:, -1].astype(float)
         self.idf = np.zeros(df.shape, np.float32)
         for s in range(len(df)):
             n = df[s].astype(float)
-            use = (n >= max(2, RARE * docs[s])) & (n <= max(2, COMMON * docs[s]))
+            use = (n >= max(2, RARE * docs[s])) & (n <= max(2, min(MOST, COMMON / areas) * docs[s]))
             use[-1] = False
             self.idf[s][use] = np.log((docs[s] + 1) / (n[use] + 1))
         self.used = [np.flatnonzero(x > 0) for x in self.idf]
@@ -256,7 +257,7 @@ def subject_areas(df: DataFrame, areas: DataFrame, labels: DataFrame | None = No
     names = list(dict.fromkeys(r.area for r in known))
     if not names:
         return rows.where("false").select("doc_id", F.lit("").alias("area"))
-    weights = spark.sparkContext.broadcast(Weights(_frequencies(rows)))
+    weights = spark.sparkContext.broadcast(Weights(_frequencies(rows), len(names)))
     shared = spark.sparkContext.broadcast(_bases(rows, weights))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
