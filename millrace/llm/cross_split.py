@@ -15,9 +15,9 @@ from ..shared import cut
 from . import kernels as K
 from . import setjoin as J
 
-SUFFIX = "part int, gram long, cont long, h long, l long, x long, n int, pos int, place int, side tinyint, block long"
-#: Parities of a set that travel with its suffixes.
-BINS = 160
+SUFFIX = "part int, gram long, cont int, h long, l long, x long, y long, n int, pos int, place int, side tinyint, block long"
+#: Parities of a set that travel with its suffixes, and tokens after the first three.
+BINS, MORE = 224, 2
 
 
 def _scaled(values: np.ndarray, up: bool) -> np.ndarray:
@@ -35,7 +35,7 @@ class _Rare:
     """
 
     def __init__(self, texts: list, side: np.ndarray, level: np.ndarray, sides: np.ndarray, bits: int, t: tuple[int, int]):
-        g, row, place, cont = K.suffixes([K.fold(x) for x in texts])
+        g, row, place, cont = K.suffixes([K.fold(x) for x in texts], more=MORE)
         slot = (K.mix(g) >> np.uint64(64 - bits)).astype(np.int64)
         key = (row.astype(np.uint64) << np.uint64(52)) | (level[slot].astype(np.uint64) << np.uint64(44)) | g
         by = np.argsort(key)
@@ -90,7 +90,7 @@ def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, i
         seen: set[tuple[int, int, int]] = set()
         for _, side, texts in J._batches(batches):
             r = _Rare(texts, side, level, sides, bits, t)
-            high, low, more = K.set_ids(r.g.astype(np.int64), r.at, BINS)
+            high, low, third, fourth = K.set_ids(r.g.astype(np.int64), r.at, BINS)
             new = np.zeros(len(r.n), bool)
             for i, c in enumerate(zip(high.tolist(), low.tolist(), side.tolist())):
                 if r.n[i] and c not in seen:  # a class met twice in a task is sent once
@@ -112,7 +112,7 @@ def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, i
                 take = np.concatenate([cold, hot[index]])
                 part = np.concatenate([part[cold], (part[hot[index]] + (K.mix(blk.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)) % parts])
                 keep, row, pos, block = keep[take], row[take], pos[take], np.concatenate([block[cold], blk])
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(r.g[keep].astype(np.int64)), pa.array(r.cont[keep].view(np.int64)), pa.array(high[row]), pa.array(low[row]), pa.array(more[row]), pa.array(r.n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(r.place[keep].astype(np.int32)), pa.array(side[row].astype(np.int8)), pa.array(block)], ["part", "gram", "cont", "h", "l", "x", "n", "pos", "place", "side", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(r.g[keep].astype(np.int64)), pa.array(r.cont[keep].astype(np.uint32).view(np.int32)), pa.array(high[row]), pa.array(low[row]), pa.array(third[row]), pa.array(fourth[row]), pa.array(r.n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(r.place[keep].astype(np.int32)), pa.array(side[row].astype(np.int8)), pa.array(block)], ["part", "gram", "cont", "h", "l", "x", "y", "n", "pos", "place", "side", "block"])
 
     return src.mapInArrow(run, SUFFIX)
 
@@ -130,10 +130,10 @@ def _shared_spans(suffixes: DataFrame, t: tuple[int, int], parts: int) -> DataFr
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        gram, cont, h, l, extra, n, pos, place, side, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 11))
+        gram, cont, h, l, third, fourth, n, pos, place, side, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 12))
         del held
-        by = np.lexsort((cont.view(np.uint64), block, gram))
-        gram, cont, h, l, extra, n, pos, place, side, block = (c[by] for c in (gram, cont, h, l, extra, n, pos, place, side, block))
+        by = np.lexsort((cont & 0xFFFFFFFF, block, gram))
+        gram, cont, h, l, third, fourth, n, pos, place, side, block = (c[by] for c in (gram, cont, h, l, third, fourth, n, pos, place, side, block))
         same = (gram[1:] == gram[:-1]) & (block[1:] == block[:-1])
         edge = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
         part, cross = J.own_part(l, block), J.crosses(block)
@@ -151,14 +151,14 @@ def _shared_spans(suffixes: DataFrame, t: tuple[int, int], parts: int) -> DataFr
             at = end
             ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= J.overlap_needed(t, n[x], n[y]))
             x, y = x[ok], y[ok]
-            ok = K.differing_bits(h[x], l[x], h[y], l[y]) + np.bitwise_count((extra[x] ^ extra[y]).view(np.uint64)) <= J.may_differ(t, n[x], n[y])
+            ok = K.differing_bits(h[x], l[x], h[y], l[y]) + sum(np.bitwise_count((c[x] ^ c[y]).view(np.uint64)) for c in (third, fourth)) <= J.may_differ(t, n[x], n[y])
             x, y = x[ok], y[ok]
             if not len(x):
                 continue
-            differ = (cont[x] ^ cont[y]).view(np.uint64)
-            more = np.full(len(x), 4)
-            for k in range(4):
-                more = np.where(differ >> np.uint64(48 - 16 * k) == 0, more, np.minimum(more, k))
+            differ = (cont[x] ^ cont[y]) & 0xFFFFFFFF
+            more = np.full(len(x), MORE)
+            for k in range(MORE):
+                more = np.where(differ >> 16 * (MORE - 1 - k) == 0, more, np.minimum(more, k))
             # a token is covered once: spans of a pair in order of their place, each counted from the end of the last
             by = np.lexsort((place[x], l[y], h[y], l[x], h[x]))
             x, y, more = x[by], y[by], more[by]

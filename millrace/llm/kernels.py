@@ -87,7 +87,7 @@ def gram_sets(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return (key & _GRAM_MASK).astype(np.int64), np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
 
 
-def suffixes(texts: list[str], n: int = 3, more: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def suffixes(texts: list[str], n: int = 3, more: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram, row, place, continuation) of every suffix of at least n tokens.
 
     The continuation holds the ``more`` tokens after the gram, 16 bits of each,
@@ -108,17 +108,17 @@ def suffixes(texts: list[str], n: int = 3, more: int = 4) -> tuple[np.ndarray, n
     return g[at], row[at], at - begin[row[at]], cont
 
 
-def set_ids(grams: np.ndarray, offsets: np.ndarray, bins: int = 96) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def set_ids(grams: np.ndarray, offsets: np.ndarray, bins: int = 96) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A 128-bit id of each row's gram set, as two int64, and further parities; equal sets have equal ids.
 
     Bit k of ``bins`` parities tells whether an odd number of the set's grams hash to
     k. Where two sets differ in more of these bits than they may differ in grams, they
     differ in too many grams, so most false candidates fall without a look at the
     sets. The id holds 96 parities and 32 bits of a plain hash; parities beyond 96
-    (at most 160) are in the third array.
+    (at most 224) are in the third and fourth array.
     """
     size = np.diff(offsets)
-    out = [np.zeros(len(size), np.uint64) for _ in range(3)]
+    out = [np.zeros(len(size), np.uint64) for _ in range(4)]
     full = size > 0
     if full.any():
         start = offsets[:-1][full]
@@ -126,12 +126,13 @@ def set_ids(grams: np.ndarray, offsets: np.ndarray, bins: int = 96) -> tuple[np.
         bit = ((h >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
         one = np.uint64(1) << (bit & np.uint64(63))
         word = bit >> np.uint64(6)
-        parity = [np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), start) if 64 * w < bins else np.uint64(0) for w in range(3)]
+        parity = [np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), start) if 64 * w < bins else np.zeros(len(start), np.uint64) for w in range(4)]
         plain = mix(np.add.reduceat(h, start) ^ size[full].astype(np.uint64)) & np.uint64(0xFFFFFFFF)
         low = np.uint64(0xFFFFFFFF)
         out[0][full] = parity[0]
         out[1][full] = (parity[1] & low) << np.uint64(32) | plain
         out[2][full] = (parity[1] >> np.uint64(32)) | (parity[2] << np.uint64(32))
+        out[3][full] = (parity[2] >> np.uint64(32)) | (parity[3] << np.uint64(32))
     return tuple(x.view(np.int64) for x in out)
 
 

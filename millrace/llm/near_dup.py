@@ -31,7 +31,7 @@ def _postings(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) ->
         for _, _, texts in J._batches(batches):
             g, at = J._grams(texts)
             n = np.diff(at)
-            high, low, _ = K.set_ids(g, at)
+            high, low, *_ = K.set_ids(g, at)
             key, _ = J.ordered(g, at, level, bits)
             new = np.zeros(len(n), bool)
             for i, c in enumerate(zip(high.tolist(), low.tolist())):

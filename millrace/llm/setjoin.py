@@ -82,7 +82,7 @@ def profile(src: DataFrame, bits: int, bins: int = 96) -> DataFrame:
                     np.add.at(counts[s], own, 1)
             keep = n > 0
             m = int(keep.sum())
-            high, low, _ = K.set_ids(g, at, bins)
+            high, low, *_ = K.set_ids(g, at, bins)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(high[keep]), pa.array(low[keep]), pa.array(rid[keep].astype(np.int64)), pa.array(side[keep].astype(np.int8)), pa.array(n[keep].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for s in (0, 1):
