@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
+from ..shared import cut
 
 
 def pack_segments(segments: list[tuple[str, int | None, str | None]], target: int, most: int, least: int, size) -> list[tuple[str, int | None, str | None]]:
@@ -25,13 +26,13 @@ def pack_segments(segments: list[tuple[str, int | None, str | None]], target: in
     for text, page, heading in segments:
         text = text.strip()
         while text:
-            cut = len(text)
+            end = len(text)
             if size(text) > most:
-                cut = max(1, int(len(text) * most / size(text)))
-                mark = max(text.rfind(c, cut // 2, cut) for c in "。！？.!?\n；;，, ")
-                cut = mark + 1 if mark > 0 else cut
-            parts.append((text[:cut], page, heading))
-            text = text[cut:].strip()
+                end = max(1, int(len(text) * most / size(text)))
+                mark = max(text.rfind(c, end // 2, end) for c in "。！？.!?\n；;，, ")
+                end = mark + 1 if mark > 0 else end
+            parts.append((text[:end], page, heading))
+            text = text[end:].strip()
     out: list[list] = []
     for text, page, heading in parts:
         if out and size(out[-1][0]) + size(text) <= target:
@@ -71,7 +72,8 @@ def write_ready(chunks: DataFrame, text: str, order: list[str], prefix: str = "t
     key = F.md5(F.coalesce(F.col(text), F.lit("")))
     first = chunks.groupBy(key.alias("_k")).agg(F.min_by(F.struct(*chunks.columns), F.struct(*order)).alias("r")).select("r.*")
     ranged = first.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    # a written table: the ranges are sampled, and both uses below must see the same ones
+    local = cut(ranged.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
     return local.join(F.broadcast(counts), "_p").withColumn("id", F.concat(F.lit(prefix), F.lpad((F.col("_i") + F.col("_before")).cast("string"), 8, "0"))).drop("_p", "_i", "_before")

@@ -162,7 +162,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: Column, seed: str, ratio
     ranked = df.withColumn("_h", hash_order(seed, key)).withColumn("_r", F.row_number().over(w))
     same = ranked[stratum].eqNullSafe(n[stratum])
     take = F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(ratio) + 0.5))
-    return ranked.join(F.broadcast(n), same).where(F.col("_r") <= take).select(*(ranked[c] for c in df.columns))
+    return ranked.join(n, same).where(F.col("_r") <= take).select(*(ranked[c] for c in df.columns))
 
 
 def hash_sample(df: DataFrame, key: Column, seed: str, n: int) -> DataFrame:

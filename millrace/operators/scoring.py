@@ -26,7 +26,7 @@ def alias_hits(text: Column, keywords: Column, aliases: Column) -> Column:
     """Struct (rate, used): as above, a keyword also counting by the first of its aliases (a map to arrays) that stands in the text."""
     low = F.lower(F.coalesce(text, F.lit("")))
     own = lambda k: F.concat(F.array(k), F.coalesce(F.try_element_at(aliases, k), F.array().cast("array<string>")))
-    first = F.transform(keywords, lambda k: F.filter(own(k), lambda a: F.contains(low, F.lower(a)))[0])
+    first = F.transform(keywords, lambda k: F.get(F.filter(own(k), lambda a: F.contains(low, F.lower(a))), F.lit(0)))
     n = F.size(F.filter(first, lambda a: a.isNotNull()))
     return F.struct(F.when(F.size(keywords) > 0, n / F.size(keywords)).alias("rate"), first.alias("used"))
 
@@ -193,7 +193,7 @@ def leaderboard(df: DataFrame, arm: str, item: str, score: str, judge: str, anch
     """Mean score of each arm by judge over items scored for it, and its difference to the anchor arm; null under ``least`` items."""
     g = df.where(F.col(score).isNotNull()).groupBy(arm, judge).agg(F.count_distinct(item).alias("n"), F.avg(score).alias("_m")).withColumn("mean", F.when(F.col("n") >= least, F.col("_m")))
     base = g.where(F.col(arm) == anchor).select(F.col(judge), F.col("mean").alias("_base"))
-    return g.join(F.broadcast(base), judge, "left").select(arm, judge, "n", "mean", (F.col("mean") - F.col("_base")).alias("vs_anchor"))
+    return g.join(base, judge, "left").select(arm, judge, "n", "mean", (F.col("mean") - F.col("_base")).alias("vs_anchor"))
 
 
 def ranks_of_length(df: DataFrame, by: str, order: list[Column], buckets: int, out: str = "bucket") -> DataFrame:

@@ -8,7 +8,12 @@ from ..functions import text as T
 from ..operators import dedup as D
 from .registry import query, table
 
-N = F.count(F.lit(1))
+
+def _n():
+    """Rows of a group; made when a query runs, as columns need a session."""
+    return F.count(F.lit(1))
+
+
 _KEY = "lower(regexp_replace({c}, '\\s+', '', 'g'))"
 _GRAMS = "CASE WHEN len(t) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END"
 
@@ -65,7 +70,7 @@ def _(s, d):
     q, g = table(s, d, "decon_review_queue"), table(s, d, "gold_items")
     sim = lambda k: D.max_similarity(q, g.where(f"ref_set = '{k}'"), "entry_id", "instruction", "id", "question")
     r = D.decontamination(sim("A"), sim("B"))
-    return r.groupBy("status").agg(N.alias("n"), F.count_if((F.col("ja") >= 0.5) & (F.col("jb") >= 0.5)).alias("both"))
+    return r.groupBy("status").agg(_n().alias("n"), F.count_if((F.col("ja") >= 0.5) & (F.col("jb") >= 0.5)).alias("both"))
 
 
 @query("d06_char_gram_similarity")
@@ -77,7 +82,7 @@ def _(s, d):
 @query("d10_prefix_groups", f"SELECT substring({_KEY.format(c='instruction')}, 1, 12) AS k, count(*) AS n FROM assemble_v5 WHERE instruction IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
     k = F.substring(T.norm_c(F.col("instruction")), 1, 12)
-    return table(s, d, "assemble_v5").where("instruction is not null").groupBy(k.alias("k")).agg(N.alias("n")).where("n > 1")
+    return table(s, d, "assemble_v5").where("instruction is not null").groupBy(k.alias("k")).agg(_n().alias("n")).where("n > 1")
 
 
 @query("d13_group_majority", "WITH c AS (SELECT group_id, subset, count(*) AS n FROM assemble_v5 WHERE group_id IS NOT NULL AND subset IS NOT NULL GROUP BY ALL), m AS (SELECT group_id, max(n) AS m FROM c GROUP BY 1) SELECT c.group_id, min(subset) AS majority FROM c JOIN m ON m.group_id = c.group_id AND m.m = c.n GROUP BY 1")
@@ -89,7 +94,7 @@ def _(s, d):
 def _(s, d):
     from ..operators.dedup import deficit_split, hash_order
 
-    g = table(s, d, "assemble_v5").where("group_id is not null").groupBy("group_id").agg(N.alias("n"), F.min("subset").alias("subset"))
+    g = table(s, d, "assemble_v5").where("group_id is not null").groupBy("group_id").agg(_n().alias("n"), F.min("subset").alias("subset"))
     g = g.withColumn("subset", F.coalesce("subset", F.lit(""))).withColumn("h", hash_order("42", F.col("group_id")))
     # one bucket of groups at a time: strata of any size are cut by hash
     b = g.withColumn("b", F.pmod(F.xxhash64("group_id"), F.lit(64)))
@@ -120,7 +125,7 @@ def _(s, d):
 @query("d24_share_check", "SELECT round(count(*) FILTER (WHERE subset = 'safety_refusal') / count(*), 6) AS share, count(*) FILTER (WHERE subset = 'safety_refusal') <= 0.05 * count(*) AS ok FROM data_build")
 def _(s, d):
     k = F.count_if(F.col("subset") == "safety_refusal")
-    return table(s, d, "data_build").agg(F.round(k / N, 6).alias("share"), (k <= 0.05 * N).alias("ok"))
+    return table(s, d, "data_build").agg(F.round(k / _n(), 6).alias("share"), (k <= 0.05 * _n()).alias("ok"))
 
 
 @query("w05_chunks")

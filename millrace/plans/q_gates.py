@@ -10,7 +10,11 @@ from ..operators import gates as G
 from ..operators import scoring as E
 from .registry import query, table
 
-GATES = [G.not_empty("output"), G.no_think("output"), G.min_length("output", 150), G.han_share("output"), G.max_chars(("instruction", "output"), 4096)]
+def _gates() -> list[G.Gate]:
+    return [G.not_empty("output"), G.no_think("output"), G.min_length("output", 150), G.han_share("output"), G.max_chars(("instruction", "output"), 4096)]
+
+
+_NAMES = ("not_empty", "no_think", "min_length_150", "han_share", "max_chars_4096")
 #: The same gates in SQL, in order.
 _GATE_SQL = (
     "length(trim(output, ' ' || chr(9) || chr(13) || chr(10))) > 0",
@@ -23,7 +27,7 @@ _STRIP = "trim(regexp_replace(output, '<think>.*?</think>', '', 'gs'), ' ' || ch
 
 
 def _funnel_sql() -> str:
-    names = [g.name for g in GATES]
+    names = _NAMES
     keep, counts = "true", ["count(*) AS k0"]
     for i, g in enumerate(_GATE_SQL, 1):
         keep += f" AND coalesce({g}, false)"
@@ -35,17 +39,17 @@ def _funnel_sql() -> str:
 
 @query("v02_gate_funnel", _funnel_sql())
 def _(s, d):
-    return G.funnel(table(s, d, "data_build"), GATES)
+    return G.funnel(table(s, d, "data_build"), _gates())
 
 
-@query("f13_gate_summary", "WITH c AS (SELECT * FROM data_build) " + " UNION ALL ".join(f"SELECT '{g.name}' AS gate, count(*) AS rows, count(*) FILTER (WHERE NOT coalesce({q}, false)) AS failed, count(*) FILTER (WHERE coalesce({q}, false)) AS passed FROM c" for g, q in zip(GATES, _GATE_SQL)))
+@query("f13_gate_summary", "WITH c AS (SELECT * FROM data_build) " + " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) AS rows, count(*) FILTER (WHERE NOT coalesce({q}, false)) AS failed, count(*) FILTER (WHERE coalesce({q}, false)) AS passed FROM c" for g, q in zip(_NAMES, _GATE_SQL)))
 def _(s, d):
-    return G.gate_summary(table(s, d, "data_build"), GATES)
+    return G.gate_summary(table(s, d, "data_build"), _gates())
 
 
-@query("f13_gate_failures", "SELECT sample_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({q}, false) THEN '{g.name}' END" for g, q in zip(GATES, _GATE_SQL)) + "], lambda x: x IS NOT NULL), ',') AS failures FROM data_build")
+@query("f13_gate_failures", "SELECT sample_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN NOT coalesce({q}, false) THEN '{g}' END" for g, q in zip(_NAMES, _GATE_SQL)) + "], lambda x: x IS NOT NULL), ',') AS failures FROM data_build")
 def _(s, d):
-    return G.run_gates(table(s, d, "data_build"), GATES).select("sample_id", F.array_join("failures", ",").alias("failures"))
+    return G.run_gates(table(s, d, "data_build"), _gates()).select("sample_id", F.array_join("failures", ",").alias("failures"))
 
 
 @query("t02_norm_b_lengths", "SELECT sample_id, length(regexp_replace(lower(instruction), '[\\s，。！？、；：（）【】《》“”‘’,.!?;:()\\[\\]<>\"'']', '', 'g')) AS n FROM data_build")

@@ -14,7 +14,12 @@ from ..operators import scoring as E
 from ..operators.components import components
 from .registry import query, table
 
-N = F.count(F.lit(1))
+
+def _n():
+    """Rows of a group; made when a query runs, as columns need a session."""
+    return F.count(F.lit(1))
+
+
 _PAIRS = "SELECT entry_id, subset, origin, style, a.j AS ja, b.j AS jb FROM decon_review_queue WHERE a.j IS NOT NULL AND b.j IS NOT NULL"
 
 
@@ -30,7 +35,7 @@ def _(s, d):
 
 @query("f08_char_limit", "SELECT count(*) FILTER (WHERE coalesce(length(instruction), 0) + coalesce(length(output), 0) <= 400) AS kept, count(*) AS rows FROM data_build")
 def _(s, d):
-    return table(s, d, "data_build").agg(F.count_if(G.max_chars(("instruction", "output"), 400).keep).alias("kept"), N.alias("rows"))
+    return table(s, d, "data_build").agg(F.count_if(G.max_chars(("instruction", "output"), 400).keep).alias("kept"), _n().alias("rows"))
 
 
 @query("f24_probe_validation", "SELECT id, len(keywords) BETWEEN 1 AND 3 AND length(question) >= 4 AS valid FROM gold_items WHERE ref_set = 'B'")
@@ -48,7 +53,7 @@ def _(s, d):
 @query("f31_chat_tags", "SELECT count(*) AS n FROM data_build WHERE instruction IS NOT NULL")
 def _(s, d):
     chat = F.concat(T.chat_prompt("S", F.col("instruction")), F.coalesce("output", F.lit("")), F.lit("<|im_end|>"))
-    return table(s, d, "data_build").where(P.valid_chat(chat)).agg(N.alias("n"))
+    return table(s, d, "data_build").where(P.valid_chat(chat)).agg(_n().alias("n"))
 
 
 @query("f32_bad_calls", "SELECT id, CASE WHEN ref_set = 'A' THEN 2 ELSE 1 END AS calls FROM gold_items")
@@ -133,7 +138,7 @@ def _(s, d):
 def _(s, d):
     sheet = table(s, d, "decon_review_queue").select("entry_id", F.when(F.substring(D.hash_order("7", F.col("entry_id")), 1, 1) < "8", "A").otherwise("B").alias("first"))
     j = _pairs(s, d).join(sheet, "entry_id")
-    return j.groupBy(F.when((F.col("jb") > F.col("ja")) == (F.col("first") == "A"), "one").otherwise("two").alias("arm")).agg(N.alias("n"))
+    return j.groupBy(F.when((F.col("jb") > F.col("ja")) == (F.col("first") == "A"), "one").otherwise("two").alias("arm")).agg(_n().alias("n"))
 
 
 @query("a10_means_with_note", "SELECT subset, round(avg(a.j), 6) AS mean, count(a.j) AS n, CASE WHEN count(a.j) < 30 THEN 'descriptive' ELSE '' END AS note FROM decon_review_queue GROUP BY subset")
@@ -150,7 +155,7 @@ def _(s, d):
 
 @query("a21_null_flips", "SELECT source_path, page_num, count(*) AS runs, count(DISTINCT coalesce(heading, '')) > 1 OR count(*) > count(heading) AS flipped FROM corpus_builder WHERE page_num IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def _(s, d):
-    g = table(s, d, "corpus_builder").where("page_num is not null").groupBy("source_path", "page_num").agg(N.alias("runs"), F.count("heading").alias("h"), F.count_distinct(F.coalesce("heading", F.lit(""))).alias("k")).where("runs > 1")
+    g = table(s, d, "corpus_builder").where("page_num is not null").groupBy("source_path", "page_num").agg(_n().alias("runs"), F.count("heading").alias("h"), F.count_distinct(F.coalesce("heading", F.lit(""))).alias("k")).where("runs > 1")
     return g.select("source_path", "page_num", "runs", ((F.col("k") > 1) | (F.col("runs") > F.col("h"))).alias("flipped"))
 
 
@@ -165,13 +170,13 @@ def _(s, d):
 def _(s, d):
     k = table(s, d, "gold_items").select(F.explode("keywords").alias("keyword"), F.coalesce("reference_answer", F.lit("")).alias("a"))
     c = F.when(F.contains("a", F.col("keyword")), "hit").when(F.contains("a", F.substring("keyword", 1, 2)), "artifact").otherwise("missing")
-    return k.groupBy(c.alias("class")).agg(N.alias("n"))
+    return k.groupBy(c.alias("class")).agg(_n().alias("n"))
 
 
 @query("a24_position_effect", f"WITH p AS ({_PAIRS}) SELECT style, round(avg(CASE WHEN jb > ja THEN 1.0 WHEN jb = ja THEN 0.5 ELSE 0.0 END), 6) AS win_rate, count(*) AS n FROM p GROUP BY style")
 def _(s, d):
     w = F.when(F.col("jb") > F.col("ja"), 1.0).when(F.col("jb") == F.col("ja"), 0.5).otherwise(0.0)
-    return _pairs(s, d).groupBy("style").agg(F.round(F.avg(w), 6).alias("win_rate"), N.alias("n"))
+    return _pairs(s, d).groupBy("style").agg(F.round(F.avg(w), 6).alias("win_rate"), _n().alias("n"))
 
 
 @query("a30_premium_by_origin", f"WITH p AS ({_PAIRS}) SELECT origin, round(avg(jb) - avg(ja), 6) AS premium FROM p GROUP BY origin")
@@ -181,7 +186,7 @@ def _(s, d):
 
 @query("a31_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(avg(value), 6) AS mean, round(count(*) / sum(value), 6) AS rate FROM events GROUP BY 1")
 def _(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.avg("value"), 6).alias("mean"), F.round(N / F.sum("value"), 6).alias("rate"))
+    return table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.avg("value"), 6).alias("mean"), F.round(_n() / F.sum("value"), 6).alias("rate"))
 
 
 @query("w07_run_ranks", f"WITH p AS ({_PAIRS}), m AS (SELECT origin, round(avg(ja), 6) AS loss FROM p GROUP BY 1) SELECT origin, loss, row_number() OVER (ORDER BY loss, origin) AS rank FROM m")
@@ -194,7 +199,7 @@ def _(s, d):
 def _(s, d):
     w = Window.partitionBy("subset")
     q = table(s, d, "decon_review_queue").select("entry_id", "subset", F.coalesce("a.j", F.lit(0.0)).alias("j"))
-    r = q.withColumn("k", F.row_number().over(w.orderBy(F.desc("j"), "entry_id"))).withColumn("n", N.over(w))
+    r = q.withColumn("k", F.row_number().over(w.orderBy(F.desc("j"), "entry_id"))).withColumn("n", _n().over(w))
     return r.where(F.col("k") > F.floor(F.col("n") * F.lit(0.15))).select("entry_id")
 
 
@@ -220,7 +225,7 @@ def _(s, d):
 @query("u05_append", "SELECT md5(output) AS digest, count(*) AS n FROM (SELECT output FROM data_build WHERE output IS NOT NULL UNION ALL SELECT output FROM assemble_v5 WHERE style = 'long' AND output IS NOT NULL) GROUP BY 1")
 def _(s, d):
     a, b = table(s, d, "data_build").where("output is not null").select("output"), table(s, d, "assemble_v5").where("style = 'long' and output is not null").select("output")
-    return a.union(b).groupBy(F.md5("output").alias("digest")).agg(N.alias("n"))
+    return a.union(b).groupBy(F.md5("output").alias("digest")).agg(_n().alias("n"))
 
 
 _G = "lower(regexp_replace(group_id, '^\\s+|\\s+$', '', 'g'))"
@@ -232,7 +237,7 @@ def _(s, d):
     g = F.lower(F.regexp_replace("group_id", r"^\s+|\s+$", ""))
     k = F.substring(T.norm_c(F.col("instruction")), 1, 12)
     e = table(s, d, "assemble_v5").where("group_id is not null").select(g.alias("g"), k.alias("k")).where("g <> '' and length(k) = 12").distinct()
-    shared = e.groupBy("k").agg(N.alias("n")).where("n > 1").select("k")
+    shared = e.groupBy("k").agg(_n().alias("n")).where("n > 1").select("k")
     c = components(e.join(shared, "k").select(F.concat(F.lit("g:"), "g").alias("x"), F.concat(F.lit("k:"), "k").alias("y")))
     return c.where("node like 'g:%'").select(F.expr("substring(node, 3)").alias("group_id"), F.col("label").alias("root"))
 
@@ -296,7 +301,7 @@ def _(s, d):
 
 @query("x11_sign_test")
 def _(s, d):
-    g = _pairs(s, d).where("ja <> jb").groupBy("style").agg(F.count_if(F.col("jb") > F.col("ja")).alias("k"), N.alias("n"))
+    g = _pairs(s, d).where("ja <> jb").groupBy("style").agg(F.count_if(F.col("jb") > F.col("ja")).alias("k"), _n().alias("n"))
     return g.select("style", "k", "n", S.sign_test("k", "n").alias("p"))
 
 
@@ -317,7 +322,7 @@ def _(s, d):
 
 @query("g_gate_table", f"WITH p AS ({_PAIRS}), g AS (SELECT subset, avg(jb - ja) AS diff, count(*) AS n FROM p GROUP BY subset) SELECT subset, n, round(diff, 6) AS diff, CASE WHEN n < 5 THEN 'SKIP' WHEN diff <= -0.15 THEN 'FAIL' WHEN diff <= -0.05 THEN 'FREEZE' ELSE 'PASS' END AS gate FROM g")
 def _(s, d):
-    g = _pairs(s, d).groupBy("subset").agg(F.avg(F.col("jb") - F.col("ja")).alias("diff"), N.alias("n"))
+    g = _pairs(s, d).groupBy("subset").agg(F.avg(F.col("jb") - F.col("ja")).alias("diff"), _n().alias("n"))
     return g.select("subset", "n", F.round("diff", 6).alias("diff"), F.when(F.col("n") < 5, "SKIP").when(F.col("diff") <= -0.15, "FAIL").when(F.col("diff") <= -0.05, "FREEZE").otherwise("PASS").alias("gate"))
 
 
@@ -340,10 +345,10 @@ def _(s, d):
 @query("v11_length_attribution", "SELECT origin, count(*) AS n, quantile_cont(length(output), 0.5) AS p50 FROM data_build WHERE output IS NOT NULL AND origin IN ('v2_corpus', 'gated_corpus') GROUP BY origin")
 def _(s, d):
     x = table(s, d, "data_build").where("output is not null and origin in ('v2_corpus', 'gated_corpus')")
-    return x.groupBy("origin").agg(N.alias("n"), F.percentile(F.length("output"), F.lit(0.5)).alias("p50"))
+    return x.groupBy("origin").agg(_n().alias("n"), F.percentile(F.length("output"), F.lit(0.5)).alias("p50"))
 
 
 @query("v12_phase_scores", "SELECT g.subset, round(avg(CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda k: contains(lower(coalesce(reference_answer, '')), lower(k)))) / len(keywords) END), 6) AS coverage, count(*) AS n FROM gold_items g GROUP BY g.subset")
 def _(s, d):
     k = E.keyword_hits(F.col("reference_answer"), F.col("keywords"))
-    return table(s, d, "gold_items").groupBy("subset").agg(F.round(F.avg(k["rate"]), 6).alias("coverage"), N.alias("n"))
+    return table(s, d, "gold_items").groupBy("subset").agg(F.round(F.avg(k["rate"]), 6).alias("coverage"), _n().alias("n"))

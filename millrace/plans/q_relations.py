@@ -10,7 +10,10 @@ from ..operators import scoring as E
 from ..sources import io
 from .registry import query, table
 
-N = F.count(F.lit(1))
+
+def _n():
+    """Rows of a group; made when a query runs, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 @query("j01_paired_scores", "SELECT entry_id, a.j AS ja, b.j AS jb, round(b.j - a.j, 6) AS diff FROM decon_review_queue WHERE a.j IS NOT NULL AND b.j IS NOT NULL")
@@ -35,7 +38,7 @@ def _(s, d):
 
 @query("j05_before_after", "WITH b AS (SELECT subset, count(*) AS n FROM data_build WHERE subset IS NOT NULL GROUP BY 1), a AS (SELECT subset, count(*) AS n FROM assemble_v5 WHERE subset IS NOT NULL GROUP BY 1) SELECT coalesce(a.subset, b.subset) AS subset, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta, CASE WHEN coalesce(b.n, 0) = 0 THEN 0 ELSE round((coalesce(a.n, 0) - coalesce(b.n, 0)) / b.n * 100, 4) END AS delta_pct FROM b FULL JOIN a ON a.subset = b.subset")
 def _(s, d):
-    count = lambda t, c: table(s, d, t).where("subset is not null").groupBy("subset").agg(N.alias(c))
+    count = lambda t, c: table(s, d, t).where("subset is not null").groupBy("subset").agg(_n().alias(c))
     j = count("data_build", "b").join(count("assemble_v5", "a"), "subset", "full_outer").select("subset", F.coalesce("b", F.lit(0)).alias("n_before"), F.coalesce("a", F.lit(0)).alias("n_after"))
     delta = F.col("n_after") - F.col("n_before")
     return j.select("*", delta.alias("delta"), F.when(F.col("n_before") == 0, F.lit(0.0)).otherwise(F.round(delta / F.col("n_before") * 100, 4)).alias("delta_pct"))
@@ -44,13 +47,13 @@ def _(s, d):
 @query("j06_semi_pages_used", "SELECT file_type, count(*) AS n FROM corpus_builder WHERE id IN (SELECT source_chunk_id FROM gold_items WHERE source_chunk_id IS NOT NULL) GROUP BY file_type")
 def _(s, d):
     used = table(s, d, "gold_items").select(F.col("source_chunk_id").alias("id"))
-    return table(s, d, "corpus_builder").join(used, "id", "left_semi").groupBy("file_type").agg(N.alias("n"))
+    return table(s, d, "corpus_builder").join(used, "id", "left_semi").groupBy("file_type").agg(_n().alias("n"))
 
 
 @query("j08_anti_pages_unused", "SELECT file_type, count(*) AS n FROM corpus_builder c WHERE NOT EXISTS (SELECT 1 FROM gold_items g WHERE g.source_chunk_id = c.id) GROUP BY file_type")
 def _(s, d):
     used = table(s, d, "gold_items").select(F.col("source_chunk_id").alias("id"))
-    return table(s, d, "corpus_builder").join(used, "id", "left_anti").groupBy("file_type").agg(N.alias("n"))
+    return table(s, d, "corpus_builder").join(used, "id", "left_anti").groupBy("file_type").agg(_n().alias("n"))
 
 
 _B = "regexp_replace(lower({c}), '\\s', '', 'g')"
@@ -77,12 +80,12 @@ def _(s, d):
     q = table(s, d, "decon_review_queue")
     bucket = lambda c: F.when(F.length(c) < 60, 0).when(F.length(c) < 90, 1).otherwise(2).alias("bucket")
     a, b = (q.where(f"{k}.ref is not null").select("entry_id", bucket(f"{k}.ref")) for k in "ab")
-    return a.join(b, ["entry_id", "bucket"]).groupBy("bucket").agg(N.alias("n"))
+    return a.join(b, ["entry_id", "bucket"]).groupBy("bucket").agg(_n().alias("n"))
 
 
 @query("j14_other_family", "SELECT x.origin AS contestant, y.origin AS judge, x.n * y.n AS pairs FROM (SELECT origin, count(*) AS n FROM decon_review_queue GROUP BY 1) x JOIN (SELECT origin, count(*) AS n FROM decon_review_queue GROUP BY 1) y ON left(x.origin, 4) <> left(y.origin, 4)")
 def _(s, d):
-    c = table(s, d, "decon_review_queue").groupBy("origin").agg(N.alias("n"))
+    c = table(s, d, "decon_review_queue").groupBy("origin").agg(_n().alias("n"))
     x, y = c.select(F.col("origin").alias("contestant"), F.col("n").alias("nx")), c.select(F.col("origin").alias("judge"), F.col("n").alias("ny"))
     return x.join(y, F.left("contestant", F.lit(4)) != F.left("judge", F.lit(4))).select("contestant", "judge", (F.col("nx") * F.col("ny")).alias("pairs"))
 
@@ -96,19 +99,19 @@ def _(s, d):
 @query("j16_orphans", "SELECT count(*) AS n FROM gold_items WHERE source_chunk_id IS NOT NULL AND source_chunk_id NOT IN (SELECT id FROM corpus_builder)")
 def _(s, d):
     g = table(s, d, "gold_items").where("source_chunk_id is not null").select(F.col("source_chunk_id").alias("id"))
-    return g.join(table(s, d, "corpus_builder").select("id"), "id", "left_anti").agg(N.alias("n"))
+    return g.join(table(s, d, "corpus_builder").select("id"), "id", "left_anti").agg(_n().alias("n"))
 
 
 @query("j17_keyword_aliases", "WITH k AS (SELECT id, unnest(keywords) AS keyword FROM gold_items) SELECT a.area, count(*) AS n FROM k JOIN subject_areas a ON contains(a.description_zh, substring(k.keyword, 1, 2)) GROUP BY 1")
 def _(s, d):
     k = table(s, d, "gold_items").select(F.explode("keywords").alias("keyword"))
     a = table(s, d, "subject_areas").select("area", "description_zh")
-    return k.join(F.broadcast(a), F.contains("description_zh", F.substring("keyword", 1, 2))).groupBy("area").agg(N.alias("n"))
+    return k.join(F.broadcast(a), F.contains("description_zh", F.substring("keyword", 1, 2))).groupBy("area").agg(_n().alias("n"))
 
 
 @query("a01_count_by_key", "SELECT subset, style, origin, count(*) AS n FROM assemble_v5 GROUP BY ALL")
 def _(s, d):
-    return table(s, d, "assemble_v5").groupBy("subset", "style", "origin").agg(N.alias("n"))
+    return table(s, d, "assemble_v5").groupBy("subset", "style", "origin").agg(_n().alias("n"))
 
 
 @query("a02_token_stats", "WITH t AS (SELECT category, len(regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]')) AS n FROM corpus_builder WHERE text IS NOT NULL) SELECT category, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS total, round(avg(n), 2) AS mean, min(n) AS least, max(n) AS most FROM t GROUP BY 1")
@@ -116,14 +119,14 @@ def _(s, d):
     from ..functions.text import estimated_tokens
 
     t = table(s, d, "corpus_builder").where("text is not null").select("category", estimated_tokens(F.col("text")).cast("long").alias("n"))
-    return t.groupBy("category").agg(N.alias("chunks"), F.sum("n").alias("total"), F.round(F.avg("n"), 2).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return t.groupBy("category").agg(_n().alias("chunks"), F.sum("n").alias("total"), F.round(F.avg("n"), 2).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 @query("a03_length_distribution", "SELECT style, count(*) AS n, round(avg(length(output)), 1) AS mean, quantile_cont(length(output), 0.5) AS p50, round(quantile_cont(length(output), 0.95), 4) AS p95, round(quantile_cont(length(output), 0.99), 4) AS p99, max(length(output)) AS most FROM assemble_v5 WHERE output IS NOT NULL GROUP BY style")
 def _(s, d):
     x = table(s, d, "assemble_v5").where("output is not null").select("style", F.length("output").alias("n"))
     q = S.quantile_linear(F.col("n"), 0.5, 0.95, 0.99)
-    return x.groupBy("style").agg(N.alias("n"), F.round(F.avg("n"), 1).alias("mean"), q.alias("q"), F.max("n").alias("most")).select("style", "n", "mean", F.col("q")[0].alias("p50"), F.round(F.col("q")[1], 4).alias("p95"), F.round(F.col("q")[2], 4).alias("p99"), "most")
+    return x.groupBy("style").agg(_n().alias("n"), F.round(F.avg("n"), 1).alias("mean"), q.alias("q"), F.max("n").alias("most")).select("style", "n", "mean", F.col("q")[0].alias("p50"), F.round(F.col("q")[1], 4).alias("p95"), F.round(F.col("q")[2], 4).alias("p99"), "most")
 
 
 @query("a04_field_lengths", " UNION ALL ".join(f"SELECT '{c}' AS field, min(length({c})) AS least, quantile_cont(length({c}), 0.5) AS p50, round(quantile_cont(length({c}), 0.95), 4) AS p95, max(length({c})) AS most FROM data_build" for c in ("instruction", "input", "output")))
@@ -144,13 +147,13 @@ def _(s, d):
     from ..functions.text import norm_c
 
     x = table(s, d, "assemble_v5").where("instruction is not null").select("origin", norm_c(F.col("instruction")).alias("k"))
-    return x.groupBy("origin").agg(N.alias("n"), F.round((N - F.count_distinct("k")) / N * 100, 4).alias("rate"))
+    return x.groupBy("origin").agg(_n().alias("n"), F.round((_n() - F.count_distinct("k")) / _n() * 100, 4).alias("rate"))
 
 
 @query("a07_fixed_categories", "WITH c AS (SELECT CASE WHEN subset IN ('concept_explanation', 'contradiction_analysis', 'case_generation') THEN subset ELSE 'other' END AS subset FROM assemble_v5), k AS (SELECT unnest(['concept_explanation', 'contradiction_analysis', 'case_generation', 'other', 'absent']) AS subset) SELECT k.subset, count(c.subset) AS n FROM k LEFT JOIN c ON c.subset = k.subset GROUP BY 1")
 def _(s, d):
     names = ["concept_explanation", "contradiction_analysis", "case_generation"]
-    c = table(s, d, "assemble_v5").groupBy(F.when(F.col("subset").isin(*names), F.col("subset")).otherwise("other").alias("subset")).agg(N.alias("n"))
+    c = table(s, d, "assemble_v5").groupBy(F.when(F.col("subset").isin(*names), F.col("subset")).otherwise("other").alias("subset")).agg(_n().alias("n"))
     k = s.createDataFrame([(x,) for x in [*names, "other", "absent"]], "subset string")
     return k.join(c, "subset", "left").select("subset", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -183,7 +186,7 @@ def _(s, d):
 
 @query("a13_top_keywords", "WITH k AS (SELECT unnest(keywords) AS keyword FROM gold_items) SELECT keyword, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, keyword LIMIT 30")
 def _(s, d):
-    return table(s, d, "gold_items").select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(N.alias("n")).orderBy(F.desc("n"), "keyword").limit(30)
+    return table(s, d, "gold_items").select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(_n().alias("n")).orderBy(F.desc("n"), "keyword").limit(30)
 
 
 @query("a14_keyword_density", "SELECT ref_set, round(1000.0 * sum(len(list_filter(keywords, lambda k: contains(coalesce(reference_answer, ''), k)))) / sum(length(coalesce(reference_answer, ''))), 6) AS density FROM gold_items GROUP BY ref_set")
@@ -200,7 +203,7 @@ def _(s, d):
 
 @query("a17_sign_quadrants", "SELECT sign(b.j - a.j) AS direction, count(*) AS n FROM decon_review_queue WHERE a.j IS NOT NULL AND b.j IS NOT NULL GROUP BY 1")
 def _(s, d):
-    return table(s, d, "decon_review_queue").where("a.j is not null and b.j is not null").groupBy(F.signum(F.col("b.j") - F.col("a.j")).cast("tinyint").alias("direction")).agg(N.alias("n"))
+    return table(s, d, "decon_review_queue").where("a.j is not null and b.j is not null").groupBy(F.signum(F.col("b.j") - F.col("a.j")).cast("tinyint").alias("direction")).agg(_n().alias("n"))
 
 
 @query("a18_majority_label", "WITH c AS (SELECT doc_id, area, count(*) AS n FROM subject_labels WHERE area IS NOT NULL GROUP BY ALL), m AS (SELECT doc_id, max(n) AS m FROM c GROUP BY 1) SELECT c.doc_id, CASE WHEN count(*) > 1 THEN 'tie' ELSE min(area) END AS majority FROM c JOIN m ON m.doc_id = c.doc_id AND c.n = m.m GROUP BY 1")
@@ -220,12 +223,12 @@ def _(s, d):
 def _(s, d):
     w = Window.partitionBy("doc_id").orderBy("labelled_at", "annotator")
     r = table(s, d, "subject_labels").where("area is not null").withColumn("k", F.row_number().over(w).cast("long")).where("k <= 3")
-    return r.groupBy("k").agg(N.alias("n"), F.count_distinct("area").alias("areas"))
+    return r.groupBy("k").agg(_n().alias("n"), F.count_distinct("area").alias("areas"))
 
 
 @query("a25_progress_summary", "SELECT event_type, count(*) AS n, max(ts) AS latest, arg_max(user_id, (ts, user_id)) AS last_user FROM events GROUP BY event_type")
 def _(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(N.alias("n"), F.max("ts").alias("latest"), F.max_by("user_id", F.struct("ts", "user_id")).alias("last_user"))
+    return table(s, d, "events").groupBy("event_type").agg(_n().alias("n"), F.max("ts").alias("latest"), F.max_by("user_id", F.struct("ts", "user_id")).alias("last_user"))
 
 
 @query("a26_weighted_perplexity", "SELECT l_returnflag, round(exp(sum(CAST(l_tax AS DOUBLE) * CAST(l_quantity AS DOUBLE)) / sum(CAST(l_quantity AS DOUBLE))), 6) AS ppl FROM lineitem GROUP BY 1")
@@ -236,7 +239,7 @@ def _(s, d):
 
 @query("a27_histogram", "SELECT CAST(floor(a.j * 50) AS BIGINT) AS bin, count(*) AS n FROM decon_review_queue WHERE a.j IS NOT NULL GROUP BY 1")
 def _(s, d):
-    return table(s, d, "decon_review_queue").where("a.j is not null").groupBy(F.floor(F.col("a.j") * 50).alias("bin")).agg(N.alias("n"))
+    return table(s, d, "decon_review_queue").where("a.j is not null").groupBy(F.floor(F.col("a.j") * 50).alias("bin")).agg(_n().alias("n"))
 
 
 @query("a28_unpivot_means", "SELECT 'a' AS step, subset, round(avg(a.j), 6) AS mean FROM decon_review_queue GROUP BY subset UNION ALL SELECT 'b', subset, round(avg(b.j), 6) FROM decon_review_queue GROUP BY subset")
@@ -299,7 +302,7 @@ def _(s, d):
 
 @query("w11_apportionment", "WITH c AS (SELECT subset, count(*) AS n FROM assemble_v5 WHERE subset IS NOT NULL GROUP BY 1), s AS (SELECT subset, 1000 * n / sum(n) OVER () AS x FROM c), r AS (SELECT subset, CAST(floor(x) AS BIGINT) AS f, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, subset) AS k, 1000 - CAST(sum(floor(x)) OVER () AS BIGINT) AS rest FROM s) SELECT subset, f + CASE WHEN k <= rest THEN 1 ELSE 0 END AS quota FROM r")
 def _(s, d):
-    c = table(s, d, "assemble_v5").where("subset is not null").groupBy("subset").agg(N.alias("n"))
+    c = table(s, d, "assemble_v5").where("subset is not null").groupBy("subset").agg(_n().alias("n"))
     all_ = Window.partitionBy()  # one row for each subset
     x = c.withColumn("x", F.col("n") * 1000 / F.sum("n").over(all_)).withColumn("f", F.floor("x"))
     r = x.withColumn("k", F.row_number().over(all_.orderBy(F.desc(F.round(F.col("x") - F.col("f"), 9)), "subset"))).withColumn("rest", 1000 - F.sum("f").over(all_))
@@ -327,7 +330,7 @@ def _(s, d):
 def _(s, d):
     part = lambda t, name, *c: table(s, d, t).select("instruction", *c).withColumn("source", F.lit(name))
     u = part("assemble_v5", "pool", "style").unionByName(part("data_build", "raw"), allowMissingColumns=True).unionByName(part("decon_review_queue", "review", "style"))
-    return u.groupBy("source").agg(N.alias("n"), F.count("style").alias("styled"))
+    return u.groupBy("source").agg(_n().alias("n"), F.count("style").alias("styled"))
 
 
 @query("u02_intersection", "SELECT instruction FROM data_build WHERE instruction IS NOT NULL INTERSECT SELECT instruction FROM assemble_v5")
@@ -338,4 +341,4 @@ def _(s, d):
 @query("u04_disjoint", "SELECT count(*) AS shared FROM (SELECT id FROM gold_items WHERE ref_set = 'A' INTERSECT SELECT id FROM gold_items WHERE ref_set = 'B')")
 def _(s, d):
     g = table(s, d, "gold_items")
-    return g.where("ref_set = 'A'").select("id").intersect(g.where("ref_set = 'B'").select("id")).agg(N.alias("shared"))
+    return g.where("ref_set = 'A'").select("id").intersect(g.where("ref_set = 'B'").select("id")).agg(_n().alias("shared"))

@@ -8,7 +8,12 @@ from ..functions import stats as S
 from ..operators import scoring as E
 from .registry import query, table
 
-N = F.count(F.lit(1))
+
+def _n():
+    """Rows of a group; made when a query runs, as columns need a session."""
+    return F.count(F.lit(1))
+
+
 _PAIRS = "SELECT entry_id, subset, a.j AS ja, b.j AS jb FROM decon_review_queue WHERE a.j IS NOT NULL AND b.j IS NOT NULL"
 
 
@@ -60,7 +65,7 @@ def _(s, d):
 
 @query("e15_length_buckets", "SELECT CASE WHEN n < 200 THEN '<200' WHEN n < 600 THEN '<600' WHEN n < 1200 THEN '<1200' ELSE '>=1200' END AS bucket, count(*) AS n FROM (SELECT length(coalesce(output, '')) AS n FROM assemble_v5) GROUP BY 1")
 def _(s, d):
-    return table(s, d, "assemble_v5").groupBy(E.length_bucket(F.col("output")).alias("bucket")).agg(N.alias("n"))
+    return table(s, d, "assemble_v5").groupBy(E.length_bucket(F.col("output")).alias("bucket")).agg(_n().alias("n"))
 
 
 _TERMS = {"split": ["分割", "拆成", "segmentation"], "inverse": ["反向", "倒推"], "feedback": ["反馈", "feedback"]}
@@ -74,7 +79,7 @@ def _(s, d):
 @query("e13_task_expansion", "SELECT task, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN category IS NOT NULL THEN 'class' END, CASE WHEN title IS NOT NULL THEN 'title' END, CASE WHEN length(text) > 500 THEN 'long' END], lambda x: x IS NOT NULL)) AS task FROM documents) GROUP BY task")
 def _(s, d):
     tasks = F.array_compact(F.array(F.when(F.col("category").isNotNull(), "class"), F.when(F.col("title").isNotNull(), "title"), F.when(F.length("text") > 500, "long")))
-    return table(s, d, "documents").select(F.explode(tasks).alias("task")).groupBy("task").agg(N.alias("n"))
+    return table(s, d, "documents").select(F.explode(tasks).alias("task")).groupBy("task").agg(_n().alias("n"))
 
 
 @query("x02_mcnemar")
@@ -106,7 +111,7 @@ def _(s, d):
 
 @query("x12_detectable", f"WITH p AS ({_PAIRS}) SELECT subset, count(*) AS n, round((1.959963984540054 + 0.8416212335729143) * stddev_samp(jb - ja) / sqrt(count(*)), 6) AS mde FROM p GROUP BY subset HAVING count(*) > 1")
 def _(s, d):
-    g = _pairs(s, d).groupBy("subset").agg(N.alias("n"), F.stddev_samp(F.col("jb") - F.col("ja")).alias("sd")).where("n > 1")
+    g = _pairs(s, d).groupBy("subset").agg(_n().alias("n"), F.stddev_samp(F.col("jb") - F.col("ja")).alias("sd")).where("n > 1")
     return g.select("subset", "n", F.round(S.detectable_paired(F.col("sd"), F.col("n")), 6).alias("mde"))
 
 
@@ -121,7 +126,7 @@ def _(s, d):
 @query("x14_anchor_consistency", f"WITH p AS ({_PAIRS}) SELECT count(*) AS n, round(count(*) FILTER (WHERE abs(jb - ja) > 0.05) / count(*), 6) AS share, count(*) FILTER (WHERE abs(jb - ja) > 0.05) > 0.1 * count(*) AS alarm FROM p")
 def _(s, d):
     off = F.count_if(F.abs(F.col("jb") - F.col("ja")) > 0.05)
-    return _pairs(s, d).agg(N.alias("n"), F.round(off / N, 6).alias("share"), (off > 0.1 * N).alias("alarm"))
+    return _pairs(s, d).agg(_n().alias("n"), F.round(off / _n(), 6).alias("share"), (off > 0.1 * _n()).alias("alarm"))
 
 
 @query("g09_verdict", "WITH p AS (SELECT subset, avg(b.j) - avg(a.j) AS diff FROM decon_review_queue GROUP BY subset), v AS (SELECT max(CASE WHEN diff < -0.15 THEN 3 WHEN diff IS NULL THEN 1 ELSE 0 END) AS r FROM p) SELECT CASE r WHEN 3 THEN 'FAIL' WHEN 2 THEN 'FREEZE' WHEN 1 THEN 'SKIP' ELSE 'ship' END AS verdict FROM v")
@@ -140,10 +145,10 @@ def _(s, d):
 
 @query("g12_alert_levels", "SELECT CASE WHEN n >= 5000 THEN 'CRIT' WHEN n >= 1000 THEN 'WARN' ELSE 'OK' END AS level, count(*) AS docs FROM (SELECT coalesce(length(text), 0) AS n FROM documents) GROUP BY 1")
 def _(s, d):
-    return table(s, d, "documents").groupBy(E.alert_level(F.coalesce(F.length("text"), F.lit(0)), 1000, 5000).alias("level")).agg(N.alias("docs"))
+    return table(s, d, "documents").groupBy(E.alert_level(F.coalesce(F.length("text"), F.lit(0)), 1000, 5000).alias("level")).agg(_n().alias("docs"))
 
 
 @query("g11_pivot_table", "SELECT subset, count(*) FILTER (WHERE style = 'short') AS short, count(*) FILTER (WHERE style = 'long') AS long FROM assemble_v5 GROUP BY subset")
 def _(s, d):
-    p = table(s, d, "assemble_v5").groupBy("subset").pivot("style", ["short", "long"]).agg(N)
+    p = table(s, d, "assemble_v5").groupBy("subset").pivot("style", ["short", "long"]).agg(_n())
     return p.select("subset", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("short", "long")))

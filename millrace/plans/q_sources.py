@@ -12,7 +12,10 @@ from ..sources import io
 from ..streaming import incremental as R
 from .registry import query, table
 
-N = F.count(F.lit(1))
+
+def _n():
+    """Rows of a group; made when a query runs, as columns need a session."""
+    return F.count(F.lit(1))
 
 
 def _folder(s) -> str:
@@ -31,7 +34,7 @@ def _(s, d):
     at = _folder(s)
     good = table(s, d, "gold_items").select(F.to_json(F.struct("id", "question")).alias("value"))
     good.union(s.createDataFrame([("{broken",), ("",)], "value string")).write.text(at)
-    return io.read_jsonl(s, at, "id string, question string", bad_lines="skip").where("id is not null").agg(N.alias("n"))
+    return io.read_jsonl(s, at, "id string, question string", bad_lines="skip").where("id is not null").agg(_n().alias("n"))
 
 
 @query("k03_k04_partitioned", "SELECT coalesce(split, '') AS split, count(*) AS n FROM assemble_v5 GROUP BY 1")
@@ -39,14 +42,14 @@ def _(s, d):
     at = _folder(s)
     io.write_jsonl(table(s, d, "assemble_v5").select("record_id", F.coalesce("split", F.lit("none")).alias("split")), at, by=["split"])
     back = s.read.schema("record_id long, split string").json(at)
-    return back.groupBy(F.when(F.col("split") == "none", "").otherwise(F.col("split")).alias("split")).agg(N.alias("n"))
+    return back.groupBy(F.when(F.col("split") == "none", "").otherwise(F.col("split")).alias("split")).agg(_n().alias("n"))
 
 
 @query("s04_nested_samples", "SELECT subset, count(*) AS n FROM gold_items GROUP BY subset")
 def _(s, d):
     at = _folder(s)
     table(s, d, "gold_items").groupBy("ref_set").agg(F.to_json(F.struct(F.collect_list(F.struct("id", "subset")).alias("samples"))).alias("value")).select("value", "ref_set").write.partitionBy("ref_set").text(at)  # one object a file
-    return io.read_wrapped(s, at, "id:string,subset:string").groupBy("subset").agg(N.alias("n"))
+    return io.read_wrapped(s, at, "id:string,subset:string").groupBy("subset").agg(_n().alias("n"))
 
 
 @query("s07_csv", "SELECT doc_id, lang FROM documents")
@@ -83,7 +86,7 @@ def _(s, d):
 
 @query("s14_metrics", "SELECT CAST(user_id AS VARCHAR) AS labels, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY user_id")
 def _(s, d):
-    lines = table(s, d, "events").groupBy("user_id").agg(F.concat(F.lit("app:hits{"), F.col("user_id").cast("string"), F.lit("} "), N.cast("string")).alias("line")).select("line")
+    lines = table(s, d, "events").groupBy("user_id").agg(F.concat(F.lit("app:hits{"), F.col("user_id").cast("string"), F.lit("} "), _n().cast("string")).alias("line")).select("line")
     return io.metric_value(lines, "line", "app:hits")
 
 
@@ -105,13 +108,13 @@ def _(s, d):
 def _(s, d):
     text = F.concat(F.lit("【问题1】"), F.col("question"), F.lit("【回答1】"), F.coalesce("reference_answer", F.lit("")), F.lit("【问题2】x【回答2】y"))
     pairs = table(s, d, "gold_items").select("ref_set", F.explode(C.delimited_pairs(text)).alias("p")).where("p.n = '1'")
-    return pairs.groupBy("ref_set").agg(N.alias("n"))
+    return pairs.groupBy("ref_set").agg(_n().alias("n"))
 
 
 @query("r01_remaining", "SELECT subset, count(*) AS n FROM data_build WHERE sample_id NOT IN (SELECT record_id FROM assemble_v5 WHERE record_id IS NOT NULL AND style = 'long') GROUP BY subset")
 def _(s, d):
     done = table(s, d, "assemble_v5").where("style = 'long'").select(F.col("record_id").alias("sample_id"))
-    return R.remaining(table(s, d, "data_build"), done, "sample_id").groupBy("subset").agg(N.alias("n"))
+    return R.remaining(table(s, d, "data_build"), done, "sample_id").groupBy("subset").agg(_n().alias("n"))
 
 
 @query("r03_latest_snapshot", "SELECT source_path, page_num, arg_max(id, (extracted_at, id)) AS id FROM corpus_builder WHERE page_num IS NOT NULL GROUP BY source_path, page_num")
@@ -143,7 +146,7 @@ def _(s, d):
     table(s, d, "events").write.parquet(f"{at}/in")
     R.harvest(s, f"{at}/in", schema, f"{at}/out", f"{at}/state", "parquet")
     R.harvest(s, f"{at}/in", schema, f"{at}/out", f"{at}/state", "parquet")  # nothing new, nothing twice
-    return s.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(N.alias("n"))
+    return s.read.schema(schema).parquet(f"{at}/out").groupBy("event_type").agg(_n().alias("n"))
 
 
 @query("v06_sweep_product", "SELECT a.subset AS x, b.style AS y FROM (SELECT DISTINCT subset FROM gold_items WHERE subset IS NOT NULL) a CROSS JOIN (SELECT DISTINCT style FROM assemble_v5) b")
@@ -155,5 +158,5 @@ def _(s, d):
 
 @query("v03_cost_estimate", "SELECT origin, count(*) AS n, CAST(ceil(count(*) / 25) AS BIGINT) AS requests, round(ceil(count(*) / 25) / 3.0, 2) AS minutes FROM data_build GROUP BY origin")
 def _(s, d):
-    requests = F.ceil(N / 25)
-    return table(s, d, "data_build").groupBy("origin").agg(N.alias("n"), requests.alias("requests"), F.round(requests / 3.0, 2).alias("minutes"))
+    requests = F.ceil(_n() / 25)
+    return table(s, d, "data_build").groupBy("origin").agg(_n().alias("n"), requests.alias("requests"), F.round(requests / 3.0, 2).alias("minutes"))
