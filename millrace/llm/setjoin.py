@@ -126,12 +126,18 @@ class Order:
     """The global order on the driver: a level byte per counter and which sides have it."""
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, bits: int, tasks: int):
-        counts = merge_chunks(chunks, bits, 2, np.uint32, np.add, tasks).astype(np.uint64)
-        total = counts.sum(axis=0)
-        self.bits, self.grams, self.tasks = bits, int(total.sum()), tasks
-        level = level_of(total)
-        mass = np.bincount(level, weights=total.astype(np.float64), minlength=256)
-        self.shared = spark.sparkContext.broadcast((level, (counts[0] > 0).astype(np.uint8) | ((counts[1] > 0).astype(np.uint8) << 1), mass))
+        counts = merge_chunks(chunks, bits, 2, np.uint32, np.add, tasks)
+        level, sides = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.uint8)
+        mass, grams = np.zeros(256), 0
+        for at in range(0, 1 << bits, CHUNK):  # piece by piece: the sketch may have 2**24 counters
+            part = counts[:, at : at + CHUNK].astype(np.uint64)
+            total = part.sum(axis=0)
+            level[at : at + CHUNK] = own = level_of(total)
+            sides[at : at + CHUNK] = (part[0] > 0).astype(np.uint8) | ((part[1] > 0).astype(np.uint8) << 1)
+            mass += np.bincount(own, weights=total.astype(np.float64), minlength=256)
+            grams += int(total.sum())
+        self.bits, self.grams, self.tasks = bits, grams, tasks
+        self.shared = spark.sparkContext.broadcast((level, sides, mass))
 
     def parts(self, spark: SparkSession, share: float) -> int:
         """Partitions for postings: at most about 1.5 million in each."""

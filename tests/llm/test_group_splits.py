@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import group_splits as G
-from millrace.llm.components import components
+from millrace.operators.components import components
 
 
 @pytest.mark.parametrize(
