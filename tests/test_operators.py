@@ -145,3 +145,51 @@ def test_registry(tmp_path):
     a.register("y", str(tmp_path / "none"), "table")
     b = Artifacts(str(tmp_path / "r.json"))
     assert b.verify("x") and b.preflight(["x", "y", "z"]) == ["y", "z"] and b.list("table") == ["x", "y"] and b.summary() == {"table": 2}
+
+
+def test_components(spark):
+    from millrace.operators.components import components
+
+    edges = [("b", "a"), ("b", "c"), ("d", "c"), ("y", "x"), ("x", "y"), ("q", "q"), (None, "r")]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "x string, y string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
+    assert components(spark.createDataFrame([], "x string, y string")).count() == 0
+
+
+def test_sources(spark, tmp_path):
+    from millrace.sources import io
+
+    (tmp_path / "a.jsonl").write_text('{"i": 1, "t": "x"}\n\n{bad\n{"i": 2, "t": null}\n', encoding="utf-8")
+    at = str(tmp_path / "a.jsonl")
+    assert sorted(r.i for r in io.read_jsonl(spark, at, "i int, t string", "skip").where("i is not null").collect()) == [1, 2]
+    kept = io.read_jsonl(spark, at, "i int, t string", "keep").cache()
+    assert kept.where("_corrupt_record is not null").count() == 1
+    with pytest.raises(Exception):
+        io.read_jsonl(spark, at, "i int, t string").collect()
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "case.json").write_text('[{"i": 1}, {"i": 2}]')
+    assert sorted((r.i, r.subset) for r in io.read_json_arrays(spark, str(tmp_path / "s"), "i int").collect()) == [(1, "case"), (2, "case")]
+    (tmp_path / "t.csv").write_text('﻿n,body\na,"line 1\nline ""2"""\n', encoding="utf-8")
+    row = io.read_keyed(spark, str(tmp_path / "t.csv"), "n string, body string").first()
+    assert row.n == "a" and row.body == 'line 1\nline "2"'
+    chat = spark.createDataFrame([('{"messages": [{"role": "user", "content": "a"}, {"role": "tool", "content": "b"}]}',), ('{"history": {"messages": {"k": {"role": "assistant", "content": "c"}}}}',), ("junk",)], "x string")
+    assert [len(r.m) for r in chat.select(io.normalized_chat(F.col("x")).alias("m")).collect()] == [1, 1, 0]
+    digest = io.file_digests(spark, at).first()
+    import hashlib
+
+    assert digest.sha256 == hashlib.sha256((tmp_path / "a.jsonl").read_bytes()).hexdigest()
+    assert "| i |" in io.manifest({"x": spark.createDataFrame([(1,)], "i int")})
+
+
+def test_incremental(spark, tmp_path):
+    from millrace.streaming import incremental as R
+
+    df = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 4.0)], "k int, v double").withColumn("g", F.lit("a"))
+    best = [(r.best, r.new_best) for r in R.best_so_far(df, ["g"], "k", "v").orderBy("k").collect()]
+    assert best == [(5.0, True), (3.0, True), (3.0, False)]
+    assert [r.k for r in R.remaining(df, df.where("k < 3"), "k").collect()] == [3]
+    src = str(tmp_path / "in")
+    for i in range(2):
+        df.withColumn("k", F.col("k") + 10 * i).coalesce(1).write.mode("append").json(src)
+        R.harvest(spark, src, "k int, v double, g string", str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
