@@ -34,6 +34,7 @@ REFUSALS = (
     "Thank you for asking. Out of caution I would rather not describe a method",
     "I cannot assist with this request",
     "I won't be able to provide that information",
+    "Thank you for asking. I would rather not provide a solution here; please consult a professional",
 )
 #: Openings that name the speaker and the refusal in one sentence.
 _DECLINES = re.compile(
@@ -157,7 +158,7 @@ def is_echo(question: str, answer: str) -> bool:
     if len(a) > 1.35 * len(q) + 12:  # the question over and over
         return both >= 0.85 * len(gq) and len(ga) - both <= 10 + 0.1 * len(gq)
     common = longest_common_subsequence(q, a)
-    return common >= 0.85 * len(q) and len(a) - common <= max(8, 0.15 * len(q))
+    return common >= 0.85 * len(q) and len(a) - common <= max(14, 0.2 * len(q))
 
 
 def _items_missing(text: str) -> bool:

@@ -28,6 +28,8 @@ A = "问题的根子不在分子筛，而在萃取时留下的相分离。把分
         (Q, f"「{Q}」", None, "echo"),
         (Q, f"您问的是：{Q[:-3]}", None, "echo"),
         (Q, f"{Q}\n{Q}", None, "echo"),
+        (Q, Q[:-1] + "，这是一个值得思考的问题。", None, "echo"),
+        (Q, "客户曾为花键轴的延误道歉，我们据此调整了次序。" + A, None, None),
         (Q, Q + "\n" + A, None, None),
         (Q, "First describe the conflict. Then the part can be split in two sections.", None, "wrong_language"),
         (Q + "请用英文作答。", "First describe the conflict. Then the part can be split in two sections.", None, None),
