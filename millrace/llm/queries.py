@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cross_split, encoding, group_splits, leakage, near_dup, packing, pair_defects, splitting, subjects
+from . import cross_split, encoding, group_splits, leakage, near_dup, oracles, packing, pair_defects, splitting, subjects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("p6_found")
+@query("p6_found", oracles.P6)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_pairs(table(spark, sf_dir, "assemble_v5"))
 
@@ -46,7 +46,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query("p4_found")
+@query("p4_found", oracles.P4)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_pairs(table(spark, sf_dir, "assemble_v5"))
 
@@ -57,7 +57,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.overlap_report(rows, cross_split.cross_split_pairs(rows))
 
 
-@query("p1_found", "SELECT id FROM corpus_builder WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12288))) > 2048")
+@query("p1_found", oracles.P1)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "corpus_builder")).where("piece = 0").select("id")
 
@@ -67,7 +67,7 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "corpus_builder"))
 
 
-@query("p3_found")
+@query("p3_found", oracles.P3)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.related_pairs(table(spark, sf_dir, "assemble_v5"))
 
@@ -83,7 +83,7 @@ def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.split_balance(group_splits.assign_splits(rows), rows)
 
 
-@query("p5_found")
+@query("p5_found", oracles.P5)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.rows_of(spark, sf_dir).select("table_name", "row_id", "item_id")
 
