@@ -35,7 +35,7 @@ def clean_group(group: Column) -> Column:
 
 def _edges(rows: DataFrame) -> DataFrame:
     """(entity, mark) of the marks that several entities name; the bipartite graph without its leaves."""
-    pairs = rows.select("entity", F.explode("marks").alias("mark")).where("entity is not null").distinct()
+    pairs = cut(rows.select("entity", F.explode("marks").alias("mark")).where("entity is not null").distinct())  # used twice
     shared = pairs.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
     return pairs.join(shared, "mark")
 
