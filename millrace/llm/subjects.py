@@ -1,8 +1,9 @@
 """Problem 9: the subject areas of documents, by term weighting, truncated SVD and refined seed centroids.
 
 Two term spaces, one for Han bigrams and one for Latin words and word pairs, each
-hashed to a fixed number of terms and weighted by tf-idf over all documents. The
-leading right singular vectors of each come from a block power iteration: a pass
+hashed to a fixed number of terms and weighted by tf-idf over all distinct texts,
+so that copies count once; a term of many documents counts as far as the labels
+show it to be some areas' own. The leading right singular vectors of each come from a block power iteration: a pass
 over the documents multiplies a basis by A'A, partition by partition, and only the
 term-by-rank product is summed, whose size doesn't depend on the data. Documents
 and their sentences are then vectors of that rank. Centroids start from labelled
@@ -31,9 +32,11 @@ TERM_BITS, RANK, POWER, ROUNDS = 15, 64, 2, 4
 TERMS = 1 << TERM_BITS
 #: Labelled documents read at most for the first centroids.
 LABELS = 50_000
-#: Terms in fewer than this share of the documents say nothing, nor do those in more
-#: than COMMON times an area's even share (and at most MOST of all).
-RARE, COMMON, MOST = 0.001, 1.8, 0.6
+#: Terms in fewer than this share of the texts say nothing. Those in more than COMMON
+#: times an area's even share are weighted by how unevenly the labelled areas use them.
+RARE, COMMON = 0.001, 1.8
+#: Labelled documents that an area's use of a term is smoothed by.
+SMOOTH = 5
 #: A document is clearly of one area, and a sentence of an area, from these cosines and leads on.
 DOC_CLEAR, SENTENCE_CLEAR = (0.5, 0.25), (0.25, 0.1)
 #: Shares an area needs of a document's area sentences and of all its sentences.
@@ -83,16 +86,19 @@ def terms(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 class Weights:
-    """tf-idf of terms that are neither too rare nor too common, from counts over all documents."""
+    """tf-idf of terms that aren't too rare, from counts over all texts and by area over the labelled ones."""
 
-    def __init__(self, df: np.ndarray, areas: int):
+    def __init__(self, df: np.ndarray, areas: int, by_area: np.ndarray | None = None):
         docs = df[:, -1].astype(float)
         self.idf = np.zeros(df.shape, np.float32)
         for s in range(len(df)):
             n = df[s].astype(float)
-            use = (n >= max(2, RARE * docs[s])) & (n <= max(2, min(MOST, COMMON / areas) * docs[s]))
+            use = n >= max(2, RARE * docs[s])
             use[-1] = False
             self.idf[s][use] = np.log((docs[s] + 1) / (n[use] + 1))
+            wide = use & (n > max(2, COMMON / areas * docs[s]))
+            if areas > 1:
+                self.idf[s][wide] *= 0 if by_area is None else _uneven(by_area[s][:, wide], by_area[s][:, -1:], n[wide] / docs[s])
         self.used = [np.flatnonzero(x > 0) for x in self.idf]
         self.place = np.full(df.shape, -1, np.int64)
         for s, u in enumerate(self.used):
@@ -109,6 +115,13 @@ class Weights:
         return g, p, (w / np.maximum(norm[g], 1e-9)).astype(np.float32)
 
 
+def _uneven(count: np.ndarray, docs: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """0 for terms that all areas use alike, 1 for those of few: from the entropy over the areas, each counting the same."""
+    p = (count + SMOOTH * share) / (docs + SMOOTH)
+    p /= p.sum(axis=0)
+    return np.clip(4 * (0.9 + (p * np.log(p)).sum(axis=0) / np.log(len(p))), 0, 1)
+
+
 def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.sort(key)
     edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
@@ -149,6 +162,25 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
     return J.merge_chunks(rows.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), TERM_BITS, 2, np.uint32, np.add, rows.rdd.getNumPartitions())
 
 
+def _by_area(labelled: DataFrame, areas: int) -> np.ndarray:
+    """Labelled texts (``a``, ``text``) of each term: (script, area, term), the last term their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros((2, areas, TERMS), np.uint32)
+        for part, texts in _texts(batches):
+            a = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for s, (row, _, term) in enumerate(terms(texts)):
+                key, _ = _counted(row * TERMS + term)
+                np.add.at(count[s], (a[key // TERMS], key % TERMS), 1)
+                np.add.at(count[s], (a[_counted(row)[0]], TERMS - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(count.tobytes(), 1)], pa.binary())], ["blob"])
+
+    total = np.zeros((2, areas, TERMS), np.int64)
+    for r in labelled.coalesce(8).mapInArrow(run, "blob binary").collect():  # at most 8 rows
+        total += np.frombuffer(zlib.decompress(r.blob), np.uint32).reshape(total.shape)
+    return total
+
+
 def _sum_blocks(table: pa.Table) -> pa.Table:
     total: np.ndarray | None = None
     for blob in table.column("blob").to_pylist():
@@ -248,8 +280,15 @@ def subject_areas(df: DataFrame, areas: DataFrame, labels: DataFrame | None = No
     table, read to the driver); ``labels`` has ``doc_id`` and ``area`` and may be wrong,
     null, repeated or missing. Documents of null, empty or junk text, and those on no
     area, have no row; repeated documents are assigned each; an empty table gives no
-    rows; other columns aren't read.
+    rows; other columns aren't read. Without labels a first pass, by the descriptions
+    and the terms that aren't common, finds some.
     """
+    if labels is None:
+        labels = cut(_pass(df, areas, None, id_col, text_col))
+    return _pass(df, areas, labels, id_col, text_col)
+
+
+def _pass(df: DataFrame, areas: DataFrame, labels: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
@@ -257,28 +296,33 @@ def subject_areas(df: DataFrame, areas: DataFrame, labels: DataFrame | None = No
     names = list(dict.fromkeys(r.area for r in known))
     if not names:
         return rows.where("false").select("doc_id", F.lit("").alias("area"))
-    weights = spark.sparkContext.broadcast(Weights(_frequencies(rows), len(names)))
-    shared = spark.sparkContext.broadcast(_bases(rows, weights))
+    distinct = cut(rows.where("text is not null").select("text").distinct().select(F.lit(0).alias("a"), "text"))
+    labelled = None
+    if labels is not None:
+        number = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))))
+        single = labels.select(F.col("doc_id"), number[F.col("area")].alias("a")).where("doc_id is not null and a is not null").groupBy("doc_id").agg(F.min("a").alias("a"), F.max("a").alias("b")).where("a = b").select("doc_id", "a")
+        chosen = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
+        labelled = cut(rows.where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.mode("a", True).alias("a")).select("a", "text"))
+    by_area = None if labelled is None else _by_area(labelled, len(names))
+    weights = spark.sparkContext.broadcast(Weights(_frequencies(distinct), len(names), by_area))
+    shared = spark.sparkContext.broadcast(_bases(distinct, weights))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
             for s, (row, _, term) in enumerate(terms(texts)):
                 e = _unit(_times(*weights.value.rows(s, row, term, len(texts)), shared.value[s], len(texts)))
                 keep = np.flatnonzero(np.abs(e).sum(axis=1) > 0)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array(np.full(len(keep), s, np.int32)), pa.array([x.tobytes() for x in e[keep].astype(np.float16)], pa.binary())], ["doc_id", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), s, np.int32)), pa.array([x.tobytes() for x in e[keep].astype(np.float16)], pa.binary()), part.column(0).take(pa.array(keep))], ["s", "e", "a"])
 
-    vectors = cut(rows.mapInArrow(embed, f"doc_id {kind}, s int, e binary"))
+    vectors = cut(distinct.mapInArrow(embed, "s int, e binary, a int"))
     seeds = np.zeros((2, len(names), RANK))
     for r in known:
         said = [K.fold("。".join(x for x in (r.name_zh, r.description_zh, r.description_en) if x))]
         for s, (row, _, term) in enumerate(terms(said)):
             seeds[s, names.index(r.area)] += _times(*weights.value.rows(s, row, term, 1), shared.value[s], 1)[0]
     centroids = _unit(seeds)
-    if labels is not None:
-        number = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))))
-        single = labels.select(F.col("doc_id"), number[F.col("area")].alias("a")).where("doc_id is not null and a is not null").groupBy("doc_id").agg(F.min("a").alias("a"), F.max("a").alias("b")).where("a = b").select("doc_id", "a")
-        chosen = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
-        sums = _sums(vectors.join(chosen, "doc_id").select("s", "e", "a"), lambda s, e, a: a.to_numpy(zero_copy_only=False).astype(np.int64), len(names))
+    if labelled is not None:
+        sums = _sums(labelled.mapInArrow(embed, "s int, e binary, a int"), lambda s, e, a: a.to_numpy(zero_copy_only=False).astype(np.int64), len(names))
         has = np.abs(sums).sum(axis=2) > 0
         centroids[has] = _unit(sums)[has]
     for _ in range(ROUNDS):
@@ -290,7 +334,7 @@ def subject_areas(df: DataFrame, areas: DataFrame, labels: DataFrame | None = No
                 out[own] = _nearest(e[own], at[k], DOC_CLEAR)
             return out
 
-        sums = _sums(vectors.select("s", "e", F.lit(0).alias("a")), clear, len(names))
+        sums = _sums(vectors, clear, len(names))
         has = np.abs(sums).sum(axis=2) > 0
         centroids = np.where(has[:, :, None], _unit(sums), centroids)
     final = spark.sparkContext.broadcast(centroids)

@@ -53,3 +53,24 @@ def test_empty_tables(spark):
     assert S.subject_areas(docs.where("false"), areas, known).count() == 0
     assert S.subject_areas(docs, areas.where("false"), known).count() == 0
     assert S.subject_areas(docs, areas, None).count() >= 0
+
+
+def test_copies_and_a_large_area(spark):
+    r = random.Random(3)
+    word = lambda: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(4))
+    words = [[word() for _ in range(5)] for _ in range(12)]
+    name = lambda a: f"area{a:02}"
+    text = lambda a: "。".join(r.sample(["之后".join(r.sample(words[a], 2)) for _ in range(4)] + r.sample(GENERAL, 2), 6))
+    docs, truth = [], {}
+    for i in range(1200):
+        truth[i] = 0 if i % 3 == 0 else 1 + r.randrange(11)  # one area holds a third
+        docs.append((i, text(truth[i]), None))
+    docs += [(2000 + i, docs[1][1], None) for i in range(600)]  # one text is a third of all rows
+    truth |= {2000 + i: truth[1] for i in range(600)}
+    areas = spark.createDataFrame([(name(a), w[0], "、".join(w), "") for a, w in enumerate(words)], "area string, name_zh string, description_zh string, description_en string")
+    labels = spark.createDataFrame([(i, name(truth[i])) for i in [*range(200), *range(2000, 2060)]], "doc_id long, area string")
+    got = {(x.doc_id, x.area) for x in S.subject_areas(spark.createDataFrame(docs, "doc_id long, text string, area string"), areas, labels).collect()}
+    want = {(i, name(a)) for i, a in truth.items()}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+    large = {x for x in want if x[1] == name(0)}
+    assert len(got & large) >= 0.97 * len(large)
