@@ -180,9 +180,12 @@ def majority(df: DataFrame, by: list[str], value: str, out: str = "majority", ti
 
 
 def deficit_split(pdf: pd.DataFrame, shares: tuple[float, float], order: str, size: str) -> pd.DataFrame:
-    """Groups in order, each to the side (train or validation) that lacks more, train on ties, test once neither lacks any."""
-    total = pdf[size].sum()
-    room = [shares[0] * total, shares[1] * total]
+    """Groups in order, each to the side (train or validation) that lacks more, train on ties, test once neither lacks any.
+
+    The sides' sizes are whole numbers, halves rounded to even ones.
+    """
+    total = int(pdf[size].sum())
+    room = [round(shares[0] * total), round(shares[1] * total)]
     out = []
     for n in pdf.sort_values(order)[size]:
         if room[0] <= 0 and room[1] <= 0:
@@ -196,6 +199,45 @@ def deficit_split(pdf: pd.DataFrame, shares: tuple[float, float], order: str, si
     return pdf.sort_values(order).assign(split=out)
 
 
+def deficit_splits(df: DataFrame, key: str, stratum: str, size: str, seed: str, shares: tuple[float, float]) -> DataFrame:
+    """Adds ``split``: the rule of ``deficit_split`` with one running deficit for each stratum, groups in hash order.
+
+    While train lacks at least as much as all of validation, it takes every group; once
+    both are surely full, test does. Hash parts that lie wholly there are settled by
+    the sums of the parts before. The groups between, about a quarter of all, are sorted by Spark and read as a stream, one task a
+    stratum, which holds the two deficits and nothing else. Strata must not be null.
+    """
+    h = df.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 2)).withColumn("_h", F.unhex("_h"))
+    w = Window.partitionBy(stratum)
+    parts = h.groupBy(stratum, "_b").agg(F.sum(size).alias("_s"), F.max(size).alias("_m"))
+    parts = parts.select(stratum, "_b", "_s", (F.sum("_s").over(w.orderBy("_b")) - F.col("_s")).alias("_before"), F.max("_m").over(w).alias("_m"), *(F.bround(F.sum("_s").over(w) * F.lit(p)).cast("long").alias(c) for p, c in zip(shares, ("_t", "_v"))))
+    side = F.when(F.col("_before") + F.col("_s") <= F.col("_t") - F.col("_v"), "train").when(F.col("_before") >= F.col("_t") + F.col("_v") + F.col("_m"), "test")
+    h = h.join(F.broadcast(parts.select(stratum, "_b", (F.col("_t") - F.col("_before")).alias("_t"), "_v", side.alias("split"))), [stratum, "_b"])
+
+    names = df.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, train, validation = None, 0, 0
+        for pdf in batches:
+            out = []
+            for s, n, t, v in zip(pdf[stratum].tolist(), pdf[size].tolist(), pdf["_t"].tolist(), pdf["_v"].tolist()):
+                if s != now:
+                    now, train, validation = s, t, v
+                if train <= 0 and validation <= 0:
+                    out.append("test")
+                elif train >= validation:
+                    out.append("train")
+                    train -= n
+                else:
+                    out.append("validation")
+                    validation -= n
+            yield pdf[names].assign(split=out)
+
+    schema = f"{df.schema.toDDL()}, split string"
+    between = h.where("split is null").repartition(stratum).sortWithinPartitions(stratum, "_h", key)
+    return h.where("split is not null").select(*names, "split").unionByName(between.mapInPandas(run, schema))
+
+
 def coverage_sample(pdf: pd.DataFrame, terms: str, order: str, quota: int) -> pd.DataFrame:
     """Greedy choice by term coverage: new terms first, then the sum of 1 / (1 + document frequency), then the place.
 

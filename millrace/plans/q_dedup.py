@@ -92,13 +92,9 @@ def _(s, d):
 
 @query("d12_deficit_split")
 def _(s, d):
-    from ..operators.dedup import deficit_split, hash_order
-
     g = table(s, d, "assemble_v5").where("group_id is not null").groupBy("group_id").agg(_n().alias("n"), F.min("subset").alias("subset"))
-    g = g.withColumn("subset", F.coalesce("subset", F.lit(""))).withColumn("h", hash_order("42", F.col("group_id")))
-    # one bucket of groups at a time: strata of any size are cut by hash
-    b = g.withColumn("b", F.pmod(F.xxhash64("group_id"), F.lit(64)))
-    return b.groupBy("subset", "b").applyInPandas(lambda pdf: deficit_split(pdf, (0.85, 0.10), "h", "n")[["group_id", "split"]], "group_id string, split string")
+    g = g.withColumn("subset", F.coalesce("subset", F.lit("")))
+    return D.deficit_splits(g, "group_id", "subset", "n", "42", (0.85, 0.10)).select("group_id", "split")
 
 
 @query("d15_ratio_split", "WITH h AS (SELECT sample_id, row_number() OVER (ORDER BY md5('42|' || sample_id), sample_id) AS r, count(*) OVER () AS n FROM data_build) SELECT sample_id, CASE WHEN r <= floor(n * 0.85) THEN 'train' WHEN r <= floor(n * 0.85) + floor(n * 0.10) THEN 'validation' ELSE 'test' END AS split FROM h")

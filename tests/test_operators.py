@@ -69,6 +69,21 @@ def test_deficit_split():
     assert list(out["split"])[0] == "train" and set(out["split"]) <= {"train", "validation", "test"}
 
 
+def test_deficit_split_runs_through_a_stratum(spark, tmp_path):
+    from millrace.plans import queries as core
+
+    r = random.Random(5)
+    rows = [(f"{s}{i}", s) for s, k in (("a", 900), ("b", 40), ("c", 3), (None, 12)) for i in range(k) for _ in range(r.choice([1, 1, 1, 2, 9]))] + [("hot", "a")] * 300
+    df = spark.createDataFrame(rows, "group_id string, subset string")
+    df.write.parquet(str(tmp_path / "assemble_v5.parquet"))
+    got = {x.group_id: x.split for x in core.QUERIES["d12_deficit_split"](spark, str(tmp_path)).collect()}
+    g = df.groupBy("group_id", F.coalesce("subset", F.lit("")).alias("s")).agg(F.count(F.lit(1)).alias("n")).withColumn("h", D.hash_order("42", F.col("group_id"))).toPandas()
+    want = pd.concat(D.deficit_split(x, (0.85, 0.10), "h", "n") for _, x in g.groupby("s"))
+    assert got == dict(zip(want["group_id"], want["split"]))
+    n = len(rows)
+    assert abs(sum(got[x] == "test" for x, _ in rows) - 0.05 * n) < 0.02 * n
+
+
 def test_coverage_prefers_new_terms():
     pdf = pd.DataFrame({"id": [1, 2, 3], "t": [["a"], ["a", "b"], ["c"]]})
     assert list(D.coverage_sample(pdf, "t", "id", 2)["id"]) == [2, 3]
