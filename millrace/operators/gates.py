@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import cut
 
 
 @dataclass(frozen=True)
@@ -102,19 +103,55 @@ def frequent_last_sentences(df: DataFrame, column: str, least: int = 3, chars: i
     return df.where(F.col(column).isNotNull()).select(s.alias("sentence")).where(F.length("sentence") >= chars).groupBy("sentence").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def drop_template_tails(df: DataFrame, column: str, chars: int = 80, least: int = 3, rounds: int = 10, keep: int = 150) -> DataFrame:
-    """Cuts last sentences that are frequent, up to ``rounds`` times; rows cut below ``keep`` characters go.
+#: White space that Python's strip() removes.
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    Adds ``cut`` (sentences removed). Frequencies are of the input; the join is by
-    the sentence and Spark picks its kind, as the list may be of any size.
+
+def _last(x: Column) -> tuple[Column, Column]:
+    """A text without white space at its end, and its last sentence; by plain functions, as a pattern would search from every character."""
+    t = F.rtrim(x, F.lit(_SPACE))
+    head = F.translate(F.left(t, F.length(t) - 1), T.SENTENCE_ENDS, "\n" * len(T.SENTENCE_ENDS))
+    return t, F.concat(F.substring_index(head, "\n", -1), F.right(t, F.lit(1)))
+
+
+def _without_last(x: Column) -> Column:
+    t, last = _last(x)
+    return F.left(t, F.length(t) - F.length(last))
+
+
+def _tail_keys(x: Column, chars: int, shortest: int) -> list[Column]:
+    """Digests of the last ``chars`` characters, and of the last sentence if it has at least ``shortest``; null for none."""
+    last = F.btrim(_last(x)[1], F.lit(_SPACE))
+    digest = lambda kind, c: F.unhex(F.md5(F.concat(F.lit(kind), c)))
+    return [F.when(F.length(x) > 0, digest("tail:", F.right(x, F.lit(chars)))), F.when(F.length(last) >= shortest, digest("sentence:", last))]
+
+
+def drop_template_tails(df: DataFrame, column: str, chars: int = 80, least: int = 3, rounds: int = 10, keep: int = 150, shortest: int = 8) -> DataFrame:
+    """Cuts the last sentence while the last ``chars`` characters or the last sentence are frequent, up to ``rounds`` times; rows cut below ``keep`` characters go.
+
+    Frequencies are of the input: ends that stand in at least ``least`` rows, and last
+    sentences of ``shortest`` characters or more that do. Adds ``cut`` (sentences
+    removed). An empty text has nothing to cut. Only digests of the ends of all rows
+    are shuffled; rounds go over the distinct texts that are still cut, and the lists
+    may be of any size.
     """
-    bad = frequent_last_sentences(df, column, least).select(F.col("sentence").alias("_s"))
-    out = df.withColumn("cut", F.lit(0))
-    for _ in range(rounds):
-        s = F.btrim(T.last_sentence(F.col(column)), F.lit(" \t\r\n"))
-        hit = out.withColumn("_last", s).join(bad.withColumnRenamed("_s", "_last").withColumn("_bad", F.lit(True)), "_last", "left")
-        cut = F.col("_bad") & (F.length(column) > 0)
-        out = hit.withColumn("cut", F.col("cut") + F.when(cut, 1).otherwise(0)).withColumn(column, F.when(cut, T.strip_last(F.col(column))).otherwise(F.col(column))).drop("_last", "_bad")
+    names = df.columns
+    keys = lambda x: F.explode(F.array_compact(F.array(*_tail_keys(x, chars, shortest))))
+    ends = cut(df.select(F.unhex(F.md5(column)).alias("_t"), keys(F.col(column)).alias("_k")))
+    bad = cut(ends.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_k"))
+    hit = ends.join(bad, "_k", "left_semi").select("_t").distinct()
+    left = df.select(F.unhex(F.md5(column)).alias("_t"), F.col(column).alias("_x")).join(hit, "_t", "left_semi").dropDuplicates(["_t"])
+    done = None
+    for i in range(1, rounds + 1):
+        now = cut(left.select("_t", _without_last(F.col("_x")).alias("_x"), F.lit(i).alias("_c")))
+        hit = now.select("_t", keys(F.col("_x")).alias("_k")).join(bad, "_k", "left_semi").select("_t").distinct()
+        left = now.join(hit, "_t", "left_semi")
+        last = now if i == rounds else now.join(hit, "_t", "left_anti")
+        done = last if done is None else done.unionByName(last)
+        if not left.limit(1).count():
+            break
+    out = df.withColumn("_t", F.unhex(F.md5(column))).join(done, "_t", "left")
+    out = out.select(*(F.coalesce("_x", c).alias(c) if c == column else F.col(c) for c in names), F.coalesce("_c", F.lit(0)).alias("cut"))
     return out.where((F.col("cut") == 0) | (F.length(column) >= keep))
 
 

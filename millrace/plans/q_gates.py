@@ -149,7 +149,7 @@ def _(s, d):
 
 @query("f15_tail_truncation")
 def _(s, d):
-    out = G.drop_template_tails(table(s, d, "data_build").where("output is not null").select("sample_id", "output"), "output", rounds=3)
+    out = G.drop_template_tails(table(s, d, "data_build").where("output is not null").select("sample_id", "output"), "output")
     return out.select("sample_id", "cut", F.length("output").alias("chars"))
 
 

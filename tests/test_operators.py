@@ -105,6 +105,37 @@ def test_tail_truncation(spark):
     assert set(got) == {0, 1, 2, 3, 10} and not got[0].x.endswith(tail) and got[10].cut == 0
 
 
+def test_tail_truncation_by_both_lists(spark, tmp_path):
+    from millrace.functions.text import SENTENCE_ENDS
+    from millrace.plans import queries as core
+
+    def last(x, cut=False):
+        x = x.rstrip()
+        i = max((x.rfind(c, 0, len(x) - 1) for c in SENTENCE_ENDS), default=-1) if x else -1
+        return x[: i + 1] if cut else x[i + 1 :].strip()
+
+    r = random.Random(8)
+    han = lambda k: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(k))
+    tails, steps = han(90) + "。短尾。", [han(9) + "。" for _ in range(12)]
+    texts = [han(200) + "。" + tails for _ in range(4)]  # a frequent end, a last sentence of two characters
+    texts += [han(200) + "。" + "".join(steps[:k]) for k in range(1, 13) for _ in range(3)]
+    texts += [han(20) + "。" + tails, han(200) + "。" + steps[0] + " \n　", han(200), "", "", "", None] + texts[:2]
+    df = spark.createDataFrame(list(enumerate(texts)), "sample_id long, output string")
+    df.write.parquet(str(tmp_path / "data_build.parquet"))
+    got = {x.sample_id: (x.cut, x.chars) for x in core.QUERIES["f15_tail_truncation"](spark, str(tmp_path)).collect()}
+    some = [x for x in texts if x is not None]
+    count = lambda values: {k for k in set(values) if values.count(k) >= 3}
+    b1, b2 = count([x[-80:] for x in some if x]), {x for x in count([last(x) for x in some]) if len(x) >= 8}
+    want = {}
+    for i, x in enumerate(texts):
+        n = 0
+        while x and n < 10 and (x[-80:] in b1 or last(x) in b2):
+            x, n = last(x, True), n + 1
+        if x is not None and (not n or len(x) >= 150):
+            want[i] = (n, len(x))
+    assert got == want and {1, 2, 5, 8, 10} <= {n for n, _ in want.values()}
+
+
 def test_loops(spark):
     unit = "".join(chr(0x4E00 + i) for i in range(80))
     df = spark.createDataFrame([(1, unit * 5), (2, unit), (3, ""), (4, None), (5, "x" * 40_000)], "i int, x string")
