@@ -81,6 +81,22 @@ def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str)
     return a.select(F.col("n1").cast("long"), F.col("n2").cast("long"), "u", "z", normal_two_sided("z").alias("p"))
 
 
+def _drawn_means(d: list[float], rounds: int, seed: int, block: int = 1 << 20) -> list[float]:
+    """Means of ``rounds`` resamples, drawn as ``random.Random(seed).randrange`` would: the same generator, its numbers taken in blocks."""
+    *key, pos = random.Random(seed).getstate()[1]
+    raw = np.random.MT19937()
+    raw.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+    x, n = np.array(d, float), len(d)
+    shift, left, means = np.uint64(32 - n.bit_length()), np.zeros(0, np.uint64), []
+    while len(means) < rounds:
+        drawn = raw.random_raw(max(block, n)) >> shift
+        left = np.concatenate([left, drawn[drawn < n]])
+        whole = min(len(left) // n, rounds - len(means))
+        means += [sum(x[i].tolist()) / n for i in left[: whole * n].reshape(whole, n)]
+        left = left[whole * n :]
+    return means
+
+
 def bootstrap_interval(a: list[float], b: list[float], rounds: int = 10_000, seed: int = 42, high: int = 9749) -> tuple[float, float, float]:
     """Mean of b - a and the interval at the 250th and ``high``-th of the sorted resampled means (from 0).
 
@@ -91,8 +107,7 @@ def bootstrap_interval(a: list[float], b: list[float], rounds: int = 10_000, see
     n = len(d)
     if not n:
         return 0.0, 0.0, 0.0
-    rng = random.Random(seed)
-    means = sorted(sum(d[rng.randrange(n)] for _ in range(n)) / n for _ in range(rounds))
+    means = sorted(_drawn_means(d, rounds, seed))
     return sum(d) / n, means[int(0.025 * rounds)], means[min(rounds - 1, high * rounds // 10_000)]
 
 

@@ -290,7 +290,7 @@ def _(s, d):
 
 @query("x06_bootstrap_9750")
 def _(s, d):
-    return S.paired_bootstrap(_pairs(s, d), "entry_id", "ja", "jb", ["style"], rounds=1000, high=9750)
+    return S.paired_bootstrap(_pairs(s, d), "entry_id", "ja", "jb", ["style"], high=9750)
 
 
 @query("x09_spearman_p")
@@ -315,7 +315,7 @@ def _(s, d):
 @query("x16_comparison_bundle")
 def _(s, d):
     p = _pairs(s, d)
-    boot = S.paired_bootstrap(p, "entry_id", "ja", "jb", ["subset"], rounds=1000)
+    boot = S.paired_bootstrap(p, "entry_id", "ja", "jb", ["subset"])
     c = p.groupBy("subset").agg(F.count_if((F.col("ja") >= 0.45) & (F.col("jb") < 0.45)).alias("b"), F.count_if((F.col("ja") < 0.45) & (F.col("jb") >= 0.45)).alias("c"))
     return boot.join(c.select("subset", S.mcnemar("b", "c").alias("p")), boot["subset"].eqNullSafe(c["subset"])).select(boot["*"], "p")
 

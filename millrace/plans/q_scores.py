@@ -90,12 +90,12 @@ def _(s, d):
 
 @query("x03_paired_bootstrap")
 def _(s, d):
-    return S.paired_bootstrap(_pairs(s, d), "entry_id", "ja", "jb", ["subset"], rounds=1000)
+    return S.paired_bootstrap(_pairs(s, d), "entry_id", "ja", "jb", ["subset"])
 
 
 @query("x04_bootstrap_quantiles")
 def _(s, d):
-    return S.paired_bootstrap(_pairs(s, d), "entry_id", "ja", "jb", ["subset"], rounds=1000, variant="numpy")
+    return S.paired_bootstrap(_pairs(s, d), "entry_id", "ja", "jb", ["subset"], variant="numpy")
 
 
 @query("x08_spearman", f"WITH p AS ({_PAIRS}), r AS (SELECT subset, rank() OVER (PARTITION BY subset ORDER BY ja) + (count(*) OVER (PARTITION BY subset, ja) - 1) / 2.0 AS x, rank() OVER (PARTITION BY subset ORDER BY jb) + (count(*) OVER (PARTITION BY subset, jb) - 1) / 2.0 AS y FROM p) SELECT subset, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(x, y), 6) END AS rho FROM r GROUP BY subset")

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -60,6 +61,30 @@ def test_published_values(spark):
     assert round(ci.w.low, 4) == 0.4038 and round(ci.w.high, 4) == 0.5962 and tuple(ci.z) == (0.0, 0.0, 0.0)
 
 
+def test_draws_are_those_of_the_standard_library():
+    for n in (1, 2, 7, 64, 300):
+        d = [math.sin(i) for i in range(n)]
+        rng = random.Random(42)
+        assert S._drawn_means(d, 50, 42, block=1000) == [sum(d[rng.randrange(n)] for _ in range(n)) / n for _ in range(50)]
+
+
+def test_bootstrap_queries_use_all_rounds(spark, monkeypatch):
+    from millrace.plans import queries as core
+
+    asked = {}
+    for name in ("x03_paired_bootstrap", "x04_bootstrap_quantiles", "x06_bootstrap_9750", "x16_comparison_bundle"):
+
+        def note(df, key, a, b, by, rounds=10_000, high=9749, variant="stdlib", name=name):
+            asked[name] = (rounds, high, variant)
+            return df.groupBy(*by).count()
+
+        monkeypatch.setattr(S, "paired_bootstrap", note)
+        at = spark.createDataFrame([(1, "s", "short", "o", (0.1,), (0.2,))], "entry_id long, subset string, style string, origin string, a struct<j: double>, b struct<j: double>")
+        monkeypatch.setitem(core.QUERIES[name].__globals__, "table", lambda *_: at)
+        core.QUERIES[name](spark, "")
+    assert set(asked.values()) == {(10_000, 9749, "stdlib"), (10_000, 9749, "numpy"), (10_000, 9750, "stdlib")} and len(asked) == 4
+
+
 def test_constant_shift_has_no_spread():
     d, lo, hi = S.bootstrap_quantiles(np.arange(9.0), np.arange(9.0) + 0.25, 200)
     assert (d, lo, hi) == (0.25, 0.25, 0.25)
