@@ -21,9 +21,9 @@ BINS, MORE = 224, 2
 
 
 def _scaled(values: np.ndarray, up: bool) -> np.ndarray:
-    """Sizes on a logarithmic scale of one byte, rounded to the safe side."""
+    """Sizes on a logarithmic scale of one byte, rounded to the safe side: up with code c for 2^(c/16), down with c for 2^((c - 1)/16)."""
     q = 16 * np.log2(np.maximum(1, values))
-    return np.clip(np.ceil(q + 1e-9) if up else np.floor(q + 1e-9), 1, 255).astype(np.uint8)
+    return np.clip(np.ceil(q + 1e-9) if up else np.floor(q + 1e-9) + 1, 1, 255).astype(np.uint8)
 
 
 class _Rare:
@@ -100,7 +100,7 @@ def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, i
                 seen.clear()
             least, most = reached[1 - r.side, r.slot].astype(np.float64), reached[3 - r.side, r.slot].astype(np.float64)
             keep = r.keep & new[r.row] & (least > 0)
-            keep &= (r.largest * (1 + 1e-6) >= 2.0 ** ((256 - least) / 16)) & ((most == 255) | (2.0 ** (most / 16) * (1 + 1e-6) >= r.size))
+            keep &= (r.largest * (1 + 1e-6) >= 2.0 ** ((255 - least) / 16)) & ((most == 255) | (2.0 ** (most / 16) * (1 + 1e-6) >= r.size))
             keep = np.flatnonzero(keep)
             row, pos, block = r.row[keep], r.pos[keep], np.zeros(len(keep), np.int64)
             part = (K.mix(r.g[keep] ^ K._M3) % np.uint64(parts)).astype(np.int64)

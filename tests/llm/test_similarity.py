@@ -104,6 +104,16 @@ def test_cross_split_equals_brute_force(spark, rows, hot, monkeypatch):
     assert sum(r.pairs for r in report) == len(want) and sum(r.rows for r in report) == sum(x == 1 for x in s)
 
 
+def test_cross_split_of_three_and_four_tokens(spark):
+    r = random.Random(2)
+    texts = ["甲乙丙丁", "乙丙丁", "戊己庚", "戊己庚辛"] + ["".join(r.choice("子丑寅卯辰") for _ in range(r.choice([3, 4]))) for _ in range(120)]
+    rows = [(i, t, ("validation", "train")[i % 2]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "record_id long, instruction string, split string")
+    got = {(x.record_id_a, x.record_id_b) for x in cross_split.cross_split_pairs(df).select("record_id_a", "record_id_b").collect()}
+    g = [grams(t) for t in texts]
+    assert got == {(i, j) for i in range(len(g)) for j in range(i + 1, len(g)) if (i - j) % 2 and similarity(g[i], g[j]) >= 0.5}
+
+
 def test_empty_tables(spark, rows):
     empty = frame(spark, rows).where("false")
     assert near_dup.near_duplicate_pairs(empty).count() == 0
