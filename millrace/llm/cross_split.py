@@ -15,9 +15,9 @@ from ..shared import cut
 from . import kernels as K
 from . import setjoin as J
 
-SUFFIX = "part int, gram long, cont int, h long, l long, x long, y long, n int, pos int, place int, side tinyint, block long"
-#: Parities of a set that travel with its suffixes, and tokens after the first three.
-BINS, MORE = 224, 2
+SUFFIX = "part int, gram long, h long, l long, x long, y long, n int, pos int, side tinyint, block long"
+#: Parities of a set that travel with its suffixes.
+BINS = 224
 
 
 def _scaled(values: np.ndarray, up: bool) -> np.ndarray:
@@ -27,27 +27,30 @@ def _scaled(values: np.ndarray, up: bool) -> np.ndarray:
 
 
 class _Rare:
-    """The suffixes of a batch that can start a span shared with the other side, by what is known so far.
+    """The suffixes of a batch that can be the first that a pair shares, by what is known so far.
 
     A text that is similar enough to another shares one of its rarest grams with it
     (as many as may be missing, and one more). One suffix is kept of each such gram,
-    if the sketch of the other side has the gram at all.
+    if the sketch of the other side has the gram at all, of texts that the other side
+    may cover far enough.
     """
 
     def __init__(self, texts: list, side: np.ndarray, level: np.ndarray, sides: np.ndarray, bits: int, t: tuple[int, int]):
-        g, row, place, cont = K.suffixes([K.fold(x) for x in texts], more=MORE)
+        g, row = K.suffixes([K.fold(x) for x in texts])
         slot = (K.mix(g) >> np.uint64(64 - bits)).astype(np.int64)
         key = (row.astype(np.uint64) << np.uint64(52)) | (level[slot].astype(np.uint64) << np.uint64(44)) | g
         by = np.argsort(key)
         key = key[by]
         by = by[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])]
-        self.g, self.row, self.place, self.cont, self.slot = g[by], row[by], place[by], cont[by], slot[by]
+        self.g, self.row, self.slot = g[by], row[by], slot[by]
         self.n = np.bincount(self.row, minlength=len(texts))
         self.at = np.concatenate([[0], np.cumsum(self.n)])
         self.pos = np.arange(len(by)) - np.repeat(self.at[:-1], self.n)
         size = self.n[self.row]
         self.side = side[self.row].astype(np.int64)
-        self.keep = (self.pos < size - J.least(t, size) + 1) & ((sides[self.slot] >> (1 - self.side)) & 1 > 0)
+        there = (sides[self.slot] >> (1 - self.side)) & 1 > 0
+        most = np.bincount(self.row[there], minlength=len(texts))  # grams the other side can cover
+        self.keep = (self.pos < size - J.least(t, size) + 1) & there & (most >= J.least(t, self.n))[self.row]
         #: the largest partner that can still be similar if this is the first gram they share
         self.largest = (t[0] + t[1]) * (size - self.pos) // t[0] - size
         self.size = size
@@ -73,7 +76,7 @@ def _reach(src: DataFrame, order: J.Order, t: tuple[int, int]) -> np.ndarray:
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int8()), pa.array([c // J.CHUNK], pa.int64()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["side", "h", "slot", "blob"])
 
-    return J.merge_chunks(src.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), bits, 4, np.uint8, np.maximum, order.tasks)
+    return J.merge_chunks(src.select("rid", "side", "text").mapInArrow(run, "side tinyint, h long, slot int, blob binary"), bits, 4, np.uint8, np.maximum, order.tasks)
 
 
 def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, int], parts: int) -> DataFrame:
@@ -82,7 +85,7 @@ def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, i
     Suffixes go to partitions by their first three tokens, so a partition owns whole
     intervals of the suffix array of all texts.
     """
-    shared, bits, bound = order.shared, order.bits, src.sparkSession.sparkContext.broadcast(reach)
+    shared, bits, most_in_task, bound = order.shared, order.bits, order.hot, src.sparkSession.sparkContext.broadcast(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, sides, _ = shared.value
@@ -105,37 +108,39 @@ def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, i
             row, pos, block = r.row[keep], r.pos[keep], np.zeros(len(keep), np.int64)
             part = (K.mix(r.g[keep] ^ K._M3) % np.uint64(parts)).astype(np.int64)
             count = 2.0 ** (level[r.slot[keep]] / 6)
-            hot = np.flatnonzero(count > J.HOT)
+            hot = np.flatnonzero(count > most_in_task)
             if len(hot):
-                index, blk = J.blocks(low[row[hot]], count[hot])
-                cold = np.flatnonzero(count <= J.HOT)
+                index, blk = J.blocks(low[row[hot]], count[hot], most_in_task)
+                cold = np.flatnonzero(count <= most_in_task)
                 take = np.concatenate([cold, hot[index]])
                 part = np.concatenate([part[cold], (part[hot[index]] + (K.mix(blk.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)) % parts])
                 keep, row, pos, block = keep[take], row[take], pos[take], np.concatenate([block[cold], blk])
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(r.g[keep].astype(np.int64)), pa.array(r.cont[keep].astype(np.uint32).view(np.int32)), pa.array(high[row]), pa.array(low[row]), pa.array(third[row]), pa.array(fourth[row]), pa.array(r.n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(r.place[keep].astype(np.int32)), pa.array(side[row].astype(np.int8)), pa.array(block)], ["part", "gram", "cont", "h", "l", "x", "y", "n", "pos", "place", "side", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(r.g[keep].astype(np.int64)), pa.array(high[row]), pa.array(low[row]), pa.array(third[row]), pa.array(fourth[row]), pa.array(r.n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(side[row].astype(np.int8)), pa.array(block)], ["part", "gram", "h", "l", "x", "y", "n", "pos", "side", "block"])
 
-    return src.mapInArrow(run, SUFFIX)
+    return src.select("rid", "side", "text").mapInArrow(run, SUFFIX)
 
 
 def _shared_spans(suffixes: DataFrame, t: tuple[int, int], parts: int) -> DataFrame:
-    """Cross-split pairs of texts and how much of the evaluation text their shared spans cover.
+    """Cross-split pairs of texts and how many grams their shared spans cover, as far as they meet here.
 
-    A partition sorts its suffixes; neighbours' common prefixes give the intervals
-    of suffixes that start alike. Two suffixes of one interval from different sides
-    begin a shared span, as long as the least common prefix between them. Spans of a
-    pair are merged into the number of evaluation tokens they cover.
+    A partition sorts its suffixes; those that start alike are neighbours, and each
+    interval of such neighbours pairs the suffixes of one side with those of the other,
+    if the needed overlap is still in reach there. The spans that begin behind are
+    counted for the pairs found, in ``setjoin.summed``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        gram, cont, h, l, third, fourth, n, pos, place, side, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 12))
+        gram, h, l, third, fourth, n, pos, side, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 10))
         del held
-        by = np.lexsort((cont & 0xFFFFFFFF, block, gram))
-        gram, cont, h, l, third, fourth, n, pos, place, side, block = (c[by] for c in (gram, cont, h, l, third, fourth, n, pos, place, side, block))
+        by = np.lexsort((l, side, K.mix(gram.astype(np.uint64) ^ K.mix(block.astype(np.uint64)))))
+        gram, h, l, third, fourth, n, pos, side, block = (c[by] for c in (gram, h, l, third, fourth, n, pos, side, block))
         same = (gram[1:] == gram[:-1]) & (block[1:] == block[:-1])
-        edge = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
+        once = np.concatenate([[True], ~(same & (side[1:] == side[:-1]) & (l[1:] == l[:-1]) & (h[1:] == h[:-1]))])  # a class that several tasks sent
+        gram, h, l, third, fourth, n, pos, side, block = (c[once] for c in (gram, h, l, third, fourth, n, pos, side, block))
+        edge = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1]), [True]]))
         part, cross = J.own_part(l, block), J.crosses(block)
         interval = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         evals, trains = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
@@ -149,24 +154,12 @@ def _shared_spans(suffixes: DataFrame, t: tuple[int, int], parts: int) -> DataFr
             x = np.repeat(evals[at:end], m)
             y = trains[np.repeat(first[at:end] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
             at = end
-            ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= J.overlap_needed(t, n[x], n[y]))
+            ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & J.reachable(t, n[x], n[y], pos[x], pos[y])
             x, y = x[ok], y[ok]
             ok = K.differing_bits(h[x], l[x], h[y], l[y]) + sum(np.bitwise_count((c[x] ^ c[y]).view(np.uint64)) for c in (third, fourth)) <= J.may_differ(t, n[x], n[y])
             x, y = x[ok], y[ok]
-            if not len(x):
-                continue
-            differ = (cont[x] ^ cont[y]) & 0xFFFFFFFF
-            more = np.full(len(x), MORE)
-            for k in range(MORE):
-                more = np.where(differ >> 16 * (MORE - 1 - k) == 0, more, np.minimum(more, k))
-            # a token is covered once: spans of a pair in order of their place, each counted from the end of the last
-            by = np.lexsort((place[x], l[y], h[y], l[x], h[x]))
-            x, y, more = x[by], y[by], more[by]
-            begin, stop = place[x], place[x] + 3 + more
-            old = np.zeros(len(x), np.int64)
-            alike = (h[x][1:] == h[x][:-1]) & (l[x][1:] == l[x][:-1]) & (h[y][1:] == h[y][:-1]) & (l[y][1:] == l[y][:-1])
-            old[1:] = np.where(alike, np.minimum(stop[:-1], stop[1:]), 0)
-            pairs.add(h[x], l[x], h[y], l[y], np.maximum(0, stop - np.maximum(begin, old)))
+            if len(x):
+                pairs.add(h[x], l[x], h[y], l[y], np.ones(len(x), np.int64))
         yield from pairs.batches()
 
     return suffixes.repartitionById(parts, "part").mapInArrow(run, J.PAIRS)
@@ -181,11 +174,13 @@ def side_of(split: F.Column) -> F.Column:
 def cross_split_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "instruction", split_col: str = "split", threshold: tuple[int, int] = (1, 2)) -> DataFrame:
     """(``record_id_a`` < ``record_id_b``): one row in train, one in validation or test, similar at or above the threshold.
 
-    Candidates come from the suffix array of all texts (adjacent suffixes of
-    different sides that start alike), their spans are summed per pair, and the
-    exact similarity of the token sets decides. Rows of null, empty or short text
-    (under three tokens) or of no split are in no pair; copies are; an empty table
-    gives no rows; only the three named columns are read.
+    Pairs come from the suffix array of all texts, partitioned by the first three
+    tokens: neighbours of different sides start a shared span. What the shared spans
+    of a pair cover is summed, and the sum decides. Kept are the suffixes that can be
+    the first a similar pair shares; spans behind them are counted for the pairs found.
+    Rows of null, empty or short text (under three tokens) or of no split are in no
+    pair; copies are; ids may be of any type that has an order; an empty table gives no
+    rows; only the three named columns are read.
     """
     src = J.source(df, id_col, text_col, side_of(df[split_col]))
     bits = J.sketch_bits(df.count())
@@ -195,22 +190,95 @@ def cross_split_pairs(df: DataFrame, id_col: str = "record_id", text_col: str =
     parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
     reach = _reach(src, order, threshold)
     spans = _shared_spans(_suffixes(src, order, reach, threshold, parts), threshold, parts)
-    pairs = cut(spans.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("covered")))
-    found = cut(J.similar(src, members, pairs, threshold))
+    pairs = cut(spans.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("w")))
+    found = cut(J.summed(src, members, pairs, order, threshold, BINS))
     side = lambda k: members.select(F.col("h").alias(f"{k}h"), F.col("l").alias(f"{k}l"), F.col("rid").alias(f"r{k}"), F.col("side").alias(f"s{k}"))
     between = found.select("ah", "al", "bh", "bl").join(side("a"), ["ah", "al"]).join(side("b"), ["bh", "bl"]).where("sa <> sb").select("ra", "rb")
-    mixed = members.groupBy("h", "l").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo <> hi").select("h", "l")
-    copies = members.join(mixed, ["h", "l"], "left_semi")
-    within = copies.where("side = 0").select("h", "l", F.col("rid").alias("ra")).join(copies.where("side = 1").select("h", "l", F.col("rid").alias("rb")), ["h", "l"]).select("ra", "rb")
+    within = J.copies(members, F.col("side") == 0, F.col("side") == 1)
     both = between.unionByName(within)
     return both.select(F.least("ra", "rb").alias("record_id_a"), F.greatest("ra", "rb").alias("record_id_b"))
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str = "record_id", split_col: str = "split", by: tuple[str, ...] = ("subset", "origin")) -> DataFrame:
-    """Evaluation rows with a counterpart in train, and their pairs, per split and ``by`` column.
+def coverage(df: DataFrame, id_col: str = "record_id", text_col: str = "instruction", split_col: str = "split") -> DataFrame:
+    """(``id``, ``grams``, ``covered``): the distinct grams of each evaluation row, and how many of them stand in any training row.
+
+    The whole suffix array: every distinct start of the evaluation texts and every one
+    that a training task holds go to a partition by their first three tokens and are
+    sorted; an evaluation suffix beside a training one that starts alike is covered.
+    Rows of null, empty or short text (under three tokens) have no row here.
+    """
+    src = J.source(df, id_col, text_col, side_of(df[split_col]))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), src.rdd.getNumPartitions() * 4)
+    kind = src.schema["rid"].dataType.simpleString()
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rid, _, texts in J._batches(batches):
+            g, at = J._grams(texts)
+            n = np.diff(at)
+            high, low, *_ = K.set_ids(g, at)
+            keep = n > 0
+            yield pa.RecordBatch.from_arrays([rid.filter(pa.array(keep)), pa.array(high[keep]), pa.array(low[keep]), pa.array(n[keep].astype(np.int32))], ["id", "h", "l", "n"])
+
+    members = cut(src.where("side = 1").select("rid", "side", "text").mapInArrow(classes, f"id {kind}, h long, l long, n int"))
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(1 << 20, np.uint64)  # training starts this task sent last, one a slot: fewer repeats
+        for _, side, texts in J._batches(batches):
+            g, at = J._grams(texts)
+            n = np.diff(at)
+            high, low, *_ = K.set_ids(g, at)
+            row = np.repeat(np.arange(len(n)), n)
+            u = g.astype(np.uint64)
+            mine = np.flatnonzero(side[row] == 1)
+            train = np.unique(u[side[row] == 0])
+            slot = (K.mix(train) >> np.uint64(44)).astype(np.int64)
+            train, slot = train[met[slot] != train + np.uint64(1)], slot[met[slot] != train + np.uint64(1)]
+            met[slot] = train + np.uint64(1)
+            gram = np.concatenate([train, u[mine]])
+            of = lambda x: pa.concat_arrays([pa.nulls(len(train), pa.int64()), pa.array(x[row[mine]])])
+            part = (K.mix(gram ^ K._M3) % np.uint64(parts)).astype(np.int32)
+            by = np.lexsort((gram, part))  # sorted suffixes compress better
+            yield pa.RecordBatch.from_arrays([pa.array(part[by]), pa.array(gram[by].astype(np.int64)), of(high).take(pa.array(by)), of(low).take(pa.array(by))], ["part", "gram", "h", "l"])
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, refs, trained = [], [], []
+        for b in batches:  # training starts are merged as they come
+            g = b.column(1).to_numpy(zero_copy_only=False)
+            ours = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            trained.append(np.unique(g[~ours]))
+            if len(trained) > 64:
+                trained = [np.unique(np.concatenate(trained))]
+            grams.append(g[ours])
+            refs.append(np.stack([b.column(k).drop_null().to_numpy(zero_copy_only=False) for k in (2, 3)], axis=1))
+        if not grams:
+            return
+        train, gram, ref = np.unique(np.concatenate(trained)), np.concatenate(grams), np.concatenate(refs)
+        at = np.minimum(np.searchsorted(train, gram), max(0, len(train) - 1))
+        hit = train[at] == gram if len(train) else np.zeros(len(gram), bool)
+        # a class is sent by each of its rows; a gram of it counts once
+        by = np.lexsort((gram[hit], ref[hit][:, 1], ref[hit][:, 0]))
+        ref, gram = ref[hit][by], gram[hit][by]
+        new = np.concatenate([np.ones(min(1, len(by)), bool), (ref[1:] != ref[:-1]).any(axis=1) | (gram[1:] != gram[:-1])])
+        ref = ref[new]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(ref)), bool), (ref[1:] != ref[:-1]).any(axis=1)]))
+        count = np.diff(np.append(start, len(ref)))
+        yield pa.RecordBatch.from_arrays([pa.array(ref[start, 0]), pa.array(ref[start, 1]), pa.array(count.astype(np.int32))], ["h", "l", "c"])
+
+    sums = src.select("rid", "side", "text").mapInArrow(suffixes, "part int, gram long, h long, l long").repartitionById(parts, "part").mapInArrow(covered, "h long, l long, c int").groupBy("h", "l").agg(F.sum("c").alias("c"))
+    return members.join(sums, ["h", "l"], "left").select("id", F.col("n").cast("long").alias("grams"), F.coalesce("c", F.lit(0)).alias("covered"))
+
+
+def overlap_report(df: DataFrame, pairs: DataFrame, covered: DataFrame | None = None, id_col: str = "record_id", split_col: str = "split", by: tuple[str, ...] = ("subset", "origin")) -> DataFrame:
+    """Evaluation rows with a counterpart in train, their pairs, and the grams that train covers, per split and ``by`` column.
 
     Every group of evaluation rows has a row, of zeros if nothing overlaps.
+    ``covered`` is what ``coverage`` gives; without it those two columns are missing.
     """
     rows = df.where(side_of(df[split_col]) == 1).select(F.col(id_col).alias("_id"), F.col(split_col).alias("split"), *by)
     hits = pairs.select(F.explode(F.array("record_id_a", "record_id_b")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(hits, "_id", "left").groupBy("split", *by).agg(F.count(F.lit(1)).alias("rows"), F.count("_n").alias("overlapping"), F.coalesce(F.sum("_n"), F.lit(0)).alias("pairs"))
+    rows = rows.join(hits, "_id", "left")
+    more = []
+    if covered is not None:
+        rows = rows.join(covered.select(F.col("id").alias("_id"), "grams", "covered"), "_id", "left")
+        more = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("grams", "covered")]
+    return rows.groupBy("split", *by).agg(F.count(F.lit(1)).alias("rows"), F.count("_n").alias("overlapping"), F.coalesce(F.sum("_n"), F.lit(0)).alias("pairs"), *more)

@@ -87,25 +87,11 @@ def gram_sets(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return (key & _GRAM_MASK).astype(np.int64), np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
 
 
-def suffixes(texts: list[str], n: int = 3, more: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, row, place, continuation) of every suffix of at least n tokens.
-
-    The continuation holds the ``more`` tokens after the gram, 16 bits of each,
-    first token highest, 0 beyond the end of the text: suffixes sorted by gram and
-    continuation are a suffix array to a depth of n + more tokens.
-    """
+def suffixes(texts: list[str], n: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, row) of every suffix of at least n tokens, in text order: suffixes sorted by gram are a suffix array to n tokens."""
     h, row = tokens(texts)
     g, ok = _grams(h, row, n)
-    at = np.flatnonzero(ok)
-    far = np.concatenate([h, np.zeros(n + more, np.uint64)])
-    of = np.concatenate([row, np.full(n + more, -1)])
-    cont = np.zeros(len(at), np.uint64)
-    for k in range(more):
-        there = at + n + k
-        lane = np.where(of[there] == row[at], (far[there] & np.uint64(0xFFFF)) | np.uint64(1), np.uint64(0))
-        cont = cont << np.uint64(16) | lane
-    begin = np.searchsorted(row, np.arange(len(texts)))
-    return g[at], row[at], at - begin[row[at]], cont
+    return g[ok], row[: len(g)][ok]
 
 
 def set_ids(grams: np.ndarray, offsets: np.ndarray, bins: int = 96) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -16,12 +16,12 @@ from . import setjoin as J
 
 
 def _postings(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) -> DataFrame:
-    """Each class's rarest grams, cut along the global order into fragments.
+    """Each class's grams from which a needed overlap may start, cut along the global order into fragments.
 
     A fragment is a contiguous range of the order; every level of frequency is cut
     into as many as its share of all grams, and fragments go round the partitions.
     """
-    shared, bits = order.shared, order.bits
+    shared, bits, most = order.shared, order.bits, order.hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, _, mass = shared.value
@@ -47,16 +47,16 @@ def _postings(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) ->
             part = (first[lev] + ((key & ((1 << 44) - 1)) * cuts[lev] >> 44)) % parts
             block = np.zeros(len(row), np.int64)
             count = 2.0 ** (lev / 6)
-            hot = np.flatnonzero(count > J.HOT)
+            hot = np.flatnonzero(count > most)
             if len(hot):
-                index, blk = J.blocks(low[row[hot]], count[hot])
-                cold = np.flatnonzero(count <= J.HOT)
+                index, blk = J.blocks(low[row[hot]], count[hot], most)
+                cold = np.flatnonzero(count <= most)
                 take = np.concatenate([cold, hot[index]])
                 part = np.concatenate([part[cold], (part[hot[index]] + (K.mix(blk.astype(np.uint64)) >> np.uint64(40)).astype(np.int64)) % parts])
                 key, row, pos, block = key[take], row[take], pos[take], np.concatenate([block[cold], blk])
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key), pa.array(high[row]), pa.array(low[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(block)], ["part", "gram", "h", "l", "n", "pos", "block"])
 
-    return src.mapInArrow(run, "part int, gram long, h long, l long, n int, pos int, block long")
+    return src.select("rid", "side", "text").mapInArrow(run, "part int, gram long, h long, l long, n int, pos int, block long")
 
 
 def _partial_overlaps(postings: DataFrame, t: tuple[int, int], parts: int) -> DataFrame:
@@ -64,7 +64,8 @@ def _partial_overlaps(postings: DataFrame, t: tuple[int, int], parts: int) -> Da
 
     A pair counts at a gram only if, given both sizes and both places in the order,
     the needed overlap can still be reached from there on; a pair at or above t has
-    such a gram, namely its first common one.
+    such a gram, namely its first common one. The grams behind are counted for the
+    pairs found, in ``setjoin.summed``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +74,11 @@ def _partial_overlaps(postings: DataFrame, t: tuple[int, int], parts: int) -> Da
             return
         gram, h, l, n, pos, block = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64) for k in range(1, 7))
         del held
-        by = np.argsort(K.mix(gram.astype(np.uint64) ^ K.mix(block.astype(np.uint64))))
+        by = np.lexsort((l, K.mix(gram.astype(np.uint64) ^ K.mix(block.astype(np.uint64)))))
         gram, h, l, n, pos, block = gram[by], h[by], l[by], n[by], pos[by], block[by]
+        # a class that several tasks sent counts once
+        once = np.concatenate([[True], (gram[1:] != gram[:-1]) | (block[1:] != block[:-1]) | (l[1:] != l[:-1]) | (h[1:] != h[:-1])])
+        gram, h, l, n, pos, block = (c[once] for c in (gram, h, l, n, pos, block))
         same = (gram[1:] == gram[:-1]) & (block[1:] == block[:-1])
         edge = np.flatnonzero(np.concatenate([[True], ~same, [True]]))
         end = np.repeat(edge[1:], np.diff(edge))
@@ -83,7 +87,7 @@ def _partial_overlaps(postings: DataFrame, t: tuple[int, int], parts: int) -> Da
         while len(at):
             at = at[at + step < end[at]]
             x, y = at, at + step
-            ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= J.overlap_needed(t, n[x], n[y]))
+            ok = ((h[x] != h[y]) | (l[x] != l[y])) & (~cross[x] | (part[x] != part[y])) & J.reachable(t, n[x], n[y], pos[x], pos[y])
             x, y = x[ok], y[ok]
             ok = K.differing_bits(h[x], l[x], h[y], l[y]) <= J.may_differ(t, n[x], n[y])
             x, y = x[ok], y[ok]
@@ -104,8 +108,8 @@ def class_pairs(df: DataFrame, id_col: str, text_col: str, threshold: tuple[int,
     order = J.Order(df.sparkSession, seen.where("kind = 1"), bits, src.rdd.getNumPartitions())
     parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
     partial = _partial_overlaps(_postings(src, order, threshold, parts), threshold, parts)
-    pairs = cut(partial.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("shared")))
-    return members, cut(J.similar(src, members, pairs, threshold))
+    pairs = cut(partial.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("w")))
+    return members, cut(J.summed(src, members, pairs, order, threshold))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "instruction", threshold: tuple[int, int] = (7, 10)) -> DataFrame:
@@ -113,19 +117,17 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "record_id", text_col: str
 
     Similarity is the Jaccard index of the sets of three consecutive tokens. The
     global n-gram order, rarest first, is cut into fragments; each fragment counts
-    the overlap of the pairs that meet in it, and the counts are summed per pair.
-    Fragments of grams beyond a set's prefix can't bring a new pair and are counted
-    only for pairs already found, in the exact check.
+    the overlap of the pairs that meet in it. Grams behind the reach of a pair can't
+    bring a new pair; their overlap is counted for the pairs found. The partial
+    overlaps are summed per pair, and the sum decides.
 
     Null, empty and short texts (under three tokens) are in no pair; copies are in
-    pairs of similarity 1; a repeated id pairs with itself in no row; an empty table
-    gives an empty result; other columns are not read.
+    pairs of similarity 1; ids of any type that has an order; a repeated id pairs with
+    itself in no row; an empty table gives an empty result; other columns are not read.
     """
     members, pairs = class_pairs(df, id_col, text_col, threshold)
     between = pairs.select("ah", "al", "bh", "bl").join(members.select(F.col("h").alias("ah"), F.col("l").alias("al"), F.col("rid").alias("ra")), ["ah", "al"]).join(members.select(F.col("h").alias("bh"), F.col("l").alias("bl"), F.col("rid").alias("rb")), ["bh", "bl"]).select("ra", "rb")
-    twice = members.groupBy("h", "l").count().where("count > 1").select("h", "l")
-    copies = members.join(twice, ["h", "l"], "left_semi").select("h", "l", F.col("rid").alias("ra"))
-    within = copies.join(copies.select("h", "l", F.col("ra").alias("rb")), ["h", "l"]).where("ra < rb").select("ra", "rb")
+    within = J.copies(members, F.lit(True), F.lit(True)).where("ra < rb")
     both = between.unionByName(within)
     return both.where("ra <> rb").select(F.least("ra", "rb").alias("record_id_a"), F.greatest("ra", "rb").alias("record_id_b"))
 

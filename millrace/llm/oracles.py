@@ -35,3 +35,16 @@ de AS (SELECT table_name, row_id, unnest({_RUNS}) AS x FROM d WHERE length(t) >=
 SELECT table_name, row_id, id AS item_id FROM de JOIN qe USING (x) GROUP BY table_name, row_id, id, n HAVING 5 * count(*) >= 2 * n"""
 
 P6 = _SETS + ", p AS (SELECT a.id AS record_id_a, b.id AS record_id_b, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN f ON f.x = a.x JOIN e b ON b.x = a.x AND a.id < b.id GROUP BY ALL) SELECT record_id_a, record_id_b FROM p WHERE 10 * o >= 7 * (na + nb - o)"
+
+P4_REPORT = f"""WITH found AS ({P4}), hits AS (SELECT id, count(*) AS n FROM (SELECT record_id_a AS id FROM found UNION ALL SELECT record_id_b FROM found) GROUP BY id),
+tok AS (SELECT record_id AS id, lower(trim(split)) AS s, regexp_extract_all({_fold('instruction')}, '[a-z0-9]+|[一-鿿]') AS t FROM assemble_v5),
+one AS (SELECT id, s, unnest({_GRAMS}) AS x FROM tok), train AS (SELECT DISTINCT x FROM one WHERE s = 'train'),
+cov AS (SELECT id, count(*) AS grams, count(train.x) AS covered FROM one LEFT JOIN train USING (x) GROUP BY id)
+SELECT a.split, subset, origin, count(*) AS rows, count(hits.n) AS overlapping, coalesce(sum(hits.n), 0) AS pairs, coalesce(sum(grams), 0) AS grams, coalesce(sum(covered), 0) AS covered
+FROM assemble_v5 a LEFT JOIN hits ON hits.id = a.record_id LEFT JOIN cov ON cov.id = a.record_id WHERE lower(trim(a.split)) IN ('validation', 'test') GROUP BY a.split, subset, origin"""
+
+P6_GROUPS = f"""WITH RECURSIVE found AS ({P6}), tok AS (SELECT record_id AS id, regexp_extract_all({_fold('instruction')}, '[a-z0-9]+|[一-鿿]') AS t FROM assemble_v5),
+cls AS (SELECT id, list_sort({_GRAMS}) AS g FROM tok WHERE len(t) > 2), edge AS (SELECT record_id_a AS x, record_id_b AS y FROM found UNION ALL SELECT record_id_b, record_id_a FROM found),
+r AS (SELECT id AS node, id AS root FROM cls UNION SELECT y, root FROM r JOIN edge ON x = node WHERE y > root), root AS (SELECT node AS id, min(root) AS group_id FROM r GROUP BY node),
+links AS (SELECT a.id, count(DISTINCT b.g) AS links FROM edge JOIN cls a ON a.id = x JOIN cls b ON b.id = y WHERE a.g <> b.g GROUP BY a.id), many AS (SELECT g, count(*) AS copies FROM cls GROUP BY g)
+SELECT id AS record_id, group_id, coalesce(links, 0) AS links, copies FROM cls JOIN many USING (g) JOIN root USING (id) LEFT JOIN links USING (id)"""

@@ -31,7 +31,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_pairs(table(spark, sf_dir, "assemble_v5"))
 
 
-@query("p6_groups")
+@query("p6_groups", oracles.P6_GROUPS)
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_groups(table(spark, sf_dir, "assemble_v5"))
 
@@ -51,10 +51,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_pairs(table(spark, sf_dir, "assemble_v5"))
 
 
-@query("p4_report")
+@query("p4_report", oracles.P4_REPORT)
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "assemble_v5")
-    return cross_split.overlap_report(rows, cross_split.cross_split_pairs(rows))
+    return cross_split.overlap_report(rows, cross_split.cross_split_pairs(rows), cross_split.coverage(rows))
 
 
 @query("p1_found", oracles.P1)

@@ -5,9 +5,18 @@ A table of texts becomes sets of three-token grams. Rows of equal sets form one
 copies cost nothing however many there are.
 
 The global order is by document frequency, read from a counting sketch over all
-rows. A sketch may only overstate a frequency, and any total order gives right
-results; the sketch decides how selective the order is, never what is found.
-Its size is bounded (at most 2**24 counters of one byte each on the executors).
+rows. Any total order gives right results; the sketch decides how selective the
+order is, never what is found. Its size is bounded (at most 2**24 counters of one
+byte each), and so is what a task sends of it: one byte a counter, on a logarithmic
+scale. A gram counts as hot only far above the average counter, so that a sketch
+full of rare grams makes none of them look hot.
+
+The overlap of a pair is a sum of two counts that have no gram in common. A pair
+meets at a shared gram only if the overlap it needs can still be reached from there
+on, by the places of the gram in both sets; those grams are counted where they meet.
+All other shared grams are counted from the sets of the pairs found
+(``summed``). The sum decides. Grams are 44-bit hashes: two texts of a hundred grams
+get a false overlap with a chance of 6e-10, two of 1e5 grams with 6e-4.
 """
 
 from __future__ import annotations
@@ -30,14 +39,14 @@ ROWS = 4096
 CHUNK = 1 << 16
 #: Postings of one gram that one task pairs; beyond it the gram is split in blocks.
 HOT = 20_000
-BLOB = 5
+#: Bytes of a gram in a stored set.
+BLOB = 6
 
-PROFILE = "kind tinyint, h long, l long, rid long, side tinyint, n int, slot int, blob binary"
 
 
 def sketch_bits(rows: int) -> int:
     """Counters follow the data up to the bound of 2**24."""
-    return int(min(24, max(16, np.ceil(np.log2(max(1, rows) * 8)))))
+    return int(min(24, max(16, np.ceil(np.log2(max(1, rows) * 32)))))
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -48,11 +57,19 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+#: The count a level stands for.
+COUNT_OF = np.concatenate([[0], np.ceil(2.0 ** (np.arange(255) / 6) - 1e-9)]).astype(np.uint64)
+
+
+def add_levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return level_of(COUNT_OF[a] + COUNT_OF[b])
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
+            yield part.column(0), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
 
 
 def _grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -60,21 +77,22 @@ def _grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def source(df: DataFrame, id_col: str, text_col: str, side: Column | None = None) -> DataFrame:
-    """(rid, side, text); rows of a null side or id take no part."""
+    """(rid, side, text, key); rows of a null side or id take no part. Ids may be of any type; ``key`` is their hash."""
     side = F.lit(0) if side is None else side
-    return df.select(df[id_col].cast("long").alias("rid"), side.cast("tinyint").alias("side"), df[text_col].cast("string").alias("text")).where("rid is not null and side is not null and text is not null")
+    rows = df.select(df[id_col].alias("rid"), side.cast("tinyint").alias("side"), df[text_col].cast("string").alias("text"))
+    return rows.where("rid is not null and side is not null and text is not null").withColumn("key", F.xxhash64("rid"))
 
 
 def profile(src: DataFrame, bits: int, bins: int = 96) -> DataFrame:
     """One pass: rows of kind 0 give each row's class, rows of kind 1 chunks of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << bits), np.uint32)
+        counts, kind = np.zeros((2, 1 << bits), np.uint32), pa.null()
         names = ["kind", "h", "l", "rid", "side", "n", "slot", "blob"]
         for rid, side, texts in _batches(batches):
             g, at = _grams(texts)
             n = np.diff(at)
-            per_row = np.repeat(side, n)
+            per_row, kind = np.repeat(side, n), rid.type
             h = (K.mix(g.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
             for s in (0, 1):
                 own = h[per_row == s]
@@ -83,23 +101,26 @@ def profile(src: DataFrame, bits: int, bins: int = 96) -> DataFrame:
             keep = n > 0
             m = int(keep.sum())
             high, low, *_ = K.set_ids(g, at, bins)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(high[keep]), pa.array(low[keep]), pa.array(rid[keep].astype(np.int64)), pa.array(side[keep].astype(np.int8)), pa.array(n[keep].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(high[keep]), pa.array(low[keep]), rid.filter(pa.array(keep)), pa.array(side[keep].astype(np.int8)), pa.array(n[keep].astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         for s in (0, 1):
             for c in range(0, 1 << bits, CHUNK):
                 part = counts[s, c : c + CHUNK]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([c // CHUNK], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([s], pa.int8()), pa.nulls(1, pa.int32()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([c // CHUNK], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.array([s], pa.int8()), pa.nulls(1, pa.int32()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(level_of(part).tobytes(), 1)])], names)
 
-    return src.mapInArrow(run, PROFILE)
+    return src.select("rid", "side", "text").mapInArrow(run, f"kind tinyint, h long, l long, rid {src.schema['rid'].dataType.simpleString()}, side tinyint, n int, slot int, blob binary")
 
 
 def _merged(table: pa.Table, kind: type, merge) -> pa.Table:
-    total = np.zeros(CHUNK, np.uint64)
+    wide = np.zeros(CHUNK, np.uint8 if merge is np.maximum else np.uint64)
     for blob in table.column("blob").to_pylist():
         part = np.frombuffer(zlib.decompress(blob), kind)
-        total[: len(part)] = merge(total[: len(part)], part)
-    total = np.minimum(total, np.iinfo(kind).max).astype(kind)
+        if merge is add_levels:  # counts are added exactly and rounded once
+            wide[: len(part)] += COUNT_OF[part]
+        else:
+            wide[: len(part)] = merge(wide[: len(part)], part)
+    total = level_of(wide) if merge is add_levels else np.minimum(wide, np.iinfo(kind).max).astype(kind)
     first = table.slice(0, 1)
     return pa.table({"side": first.column("side"), "h": first.column("h"), "slot": first.column("slot"), "blob": pa.array([zlib.compress(total.tobytes(), 1)])})
 
@@ -126,17 +147,19 @@ class Order:
     """The global order on the driver: a level byte per counter and which sides have it."""
 
     def __init__(self, spark: SparkSession, chunks: DataFrame, bits: int, tasks: int):
-        counts = merge_chunks(chunks, bits, 2, np.uint32, np.add, tasks)
+        counts = merge_chunks(chunks, bits, 2, np.uint8, add_levels, tasks)
         level, sides = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.uint8)
         mass, grams = np.zeros(256), 0
         for at in range(0, 1 << bits, CHUNK):  # piece by piece: the sketch may have 2**24 counters
-            part = counts[:, at : at + CHUNK].astype(np.uint64)
+            part = COUNT_OF[counts[:, at : at + CHUNK]]
             total = part.sum(axis=0)
             level[at : at + CHUNK] = own = level_of(total)
             sides[at : at + CHUNK] = (part[0] > 0).astype(np.uint8) | ((part[1] > 0).astype(np.uint8) << 1)
             mass += np.bincount(own, weights=total.astype(np.float64), minlength=256)
             grams += int(total.sum())
         self.bits, self.grams, self.tasks = bits, grams, tasks
+        #: postings of one gram that one task pairs, well above what an average counter holds
+        self.hot = max(HOT, 4 * grams >> bits)
         self.shared = spark.sparkContext.broadcast((level, sides, mass))
 
     def parts(self, spark: SparkSession, share: float) -> int:
@@ -165,13 +188,13 @@ def ordered(g: np.ndarray, at: np.ndarray, level: np.ndarray, bits: int) -> tupl
     return (key & np.uint64((1 << 52) - 1)).astype(np.int64), (K.mix(u) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def blocks(cls: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of posting, block) for postings of grams with more than HOT postings.
+def blocks(cls: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of posting, block) for postings of grams with more than ``most`` postings.
 
     The classes of such a gram fall in S parts by hash; a posting goes to the S
     blocks that hold its part, so each pair of parts meets in one block.
     """
-    parts = np.minimum(-(-count // HOT), 4096).astype(np.int64)
+    parts = np.minimum(-(-count // most), 4096).astype(np.int64)
     own = (K.mix(cls.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
     index = np.repeat(np.arange(len(cls)), parts)
     other = np.arange(len(index)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -231,17 +254,23 @@ class Pairs:
 PAIRS = "ah long, al long, bh long, bl long, w long"
 
 
-def similar(src: DataFrame, members: DataFrame, pairs: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The exact check of candidate class pairs: (ah, al, bh, bl, na, nb, overlap) of those at or above t.
+def reachable(t: tuple[int, int], na: np.ndarray, nb: np.ndarray, pa_: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """Whether two sets that share grams from these places in the order on can still reach their needed overlap."""
+    return np.minimum(na - pa_, nb - pb) >= overlap_needed(t, na, nb)
+
+
+def summed(src: DataFrame, members: DataFrame, pairs: DataFrame, order: Order, t: tuple[int, int], bins: int = 96) -> DataFrame:
+    """(ah, al, bh, bl, na, nb, overlap) of the class pairs whose overlaps sum to a similarity of t or more.
 
-    Only classes that occur in a pair have their sets built again. A bitmap of
-    those rows (1 MB, whatever the data) keeps the rest from being tokenised; the
-    join decides, the bitmap only saves work.
+    ``pairs`` brings in ``w`` the shared grams already counted: those at which the needed
+    overlap was still in reach. The sets of the pairs, in the global order, give the
+    count of all the others. Only classes that occur in a pair have their sets built
+    again. A bitmap of those rows (1 MB, whatever the data) keeps the rest from being
+    tokenised; the join decides, the bitmap only saves work.
     """
-    spark = src.sparkSession
+    spark, shared, order_bits = src.sparkSession, order.shared, order.bits
     in_pairs = pairs.select(F.explode(F.array(F.struct(F.col("ah").alias("h"), F.col("al").alias("l")), F.struct(F.col("bh").alias("h"), F.col("bl").alias("l")))).alias("c")).select("c.h", "c.l").distinct()
-    reps = members.join(in_pairs, ["h", "l"], "left_semi").groupBy("h", "l").agg(F.min("rid").alias("rid"))
-    reps = cut(reps)
+    reps = cut(members.join(in_pairs, ["h", "l"], "left_semi").groupBy("h", "l").agg(F.min("rid").alias("rid")))
     bits = 23
 
     def bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,46 +285,73 @@ def similar(src: DataFrame, members: DataFrame, pairs: DataFrame, t: tuple[int,
             total |= np.frombuffer(zlib.decompress(blob), np.uint8)
         return pa.table({"slot": table.slice(0, 1).column("slot"), "blob": pa.array([zlib.compress(total.tobytes(), 1)])})
 
-    some = reps.select("rid").mapInArrow(bitmap, "blob binary").select((F.spark_partition_id() % 32).alias("slot"), "blob")
-    rows = some.groupBy("slot").applyInArrow(join_bitmaps, "slot int, blob binary").collect()
+    some = reps.select(F.xxhash64("rid").alias("key")).mapInArrow(bitmap, "blob binary").select((F.spark_partition_id() % 32).alias("slot"), "blob")
+    rows = some.groupBy("slot").applyInArrow(join_bitmaps, "slot int, blob binary").collect()  # at most 32 rows
     total = np.zeros(1 << bits >> 3, np.uint8)
     for r in rows:
         total |= np.frombuffer(zlib.decompress(r.blob), np.uint8)
     wanted = spark.sparkContext.broadcast(total)
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = np.unpackbits(wanted.value).astype(bool)
+        bit, level = np.unpackbits(wanted.value).astype(bool), shared.value[0]
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = bit[(K.mix(rid.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)]
+            key = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = bit[(K.mix(key.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)]
             batch = batch.filter(pa.array(keep))
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 g, off = _grams(part.column(2).to_pylist())
+                high, low, *_ = K.set_ids(g, off, bins)
+                g = ordered(g, off, level, order_bits)[0] & ((1 << 44) - 1)
                 packed = g.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :BLOB].tobytes()
-                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((off * BLOB).astype(np.int32).tobytes()), pa.py_buffer(packed)])
-                yield pa.RecordBatch.from_arrays([part.column(0), data], ["rid", "grams"])
+                data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((off * BLOB).astype(np.int64).tobytes()), pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(high), pa.array(low), data.cast(pa.binary())], ["rid", "h", "l", "grams"])
 
-    sets = src.mapInArrow(blobs, "rid long, grams binary").join(reps, "rid").select("h", "l", "grams")
+    # a repeated id may hold other texts; the class tells them apart
+    built = src.mapInArrow(blobs, f"rid {src.schema['rid'].dataType.simpleString()}, h long, l long, grams binary")
+    sets = built.join(reps, ["rid", "h", "l"]).groupBy("h", "l").agg(F.first("grams").alias("grams"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                keys, sizes = [], []
+                m, wide, sizes = part.num_rows, [], []
                 for name in ("ga", "gb"):
                     blob = part.column(part.schema.get_field_index(name)).to_pylist()
-                    n = np.fromiter((len(x) // BLOB for x in blob), np.int64, len(blob))
-                    wide = np.zeros((int(n.sum()), 8), np.uint8)
-                    wide[:, :BLOB] = np.frombuffer(b"".join(blob), np.uint8).reshape(-1, BLOB)
-                    keys.append((np.repeat(np.arange(len(blob), dtype=np.uint64), n) << np.uint64(8 * BLOB)) | wide.view("<u8").ravel())
-                    sizes.append(n)
+                    sizes.append(np.fromiter((len(x) // BLOB for x in blob), np.int64, m))
+                    gram = np.zeros((int(sizes[-1].sum()), 8), np.uint8)
+                    gram[:, :BLOB] = np.frombuffer(b"".join(blob), np.uint8).reshape(-1, BLOB)
+                    wide.append(gram.view("<u8").ravel())
+                na, nb = sizes
+                need = overlap_needed(t, na, nb)
+                keys = []
+                for gram, n in zip(wide, sizes):
+                    row = np.repeat(np.arange(m), n)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                    behind = place > (n - need)[row]  # not counted where the pair met, whatever the other's place
+                    keys.append(row.astype(np.uint64) << np.uint64(45) | gram << np.uint64(1) | behind.astype(np.uint64))
                 key = np.concatenate(keys)
                 key.sort()
-                both = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(8 * BLOB)).astype(np.int64), minlength=part.num_rows)
-                na, nb = sizes
+                twice = (key[1:] >> np.uint64(1) == key[:-1] >> np.uint64(1)) & ((key[1:] | key[:-1]) & np.uint64(1) > 0)
+                rest = np.bincount((key[1:][twice] >> np.uint64(45)).astype(np.int64), minlength=m)
+                both = part.column(part.schema.get_field_index("w")).to_numpy(zero_copy_only=False).astype(np.int64) + rest
                 ok = both * t[1] >= t[0] * (na + nb - both)
                 yield pa.RecordBatch.from_arrays([*(part.column(k).filter(pa.array(ok)) for k in range(4)), *(pa.array(x[ok].astype(np.int32)) for x in (na, nb, both))], ["ah", "al", "bh", "bl", "na", "nb", "overlap"])
 
-    full = pairs.select("ah", "al", "bh", "bl").join(sets.toDF("ah", "al", "ga"), ["ah", "al"]).join(sets.toDF("bh", "bl", "gb"), ["bh", "bl"]).select("ah", "al", "bh", "bl", "ga", "gb")
+    full = pairs.select("ah", "al", "bh", "bl", "w").join(sets.toDF("ah", "al", "ga"), ["ah", "al"]).join(sets.toDF("bh", "bl", "gb"), ["bh", "bl"]).select("ah", "al", "bh", "bl", "w", "ga", "gb")
     return full.mapInArrow(count, "ah long, al long, bh long, bl long, na int, nb int, overlap int")
+
+
+def copies(members: DataFrame, left: Column, right: Column, most: int | None = None) -> DataFrame:
+    """(ra, rb): the pairs of rows of one class, one of ``left`` and one of ``right``.
+
+    A class of many rows is cut into parts by a hash of the id, and each pair of
+    parts is a key of its own, so that no task holds more than two parts.
+    """
+    most = most or HOT
+    size = members.groupBy("h", "l").agg(F.count(F.lit(1)).alias("c"), F.count_if(left).alias("x"), F.count_if(right).alias("y")).where("c > 1 and x > 0 and y > 0").select("h", "l", F.ceil(F.col("c") / most).cast("int").alias("parts"))
+    rows = members.join(size, ["h", "l"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("parts").cast("long")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = rows.where(left).select("h", "l", F.col("own").alias("p"), every.alias("q"), F.col("rid").alias("ra"))
+    b = rows.where(right).select("h", "l", every.alias("p"), F.col("own").alias("q"), F.col("rid").alias("rb"))
+    return a.join(b, ["h", "l", "p", "q"]).select("ra", "rb")

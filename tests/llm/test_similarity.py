@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import cross_split, near_dup
 from millrace.llm import kernels as K
@@ -134,3 +135,47 @@ def test_kernels_equal_plain_python():
     ids = list(zip(*(x.tolist() for x in K.set_ids(g, at)[:2])))
     assert all((ids[i] == ids[j]) == (plain[i] == plain[j]) for i in range(len(texts)) for j in range(len(texts)))
     assert K.tokens([])[0].size == 0 and K.gram_sets([])[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)"])
+def test_ids_of_any_type_and_repeated_ids(spark, kind):
+    texts = ["甲乙丙丁戊己庚辛", "甲乙丙丁戊己庚", "子丑寅卯辰巳午未", "子丑寅卯辰巳午", "甲乙丙丁戊己庚"]
+    rows = [("1", texts[0], "train"), ("1", texts[2], "train"), ("5", texts[1], "test"), ("2", texts[3], "validation"), ("7", texts[4], "train")]
+    df = spark.createDataFrame(rows, "record_id string, instruction string, split string").withColumn("record_id", F.col("record_id").cast(kind))
+    # id 1 holds two texts; each is compared on its own
+    near = sorted((str(x.record_id_a), str(x.record_id_b)) for x in near_dup.near_duplicate_pairs(df).collect())
+    assert near == [("1", "2"), ("1", "5"), ("1", "7"), ("5", "7")]
+    cross = sorted((str(x.record_id_a), str(x.record_id_b)) for x in cross_split.cross_split_pairs(df).collect())
+    assert cross == [("1", "2"), ("1", "5"), ("5", "7")]
+
+
+@pytest.mark.parametrize("module, name, sides", [(near_dup, "near_duplicate_pairs", 1), (cross_split, "cross_split_pairs", 2)])
+def test_the_partial_overlaps_decide(spark, rows, monkeypatch, module, name, sides):
+    """Without what the fragments (or suffix intervals) counted, pairs are missed."""
+    whole = getattr(module, name)(frame(spark, rows)).count()
+    right = J.summed
+    monkeypatch.setattr(J, "summed", lambda src, members, pairs, *more: right(src, members, pairs.withColumn("w", F.lit(0).cast("long")), *more))
+    assert getattr(module, name)(frame(spark, rows)).count() < whole
+
+
+def test_a_hot_class_is_paired_in_parts(spark):
+    members = spark.createDataFrame([(1, 1, i, i % 3 == 0) for i in range(40)] + [(2, 2, 99, True)], "h long, l long, rid long, side boolean")
+    got = {(r.ra, r.rb) for r in J.copies(members, F.col("side"), ~F.col("side"), most=7).collect()}
+    assert got == {(i, j) for i in range(40) for j in range(40) if i % 3 == 0 and j % 3}
+
+
+def test_coverage_equals_brute_force(spark, rows):
+    s = [{"train": 0, "validation": 1, "test": 1}.get((r[2] or "").strip().lower()) for r in rows]
+    g = [grams(r[1]) for r in rows]
+    train = frozenset().union(*(x for x, k in zip(g, s) if k == 0))
+    got = {r.id: (r.grams, r.covered) for r in cross_split.coverage(frame(spark, rows)).collect()}
+    assert got == {i: (len(x), len(x & train)) for i, (x, k) in enumerate(zip(g, s)) if k == 1 and x}
+    assert cross_split.coverage(frame(spark, rows).where("false")).count() == 0
+
+
+def test_levels_add_up():
+    import numpy as np
+
+    c = np.array([0, 1, 2, 3, 5, 8, 1000, 10**9], np.uint64)
+    got = J.COUNT_OF[J.level_of(c)]
+    assert (got[:6] == c[:6]).all() and (abs(got.astype(float) - c) <= 0.13 * c).all()
