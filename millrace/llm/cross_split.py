@@ -61,7 +61,7 @@ def _reach(src: DataFrame, order: J.Order, t: tuple[int, int]) -> np.ndarray:
     shared, bits = order.shared, order.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, sides, _ = shared.value
+        level, sides, _ = shared.value.unpacked()
         found = np.zeros((4, 1 << bits), np.uint8)
         for _, side, texts in J._batches(batches):
             r = _Rare(texts, side, level, sides, bits, t)
@@ -85,11 +85,11 @@ def _suffixes(src: DataFrame, order: J.Order, reach: np.ndarray, t: tuple[int, i
     Suffixes go to partitions by their first three tokens, so a partition owns whole
     intervals of the suffix array of all texts.
     """
-    shared, bits, most_in_task, bound = order.shared, order.bits, order.hot, src.sparkSession.sparkContext.broadcast(reach)
+    shared, bits, most_in_task, bound = order.shared, order.bits, order.hot, src.sparkSession.sparkContext.broadcast(J.Sent(reach))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, sides, _ = shared.value
-        reached = bound.value
+        level, sides, _ = shared.value.unpacked()
+        reached = bound.value.unpacked()[0]
         seen: set[tuple[int, int, int]] = set()
         for _, side, texts in J._batches(batches):
             r = _Rare(texts, side, level, sides, bits, t)

@@ -24,7 +24,7 @@ def _postings(src: DataFrame, order: J.Order, t: tuple[int, int], parts: int) ->
     shared, bits, most = order.shared, order.bits, order.hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, _, mass = shared.value
+        level, _, mass = shared.value.unpacked()
         cuts = np.maximum(1, np.ceil(16 * parts * mass / max(1.0, mass.sum()))).astype(np.int64)
         first = np.cumsum(cuts) - cuts
         seen: set[tuple[int, int]] = set()

@@ -143,6 +143,21 @@ def merge_chunks(chunks: DataFrame, bits: int, sides: int, kind: type, merge, ta
     return out[:, : 1 << bits]
 
 
+class Sent:
+    """Arrays to broadcast: compressed on the way and on disk, unpacked once in each worker."""
+
+    def __init__(self, *arrays: np.ndarray):
+        self.blobs, self.arrays = [(zlib.compress(a.tobytes(), 1), a.dtype.str, a.shape) for a in arrays], None
+
+    def __getstate__(self) -> dict:
+        return {"blobs": self.blobs, "arrays": None}
+
+    def unpacked(self) -> list[np.ndarray]:
+        if self.arrays is None:
+            self.arrays = [np.frombuffer(zlib.decompress(b), kind).reshape(shape) for b, kind, shape in self.blobs]
+        return self.arrays
+
+
 class Order:
     """The global order on the driver: a level byte per counter and which sides have it."""
 
@@ -160,7 +175,7 @@ class Order:
         self.bits, self.grams, self.tasks = bits, grams, tasks
         #: postings of one gram that one task pairs, well above what an average counter holds
         self.hot = max(HOT, 4 * grams >> bits)
-        self.shared = spark.sparkContext.broadcast((level, sides, mass))
+        self.shared = spark.sparkContext.broadcast(Sent(level, sides, mass))
 
     def parts(self, spark: SparkSession, share: float) -> int:
         """Partitions for postings: at most about 1.5 million in each."""
@@ -293,7 +308,7 @@ def summed(src: DataFrame, members: DataFrame, pairs: DataFrame, order: Order, t
     wanted = spark.sparkContext.broadcast(total)
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit, level = np.unpackbits(wanted.value).astype(bool), shared.value[0]
+        bit, level = np.unpackbits(wanted.value).astype(bool), shared.value.unpacked()[0]
         for batch in batches:
             key = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = bit[(K.mix(key.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)]
