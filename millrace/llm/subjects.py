@@ -3,9 +3,11 @@
 Two term spaces, one for Han bigrams and one for Latin words and word pairs, each
 hashed to a fixed number of terms and weighted by tf-idf over all distinct texts,
 so that copies count once; a term of many documents counts as far as the labels
-show it to be some areas' own. The leading right singular vectors of each come from a block power iteration: a pass
-over the documents multiplies a basis by A'A, partition by partition, and only the
-term-by-rank product is summed, whose size doesn't depend on the data. Documents
+show it to be some areas' own. Texts are tokenised once; every later pass reads their
+term numbers. The leading right singular vectors of each space come from a block
+power iteration: a pass over the documents multiplies a basis by A'A, partition by
+partition, and only the term-by-rank product is summed, whose size doesn't depend on
+the data, until the space they span settles. Documents
 and their sentences are then vectors of that rank. Centroids start from labelled
 documents (or an area's description where it has none), and are refined on the
 documents clearly nearest to one. A sentence belongs to an area if its cosine to
@@ -28,7 +30,9 @@ from ..shared import cut
 from . import kernels as K
 from . import setjoin as J
 
-TERM_BITS, RANK, POWER, ROUNDS = 15, 64, 2, 4
+TERM_BITS, RANK, POWER, ROUNDS = 16, 64, 4, 4
+#: The power iteration ends when the singular values change by less than this share (at most POWER passes).
+SETTLED = 0.05
 TERMS = 1 << TERM_BITS
 #: Labelled documents read at most for the first centroids.
 LABELS = 50_000
@@ -147,11 +151,57 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [K.fold(t) for t in part.column(1).to_pylist()]
 
 
-def _frequencies(rows: DataFrame) -> np.ndarray:
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One binary value a row, of ``counts`` numbers each."""
+    at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, how many of each row) of such a column."""
+    blobs = column.to_pylist()
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(blobs), kind), np.fromiter((len(b) // width for b in blobs), np.int64, len(blobs))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(a, l0, t0, l1, t1) of (a, text): per script the terms of each text, sentence by sentence, and the sentences' lengths.
+
+    Written to the shared folder: tokenised once, read by every pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _texts(batches):
+            out = [part.column(0)]
+            for row, sentence, term in terms(texts):
+                by = np.argsort(sentence, kind="stable")
+                row, sentence, term = row[by], sentence[by], term[by]
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), sentence[1:] != sentence[:-1]]))
+                length = np.diff(np.append(new, len(row))).astype(np.uint32)
+                out += [_binary(length, np.bincount(row[new], minlength=len(texts))), _binary(term.astype(np.uint16), np.bincount(row, minlength=len(texts)))]
+            yield pa.RecordBatch.from_arrays(out, ["a", "l0", "t0", "l1", "t1"])
+
+    return cut(rows.mapInArrow(run, f"a {rows.schema['a'].dataType.simpleString()}, l0 binary, t0 binary, l1 binary, t1 binary"))
+
+
+def _spaces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]]:
+    """(a, number of texts, per script (row, sentence, owner of each sentence, term)) of numbered texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part, spaces = batch.slice(at, ROWS), []
+            n = part.num_rows
+            for s in (0, 1):
+                length, sentences = _numbers(part.column(1 + 2 * s), np.uint32)
+                term, count = _numbers(part.column(2 + 2 * s), np.uint16)
+                spaces.append((np.repeat(np.arange(n), count), np.repeat(np.arange(len(length)), length.astype(np.int64)), np.repeat(np.arange(n), sentences), term.astype(np.int64)))
+            yield part.column(0), n, spaces
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros((2, TERMS), np.uint32)
-        for _, texts in _texts(batches):
-            for s, (row, _, term) in enumerate(terms(texts)):
+        for _, _, spaces in _spaces(batches):
+            for s, (row, _, _, term) in enumerate(spaces):
                 key, _ = _counted(row * TERMS + term)
                 df[s] += np.bincount(key % TERMS, minlength=TERMS).astype(np.uint32)
                 df[s, -1] += len(_counted(row)[0])
@@ -159,17 +209,17 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
         for s in (0, 1):
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int8()), pa.array([0], pa.int64()), pa.array([task % 32], pa.int32()), pa.array([zlib.compress(df[s].tobytes(), 1)])], ["side", "h", "slot", "blob"])
 
-    return J.merge_chunks(rows.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), TERM_BITS, 2, np.uint32, np.add, rows.rdd.getNumPartitions())
+    return J.merge_chunks(texts.mapInArrow(run, "side tinyint, h long, slot int, blob binary"), TERM_BITS, 2, np.uint32, np.add, texts.rdd.getNumPartitions())
 
 
 def _by_area(labelled: DataFrame, areas: int) -> np.ndarray:
-    """Labelled texts (``a``, ``text``) of each term: (script, area, term), the last term their number."""
+    """Labelled texts of each term, ``a`` being their area: (script, area, term), the last term their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, areas, TERMS), np.uint32)
-        for part, texts in _texts(batches):
-            a = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for s, (row, _, term) in enumerate(terms(texts)):
+        for of, _, spaces in _spaces(batches):
+            a = of.to_numpy(zero_copy_only=False).astype(np.int64)
+            for s, (row, _, _, term) in enumerate(spaces):
                 key, _ = _counted(row * TERMS + term)
                 np.add.at(count[s], (a[key // TERMS], key % TERMS), 1)
                 np.add.at(count[s], (a[_counted(row)[0]], TERMS - 1), 1)
@@ -196,18 +246,19 @@ def _bases(rows: DataFrame, weights) -> list[np.ndarray]:
     rng = np.random.default_rng(7)
     bases = [np.linalg.qr(rng.standard_normal((max(len(u), RANK), RANK)))[0].astype(np.float32)[: len(u)] for u in w.used]
     block = 2048
+    before = [np.zeros(RANK)] * 2
     for _ in range(POWER):
         basis = spark.sparkContext.broadcast(bases)
 
         def run(batches: Iterator[pa.RecordBatch], basis=basis) -> Iterator[pa.RecordBatch]:
             own = weights.value
             total = [np.zeros(b.shape, np.float32) for b in basis.value]
-            for _, texts in _texts(batches):
-                for s, (row, _, term) in enumerate(terms(texts)):
+            for _, n, spaces in _spaces(batches):
+                for s, (row, _, _, term) in enumerate(spaces):
                     if not len(basis.value[s]):
                         continue
-                    g, p, x = own.rows(s, row, term, len(texts))
-                    y = _times(g, p, x, basis.value[s], len(texts))
+                    g, p, x = own.rows(s, row, term, n)
+                    y = _times(g, p, x, basis.value[s], n)
                     by = np.argsort(p, kind="stable")
                     part = _times(p[by], g[by], x[by], y, len(total[s]))
                     total[s] += part
@@ -224,6 +275,11 @@ def _bases(rows: DataFrame, weights) -> list[np.ndarray]:
             product[r.s][r.block : r.block + len(part)] = part
         bases = [np.linalg.qr(p)[0].astype(np.float32) if len(p) >= RANK else p.astype(np.float32) for p in product]
         bases = [b if b.shape[1:] == (RANK,) else np.zeros((len(b), RANK), np.float32) for b in bases]
+        values = [np.linalg.svd(p, compute_uv=False) if len(p) else np.zeros(RANK) for p in product]
+        settled = all(len(v) == len(o) and (np.abs(v - o) <= SETTLED * v).all() for v, o in zip(values, before))
+        before = values
+        if settled:
+            break
     return bases
 
 
@@ -296,25 +352,27 @@ def _pass(df: DataFrame, areas: DataFrame, labels: DataFrame | None, id_col: str
     names = list(dict.fromkeys(r.area for r in known))
     if not names:
         return rows.where("false").select("doc_id", F.lit("").alias("area"))
-    distinct = cut(rows.where("text is not null").select("text").distinct().select(F.lit(0).alias("a"), "text"))
+    rows = rows.where("text is not null").withColumn("key", F.unhex(F.md5("text")))
+    texts = numbered(rows.groupBy("key").agg(F.first("text").alias("text")).select(F.col("key").alias("a"), "text"))
     labelled = None
     if labels is not None:
         number = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))))
         single = labels.select(F.col("doc_id"), number[F.col("area")].alias("a")).where("doc_id is not null and a is not null").groupBy("doc_id").agg(F.min("a").alias("a"), F.max("a").alias("b")).where("a = b").select("doc_id", "a")
         chosen = single.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS)
-        labelled = cut(rows.where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.mode("a", True).alias("a")).select("a", "text"))
+        labelled = numbered(rows.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.mode("a", True).alias("a")).select("a", "text"))
     by_area = None if labelled is None else _by_area(labelled, len(names))
-    weights = spark.sparkContext.broadcast(Weights(_frequencies(distinct), len(names), by_area))
-    shared = spark.sparkContext.broadcast(_bases(distinct, weights))
+    weights = spark.sparkContext.broadcast(Weights(_frequencies(texts), len(names), by_area))
+    shared = spark.sparkContext.broadcast(_bases(texts, weights))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches):
-            for s, (row, _, term) in enumerate(terms(texts)):
-                e = _unit(_times(*weights.value.rows(s, row, term, len(texts)), shared.value[s], len(texts)))
+        for a, n, spaces in _spaces(batches):
+            for s, (row, _, _, term) in enumerate(spaces):
+                e = _unit(_times(*weights.value.rows(s, row, term, n), shared.value[s], n))
                 keep = np.flatnonzero(np.abs(e).sum(axis=1) > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), s, np.int32)), pa.array([x.tobytes() for x in e[keep].astype(np.float16)], pa.binary()), part.column(0).take(pa.array(keep))], ["s", "e", "a"])
+                of = a.take(pa.array(keep)) if pa.types.is_integer(a.type) else pa.nulls(len(keep), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), s, np.int32)), pa.array([x.tobytes() for x in e[keep].astype(np.float16)], pa.binary()), of], ["s", "e", "a"])
 
-    vectors = cut(distinct.mapInArrow(embed, "s int, e binary, a int"))
+    vectors = cut(texts.mapInArrow(embed, "s int, e binary, a int"))
     seeds = np.zeros((2, len(names), RANK))
     for r in known:
         said = [K.fold("。".join(x for x in (r.name_zh, r.description_zh, r.description_en) if x))]
@@ -340,24 +398,19 @@ def _pass(df: DataFrame, areas: DataFrame, labels: DataFrame | None, id_col: str
     final = spark.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches):
-            n = len(texts)
+        for key, n, spaces in _spaces(batches):
             count, sentences = np.zeros((n, len(names)), np.int64), np.zeros(n, np.int64)
-            for s, (row, sentence, term) in enumerate(terms(texts)):
-                if not len(row):
+            for s, (_, group, owner, term) in enumerate(spaces):
+                if not len(owner):
                     continue
-                by = np.argsort(sentence, kind="stable")
-                row, sentence, term = row[by], sentence[by], term[by]
-                new = np.concatenate([[True], sentence[1:] != sentence[:-1]])
-                group, owner = np.cumsum(new) - 1, row[new]
                 sentences += np.bincount(owner, minlength=n)
                 e = _unit(_times(*weights.value.rows(s, group, term, len(owner)), shared.value[s], len(owner)))
                 near = _nearest(e, final.value[s], SENTENCE_CLEAR)
                 np.add.at(count, (owner[near >= 0], near[near >= 0]), 1)
             r, a = np.nonzero(_decide(count, sentences))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array([names[k] for k in a], pa.string())], ["doc_id", "area"])
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(r)), pa.array([names[k] for k in a], pa.string())], ["key", "area"])
 
-    return rows.mapInArrow(assign, f"doc_id {kind}, area string")
+    return rows.select("doc_id", "key").join(texts.mapInArrow(assign, "key binary, area string"), "key").select("doc_id", "area")
 
 
 def composition(found: DataFrame, df: DataFrame, id_col: str = "doc_id") -> DataFrame:

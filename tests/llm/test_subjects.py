@@ -74,3 +74,17 @@ def test_copies_and_a_large_area(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
     large = {x for x in want if x[1] == name(0)}
     assert len(got & large) >= 0.97 * len(large)
+
+
+def test_one_area_of_most_documents(spark):
+    """The mix is measured, not assumed: an area of two thirds of the corpus is found as the others are."""
+    rows, truth = corpus(1200, seed=5)
+    large = [r for r in rows if truth[r[0]] == {"optics"}]
+    more = [(5000 + i, t[1] + GENERAL[i % 3] + f"第{i}次", None) for i, t in enumerate(large * 8)]
+    truth |= {5000 + i: {"optics"} for i in range(len(more))}
+    labels = [(i, next(iter(truth[i]))) for i in [*range(150), *range(5000, 5100)] if len(truth[i]) == 1]
+    docs, areas, known = frames(spark, rows + more, labels)
+    got = {(r.doc_id, r.area) for r in S.subject_areas(docs, areas, known).collect()}
+    want = {(i, a) for i in truth for a in truth[i]}
+    assert sum(truth[i] == {"optics"} for i in truth) > 0.6 * len(truth)
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
