@@ -36,12 +36,20 @@ REFUSALS = (
     "I won't be able to provide that information",
     "Thank you for asking. I would rather not provide a solution here; please consult a professional",
 )
-#: Openings that name the speaker and the refusal in one sentence.
+#: A speaker who declines to answer, in one sentence, whatever the wording.
 _DECLINES = re.compile(
-    r"(?:我|本助手|本人|这里|恕)[^。！？!?]{0,14}(?:无法|不能|不便|不会|不予|没办法|没有能力|无权|拒绝|决定不)[^。！？!?]{0,6}(?:回答|作答|解答|答复|提供|给出|协助|帮助|处理|讨论|判断|满足)"
-    r"|\bI(?:'m| am)? (?:can(?:no|')t|cannot|won't|will not|must decline|am unable|am not able|have to decline|don't have the ability|would rather not|decline)\b[^.!?]{0,40}\b(?:help|assist|answer|advice|advise|provide|judge|discuss|describe|respond|comment|this|that)\b",
+    r"(?:我(?!们)|本助手|本人|这里|恕|作为.{0,12}(?:模型|助手))[^。！？!?\n]{0,14}(?:无法|不能|不便|不会|不予|没办法|没法|没有能力|无权|无力|拒绝|决定不|不方便|不适合|不打算|难以)[^。！？!?\n]{0,6}(?:回答|作答|解答|答复|回应|回复|提供|给出|给到|协助|帮助|帮到|帮上|处理|讨论|谈论|判断|满足|透露|评论|展开|奉告)"
+    r"|(?:恕难从命|无可奉告|爱莫能助|恕不(?:回答|奉告|受理)|请恕我|(?:我|这边)(?:帮不了|帮不上|答不了|答不上来|给不了|给不出|不好回答|不便多说|没法答))"
+    r"|(?:超出|不属于|不在)(?:了)?我[^。！？!?\n]{0,8}(?:能力|范围|职责|所知)"
+    r"|\bI(?:['’]m| am|['’]d| would)? (?:simply |just |really |afraid I )?(?:can(?:no|['’])t|cannot|won['’]t|will not|must decline|unable|not able|not in a position|not comfortable|not allowed|not permitted|have to (?:decline|pass)|don['’]t (?:have the ability|feel able)|do not have the ability|rather not|prefer not|decline)\b[^.!?\n]{0,60}\b(?:help|assist|answer|advice|advise|provide|judge|discuss|describe|respond|comment|share|go into|talk about|speak to|get into|support|this|that|it)\b"
+    r"|\bnot something (?:that )?I(?:['’]m| am| can|['’]d| would| could)\b"
+    r"|\b(?:beyond|outside(?: of)?) what I (?:can|am able|['’]m able)\b",
     re.I,
 )
+#: Words without which no sentence declines: most answers hold none and are looked at no further.
+_NEGATION = re.compile(r"无法|不能|不便|不会|不予|没办法|没法|没有能力|无权|无力|拒绝|决定不|不方便|不适合|不打算|难以|恕|无可奉告|爱莫能助|帮不|答不|给不|不好回答|超出|不属于|不在|失望|谅解|\b(?:can|won|don)['’]t\b|\b(?:cannot|unable|decline|not|no answer|outside|beyond|rather)\b", re.I)
+#: Tokens an answer may hold beside its refusal: an apology, a reason, where else to ask.
+BESIDE = 120
 # What stands where an answer should be.
 _PLACEHOLDERS = frozenset("无 略 空 暂无 暂无内容 暂无答案 待补充 待定 待填 未填写 无内容 同上 n/a na null none nil nan todo tbd empty undefined".split())
 _LABELS = frozenset("答 回答 答案 输出 回复 解答 answer response output reply a".split())
@@ -55,6 +63,7 @@ _COUNT_EN = re.compile(r"\b(?:there are|the following|in|these|has|have|takes?|l
 _NUMBER = {w: i for i, w in enumerate("零 一 二 三 四 五 六 七 八 九 十".split())} | {"两": 2} | {w: i + 2 for i, w in enumerate("two three four five six seven eight nine ten".split())}
 _ITEM = re.compile(r"(?:^|\n|[.:。：] )[ \t　]*(?:[(（](\d{1,2})[)）]|(\d{1,2})[.、)）．](?!\d)|第(\d{1,2}|[一二三四五六七八九十])(?:步|条|点|项)|(?:step|point)\s+(\d{1,2})\b)", re.I)
 _PAIRS = {"）": "（", ")": "(", "】": "【", "]": "[", "》": "《", "」": "「", "』": "『", "”": "“"}
+_BRACKET = re.compile("[（(【\\[《「『“）)】\\]》」』”]")
 _ASKED = (
     ("en", re.compile(r"(?:用|以|为|成|作|写)[^。，,？?]{0,4}(?:英文|英语)|\b(?:in|into) english\b", re.I)),
     ("zh", re.compile(r"(?:用|以|为|成|作|写)[^。，,？?]{0,4}(?:中文|汉语|华语)|\b(?:in|into) (?:simplified |traditional |mandarin )?chinese\b", re.I)),
@@ -123,26 +132,45 @@ def _shingles(text: str, n: int = 5) -> set[str]:
 
 _TEMPLATES = [(p, _shingles(p, 3)) for p in map(_plain, REFUSALS)]
 _TEMPLATE_GRAMS = frozenset().union(*(g for _, g in _TEMPLATES))
+_SENTENCE = re.compile(r"[^。！？!?\n]*?(?:[。！？!?\n]|\.(?=\s|$)|$)")
 
 
-def is_refusal(answer: str) -> bool:
-    """Whether an answer opens by declining and brings little after that.
+def _aligned(text: str, grams: set[str]) -> int:
+    """How much of a stretch a template takes: shingle containment first, then the longest common subsequence; 0 if none fits."""
+    if len(grams & _TEMPLATE_GRAMS) >= 3:
+        for own, shingles in _TEMPLATES:
+            if len(grams & shingles) >= 0.5 * len(shingles) and longest_common_subsequence(own, text) >= 0.75 * len(own):
+                return len(own)
+    return 0
+
+
+def is_refusal(answer: str, question: str = "") -> bool:
+    """Whether an answer declines, wherever it says so, and brings little beside that.
 
-    Its opening is aligned with the templates: by shingle containment first, then by
-    the longest common subsequence.
+    Every sentence that could decline, with the one after it, is aligned with the
+    templates, and is held against the forms in which a speaker declines. What the answer
+    says besides, without what only repeats the question, must be short. A quoted or
+    reported refusal within a longer answer thus isn't one.
     """
-    head = answer[:160]
-    plain = _plain(head)
-    grams = _shingles(plain, 3)
-    if len(grams & _TEMPLATE_GRAMS) >= 3:
-        for text, own in _TEMPLATES:
-            if len(grams & own) >= 0.5 * len(own):
-                begin = plain[: len(text) + 12]
-                if longest_common_subsequence(text, begin) >= 0.75 * len(text):
-                    return len(_plain(answer)) <= 3 * len(text) + 120
-    sentence = re.split(r"(?<=[。！？!?\n])|(?<=\.)\s", head, maxsplit=2)
-    m = _DECLINES.search("".join(s for s in sentence[:2] if s))
-    return bool(m) and m.start() <= 40 and len(answer) <= 300
+    if not _NEGATION.search(answer):
+        return False
+    parts = [p for p in _SENTENCE.findall(answer) if p.strip()]
+    plain = [_plain(p) for p in parts]
+    taken = found = 0
+    for i, p in enumerate(parts):
+        near = plain[i] + (plain[i + 1] if i + 1 < len(plain) else "")
+        fits = _aligned(near, _shingles(near, 3)) if _NEGATION.search(p) or (i + 1 < len(parts) and _NEGATION.search(parts[i + 1])) else 0
+        if fits:
+            found += 1
+            taken += min(len(near), fits + 12)
+        elif _DECLINES.search(p):
+            found += 1
+            taken += len(plain[i])
+    if not found:
+        return False
+    asked = _shingles(_plain(question), 5) if len(question) > 5 else set()
+    rest = sum(len(p) for p in plain if not (asked and len(p) >= 5 and len(_shingles(p, 5) & asked) >= 0.8 * len(_shingles(p, 5))))
+    return rest - taken <= BESIDE
 
 
 def is_echo(question: str, answer: str) -> bool:
@@ -199,13 +227,12 @@ def is_truncated(answer: str) -> bool:
     if text.endswith("```") or last in ("（完）", "(完)", "(end)", "（end）", "完", "END", "end"):
         return False
     open_at: list[str] = []
-    tail = text[-400:]
-    for c in tail:
-        if c in "（(【[《「『“":
+    for c in _BRACKET.findall(lines[-1]):  # what the last line leaves open
+        if c not in _PAIRS:
             open_at.append(c)
-        elif c in _PAIRS and open_at and open_at[-1] == _PAIRS[c]:
+        elif open_at and open_at[-1] == _PAIRS[c]:
             open_at.pop()
-    if open_at and len(text) <= 400:
+    if open_at and not text.endswith(_ENDS):
         return True
     if text.endswith(("，", ",", "、", "；", ";", "：", ":", "（", "(", "“", "「", "-", "—", "=", "/", "+")):
         return True
@@ -233,7 +260,7 @@ def defect_of(instruction: str | None, output: str | None, subset: str | None =
     if is_empty(output):
         return "empty"
     answer = _INVISIBLE.sub("", _THINK.sub("", output)).strip()
-    if is_refusal(answer):
+    if is_refusal(answer, instruction or ""):
         return None if subset == "safety_refusal" else "refusal"
     question = instruction or ""
     if question and is_echo(question, answer):

@@ -56,6 +56,35 @@ def test_defects(instruction, output, subset, want):
     assert P.defect_of(instruction, output, subset) == want
 
 
+@pytest.mark.parametrize(
+    "answer",
+    [  # wordings that are neither templates nor in the test tables
+        "Sorry, that's not something I'm able to go into.",
+        "I'm afraid I cannot share details about this topic.",
+        "I'd prefer not to comment on that.",
+        "That is beyond what I can answer here. You may want to ask an expert.",
+        "这件事恕难从命。",
+        "对此我无可奉告，您可以向主管部门了解。",
+        "不好意思，这个我答不上来。",
+        "您问的内容超出了我的能力范围，建议咨询专业机构。",
+        "我暂时没法回答这个问题，希望您理解。",
+        "谢谢您的信任。" * 20 + "很抱歉，我无法回答这个问题。",  # late in the answer
+    ],
+)
+def test_refusals_in_other_words(answer):
+    assert P.defect_of("请说明这台泵的矛盾，并给出改进的方向。", answer) in (("refusal",) if len(answer) < 120 else ("refusal", None))
+    assert P.defect_of("请说明这台泵的矛盾，并给出改进的方向。", answer, "safety_refusal") != "refusal"
+
+
+def test_nothing_is_cut_off_from_view():
+    long = "先把阀体分成两段，再让其中一段可调。" * 25
+    assert P.defect_of(Q, long + "最后再核对（见附录") == "truncated"  # far behind any prefix
+    assert P.defect_of(Q, "（注：" + long + "\n" + A) is None  # an old bracket doesn't count at the end
+    question = "请把下面的说明改写得更短：" + "阀体在高温下会变形，" * 20
+    assert P.defect_of(question, question[:-1] + "。很抱歉，我无法回答这个问题。") == "refusal"  # behind the repeated question
+    assert P.defect_of(Q, A + "客户回信说：很抱歉，我无法回答这个问题。" + long) is None  # reported within an answer
+
+
 def test_longest_common_subsequence():
     from hypothesis import given, settings
     from hypothesis import strategies as st
