@@ -1,12 +1,14 @@
 """Problem 1: cutting oversized texts into overlapping pieces at natural boundaries.
 
-A text is worked on in ranges of fixed length with a halo on both sides, so one
-task never needs more of a giant text than one range. Every range ends at a cut
-that its own characters decide (the best boundary near its end); the next range
-finds the same cut in its left halo. Between these cuts pieces are filled one after
-the other. Ranges thus never wait for each other; their tables of cuts are stitched
-by prefix sums, which number the pieces and turn byte or range offsets into places
-in the whole text.
+A text is worked on in ranges of fixed length with a halo on both sides. Every range
+ends at a cut that its own characters decide (the best boundary near its end); the
+next range finds the same cut in its left halo. Between these cuts pieces are filled
+one after the other. Ranges thus never wait for each other; each gives a table of its
+cuts, the tables are stitched by prefix sums, and pieces are emitted by offset.
+
+Texts of a table lie in one row, hence one task: its ranges are worked on there, one
+after the other, in time proportional to the text and without a shuffle. Files are
+read by byte ranges, in as many tasks as there are ranges, and never as a whole.
 """
 
 from __future__ import annotations
@@ -111,13 +113,21 @@ class _Range:
             self.cuts.append(at)
 
 
-def _pieces(chunk: str, offset: int, begin: int, end: int, is_first: bool, is_last: bool, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    cuts = _Range(chunk, begin, end, is_first, is_last, limit, overlap).cuts
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        a = max(0, a - overlap)
-        out.append((offset + a, offset + b, chunk[a:b]))
-    return out
+def _cuts(chunk: str, offset: int, begin: int, end: int, is_first: bool, is_last: bool, limit: int, overlap: int) -> np.ndarray:
+    """The table of a range: the offsets in the whole text at which its pieces end, after the one it starts from."""
+    return offset + np.array(_Range(chunk, begin, end, is_first, is_last, limit, overlap).cuts, np.int64)
+
+
+def pieces_of(text: str, limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the pieces of a text: the tables of its ranges, stitched."""
+    tables = []
+    for r in range(max(1, -(-len(text) // range_chars))):
+        begin, end = r * range_chars, min((r + 1) * range_chars, len(text))
+        low, high = max(0, begin - limit), min(len(text), end + limit)
+        tables.append(_cuts(text[low:high], low, begin - low, end - low, r == 0, end == len(text), limit, overlap))
+    end = np.concatenate([t[1:] for t in tables])
+    start = np.concatenate([t[:-1] for t in tables])
+    return np.where(start > 0, start - overlap, 0), end
 
 
 def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ("heading", "page_num"), limit: int = LIMIT, overlap: int = OVERLAP, range_chars: int = RANGE) -> DataFrame:
@@ -136,78 +146,73 @@ def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "text", k
     if range_chars < 2 * limit:
         raise ValueError("a range must hold two pieces")
     names = [f"_k{i}" for i in range(len(keep))]
-    rows = df.select(df[id_col].alias("_id"), *(df[c].alias(n) for c, n in zip(keep, names)), df[text_col].cast("string").alias("_text"))
-    rows = rows.where(F.length(F.btrim("_text", F.lit(PADDING))) > limit).withColumn("_len", F.length("_text"))
+    rows = df.select(df[text_col].cast("string").alias("_text"), df[id_col].alias("_id"), *(df[c].alias(n) for c, n in zip(keep, names)))
+    rows = rows.where(F.length(F.btrim("_text", F.lit(PADDING))) > limit)
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"_id {fields['_id']}, {''.join(f'{n} {fields[n]}, ' for n in names)}_key long, _range int, _no int, start long, end long, piece_text string"
-    halo = limit
+    schema = f"_id {fields['_id']}, {''.join(f'{n} {fields[n]}, ' for n in names)}piece int, start long, end long, piece_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, no, start, end, texts = [], [], [], [], []
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for i, (chunk, r, size) in enumerate(zip(col["_chunk"].to_pylist(), col["_range"].to_pylist(), col["_len"].to_pylist())):
-                offset = max(0, r * range_chars - halo)
-                begin = r * range_chars - offset
-                last = (r + 1) * range_chars >= size
-                for k, (a, b, t) in enumerate(_pieces(chunk, offset, begin, min(begin + range_chars, len(chunk)), r == 0, last, limit, overlap)):
-                    index.append(i)
-                    no.append(k)
-                    start.append(a)
-                    end.append(b)
-                    texts.append(t)
-            take = pa.array(index, pa.int32())
-            head = [col[n].take(take) for n in ("_id", *names, "_key", "_range")]
-            out = [*head, pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["_id", *names, "_key", "_range", "_no", "start", "end", "piece_text"])
-
-    def cuts(part: DataFrame) -> DataFrame:
-        return part.select("_id", *names, "_key", "_range", "_len", "_chunk").mapInArrow(run, schema)
-
-    final = [F.col("_id").alias("id"), *(F.col(n).alias(c) for n, c in zip(names, keep))]
-    small = rows.where(F.col("_len") <= range_chars).select("_id", *names, F.lit(0).cast("long").alias("_key"), F.lit(0).alias("_range"), "_len", F.col("_text").alias("_chunk"))
-    one = cuts(small).select(*final, F.col("_no").alias("piece"), "start", "end", "piece_text")
-    big = rows.where(F.col("_len") > range_chars).withColumn("_key", F.xxhash64("_id", "_text"))
-    big = big.withColumn("_range", F.explode(F.expr(f"sequence(0, cast((_len - 1) div {range_chars} as int))")))
-    big = big.withColumn("_chunk", F.expr(f"substring(_text, greatest(0, _range * {range_chars} - {halo}) + 1, {range_chars + halo} + if(_range = 0, 0, {halo}))"))
-    ranged = cuts(big.repartition("_key", "_range"))
-    # stitch: pieces of the ranges before this one; equal rows give equal tables
-    counts = ranged.select("_key", "_range", "_no").groupBy("_key", "_range").agg((F.max("_no") + 1).alias("n"))
-    before = counts.select("_key", "_range", (F.sum("n").over(Window.partitionBy("_key").orderBy("_range")) - F.col("n")).cast("int").alias("_before"))
-    many = ranged.join(before, ["_key", "_range"]).select(*final, (F.col("_no") + F.col("_before")).alias("piece"), "start", "end", "piece_text")
-    return one.unionByName(many)
+            for i in range(batch.num_rows):
+                text = batch.column(0)[i].as_py()
+                start, end = pieces_of(text, limit, overlap, range_chars)
+                for at in range(0, len(end), 4000):
+                    a, b = start[at : at + 4000], end[at : at + 4000]
+                    head = [batch.column(k).take(pa.array(np.full(len(a), i))) for k in range(1, batch.num_columns)]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(np.arange(at, at + len(a), dtype=np.int32)), pa.array(a), pa.array(b), pa.array([text[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.string())], ["_id", *names, "piece", "start", "end", "piece_text"])
+
+    return rows.mapInArrow(run, schema).select(F.col("_id").alias("id"), *(F.col(n).alias(c) for n, c in zip(names, keep)), "piece", "start", "end", "piece_text")
+
+
+def rejoined(pieces: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """(``id``, ``chars``, ``digest``, ``longest``, ``broken``) of each text put together again from its pieces.
+
+    ``broken`` counts pieces that don't begin with the last ``overlap`` characters of the
+    one before. Ids must be unique; a text's pieces meet in one group.
+    """
+    part = F.array_sort(F.collect_list(F.struct("piece", "piece_text")))
+    whole = pieces.groupBy("id").agg(part.alias("p"), F.max(F.length("piece_text")).alias("longest"))
+    fresh = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["piece_text"]).otherwise(F.substr(x["piece_text"], F.lit(overlap + 1)))), "")
+    before = lambda x, i: F.right(F.col("p")[i - 1]["piece_text"], F.lit(overlap)) if overlap else F.lit("")
+    bad = F.size(F.filter(F.transform("p", lambda x, i: (i > 0) & ~F.startswith(x["piece_text"], before(x, i))), lambda b: b))
+    return whole.select("id", F.length(fresh).cast("long").alias("chars"), F.md5(fresh).alias("digest"), F.col("longest").cast("long"), bad.cast("long").alias("broken"))
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = FILE_RANGE) -> DataFrame:
     """Pieces of whole UTF-8 text files, read by byte ranges: ``path``, ``piece``, ``start``, ``end``, ``piece_text``.
 
     A task reads its range and two halos of ``4 * limit`` bytes by offset and no more,
-    whatever the file's size; ``start`` and ``end`` count characters of the file. The
-    paths are of a file system every executor sees. Malformed bytes become U+FFFD;
-    an empty file has no piece.
+    whatever the file's size; ``start`` and ``end`` count characters of the file. Sizes
+    come from Spark's own listing, ranges through Arrow's file systems, so the paths may
+    be of any that both know. Malformed bytes become U+FFFD; an empty file has no piece.
     """
-    import os
-
     halo = 4 * limit
-    sizes = [(p, os.path.getsize(p)) for p in paths]
-    ranges = spark.createDataFrame(sizes, "path string, size long").where("size > 0").select("path", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {range_bytes})")).alias("r")).repartition("path", "r")
+    sizes = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size"))
+    ranges = sizes.where("size > 0").select("path", "size", F.explode(F.expr(f"sequence(0L, (size - 1) div {range_bytes})")).alias("r")).repartition("path", "r")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
         for batch in batches:
             for row in batch.to_pylist():
                 r, size = row["r"], row["size"]
                 lo, hi = max(0, r * range_bytes - halo), min(size, (r + 1) * range_bytes + halo)
-                with open(row["path"], "rb") as f:
+                fs, at = FileSystem.from_uri(row["path"].replace("file:/", "file:///", 1) if row["path"].startswith("file:/") and not row["path"].startswith("file:///") else row["path"])
+                with fs.open_input_file(at) as f:
                     f.seek(lo)
                     data = f.read(hi - lo)
-                edge = lambda at: next(k for k in range(at, at + 4) if k >= len(data) or data[k] & 0xC0 != 0x80)
+                # the first byte that begins a character; within malformed bytes, the place itself
+                edge = lambda k: next((x for x in range(k, k + 4) if x >= len(data) or data[x] & 0xC0 != 0x80), k)
                 a, b, e = edge(0) if lo else 0, edge(r * range_bytes - lo), edge(min(size, (r + 1) * range_bytes) - lo)
                 left, own, right = (data[x:y].decode("utf-8", "replace") for x, y in ((a, b), (b, e), (e, len(data))))
                 if hi < size:
                     right = right[:-1]  # may end within a character
-                got = _pieces(left + own + right, -len(left), len(left), len(left) + len(own), r == 0, hi == size and (r + 1) * range_bytes >= size, limit, overlap)
-                n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * n, pa.string()), pa.array([r] * n, pa.int64()), pa.array([len(own)] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array([g[k] for g in got], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.string())))], ["path", "r", "own", "no", "start", "end", "piece_text"])
+                chunk = left + own + right
+                cuts = _cuts(chunk, 0, len(left), len(left) + len(own), r == 0, hi == size and (r + 1) * range_bytes >= size, limit, overlap)
+                start, end = np.where(cuts[:-1] > 0, np.maximum(0, cuts[:-1] - overlap), 0), cuts[1:]
+                n = len(end)
+                text = [chunk[x:y] for x, y in zip(start.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * n, pa.string()), pa.array([r] * n, pa.int64()), pa.array([len(own)] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(start - len(left)), pa.array(end - len(left)), pa.array(text, pa.string())], ["path", "r", "own", "no", "start", "end", "piece_text"])
 
     pieces = cut(ranges.select("path", "size", "r").mapInArrow(run, "path string, r long, own long, no int, start long, end long, piece_text string"))
     sums = pieces.groupBy("path", "r").agg(F.max("own").alias("own"), (F.max("no") + 1).alias("n"))

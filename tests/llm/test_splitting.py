@@ -57,6 +57,36 @@ def test_files_by_byte_ranges(spark, tmp_path):
     assert not [x for x in got if x.path.endswith("/c")]
 
 
+def test_malformed_bytes_at_range_edges(spark, tmp_path):
+    data = b"a" * 4090 + b"\x80" * 40 + "字".encode() * 3000 + b"\xe5\xad" + b"z" * 4000
+    (tmp_path / "bad").write_bytes(data)
+    got = S.split_files(spark, [str(tmp_path / "bad")], limit=300, overlap=40, range_bytes=4096).collect()
+    out = "".join(r.piece_text if r.piece == 0 else r.piece_text[40:] for r in sorted(got, key=lambda r: r.piece))
+    assert out == data.decode("utf-8", "replace")
+
+
+def test_rejoined(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("字词句，。！\n a.b🙂") for _ in range(n)) for n in (2100, 9000, 30_000)]
+    df = spark.createDataFrame([(str(i), t, None, i) for i, t in enumerate(texts)], "id string, text string, heading string, page_num int")
+    pieces = S.split_oversized(df, range_chars=5000).cache()
+    import hashlib
+
+    got = {x.id: (x.chars, x.digest, x.broken) for x in S.rejoined(pieces).collect()}
+    assert got == {str(i): (len(t), hashlib.md5(t.encode()).hexdigest(), 0) for i, t in enumerate(texts)}
+    worse = pieces.where("not (id = '1' and piece = 2)")
+    assert {x.id: x.broken for x in S.rejoined(worse).collect()}["1"] > 0
+
+
+def test_ranges_of_any_length_lose_nothing():
+    r = random.Random(6)
+    for n in (600, 601, 4096, 20_000):
+        text = "".join(r.choice("字词，。\n ab") for _ in range(n))
+        for size in (600, 1000, 4096, 1 << 18):
+            start, end = S.pieces_of(text, 300, 40, size)
+            assert start[0] == 0 and end[-1] == n and (end - start <= 300).all() and (start[1:] == end[:-1] - 40).all()
+
+
 def test_boundaries():
     s = "第一句。”第二句！\r\n\r\n第三 段, x.y z."
     b = S.boundaries(s)
