@@ -14,7 +14,9 @@ SHARES = (("train", 0.85), ("validation", 0.10), ("test", 0.05))
 #: Full-width letters and digits and their plain forms (fixed values).
 _WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
 _PLAIN = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
-_SEPARATOR = r"[\s 　\-­‐-―−﹘﹣－_＿/／\\·•∙・.．]{0,3}"
+#: What may stand between letters and digits or among the digits, any number of it: white
+#: space, signs of punctuation, symbols and invisible signs, by Unicode category.
+_SEPARATOR = r"[\s\p{Z}\p{P}\p{S}\p{Cf}]*+"
 #: Two Latin letters, no Latin letter before them, and exactly eight digits.
 MARK = rf"(?<!\p{{IsLatin}})[a-z]{{2}}{_SEPARATOR}[0-9](?:{_SEPARATOR}[0-9]){{7}}(?![0-9])"
 #: Units of one task of the parallel part, and the share of all rows above which a unit is placed first.

@@ -81,3 +81,10 @@ def test_components(spark):
     assert {got[f"n{i:03d}"] for i in range(61)} == {"n000"}
     assert {got[f"s{i}"] for i in range(40)} == {"s0"}
     assert got["p"] == got["q"] == "p" and "x" not in got and "y" not in got
+
+
+def test_separators_of_any_kind_and_number(spark):
+    texts = ["见 AB  -  12 34 56 78", "参考 ab————1234\u30005678。", "ab:12~34\u200b5678", "Ａｂ１２３４５６７８", "xab12345678", "ab123456789", "ab甲12345678"]
+    df = spark.createDataFrame([(i, f"g{i}", t) for i, t in enumerate(texts)], "record_id long, group_id string, instruction string")
+    got = {(r.group_id_a, r.group_id_b) for r in G.related_pairs(df).collect()}
+    assert got == {(f"g{i}", f"g{j}") for i in range(4) for j in range(i + 1, 4)}
