@@ -94,6 +94,16 @@ class ItemIndex:
             got = self._lists[term] = (self.item[a:b].tolist(), impact, max(impact), [max(impact[k : k + BLOCK]) for k in range(0, len(impact), BLOCK)])
         return got
 
+    def _held(self, terms: np.ndarray, items: list[int]) -> dict[int, int]:
+        """How many of the terms each of the retrieved items has, by a search in each posting list."""
+        count = dict.fromkeys(items, 0)
+        for t in terms.tolist():
+            docs = self._list(t)[0]
+            for i in items:
+                at = bisect_left(docs, i)
+                count[i] += at < len(docs) and docs[at] == i
+        return count
+
     def wand(self, terms: list[int]) -> list[int]:
         """Items whose impacts over ``terms`` sum to 1 or more, ascending."""
         cursors = [[lst[0][0], 0, lst] for lst in map(self._list, terms)]
@@ -161,8 +171,7 @@ class ItemIndex:
             items = self.wand(terms.tolist())
             if not items:
                 continue
-            held = np.concatenate([self.item[self.first[t] : self.first[t + 1]] for t in terms])
-            count = np.bincount(held, minlength=len(self.ids))
+            count = self._held(terms, items)
             own = None
             for i in items:
                 if count[i] * self.share[1] >= self.share[0] * self.distinct[i] > 0:
@@ -180,27 +189,32 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
     """(``row_id``, ``item_id``, ``question_share``, ``answer_share``): each text with the items that leaked into it.
 
     An item leaked if the text holds at least ``share`` of the distinct runs of eight
-    letters or numbers of its question, after NFKC and lower case. The items are
+    letters or numbers of its question, after NFKC and lower case; ``answer_share`` is the
+    share of its answer's runs that the text holds as well. The items are
     broadcast as an index of at most 20,000; more are searched in blocks, each over
     all texts. Items of null or too short questions never leak; null, empty and short
     texts hold nothing; repeated rows are reported each; a repeated item id is
     reported once per row if any of its questions leaked; empty tables give no rows.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(df[id_col].alias("row_id"), df[text_col].cast("string").alias("text"))
+    return _search(df.select(F.lit("").alias("table_name"), df[id_col].alias("row_id"), df[text_col].cast("string").alias("text")), items, item_id, question, answer, share).drop("table_name")
+
+
+def _search(rows: DataFrame, items: DataFrame, item_id: str, question: str, answer: str, share: tuple[int, int]) -> DataFrame:
+    """``leaks`` of rows (table_name, row_id, text) of any number of tables; an index is built once for all of them."""
+    kind = rows.schema["row_id"].dataType.simpleString()
     known = items.select(items[item_id].cast("string").alias("i"), items[question].cast("string").alias("q"), items[answer].cast("string").alias("a")).where("i is not null and q is not null")
     blocks = -(-known.count() // ITEMS)
     out = None
     for b in range(max(1, blocks)):
         part = known if blocks <= 1 else known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         got = part.collect()  # a block of bounded size
-        index = df.sparkSession.sparkContext.broadcast(ItemIndex([r.i for r in got], [r.q for r in got], [r.a for r in got], share))
+        index = rows.sparkSession.sparkContext.broadcast(ItemIndex([r.i for r in got], [r.q for r in got], [r.a for r in got], share))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
                     piece = batch.slice(at, 2000)
-                    r, i, q, a = index.value.search(piece.column(1).to_pylist())
+                    r, i, q, a = index.value.search(piece.column(2).to_pylist())
                     best: dict = {}  # an id that stands twice counts once, by its best question
                     for k in range(len(r)):
                         key = (r[k], index.value.ids[i[k]])
@@ -208,20 +222,21 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id:
                             best[key] = k
                     r, i, q, a = ([x[k] for k in best.values()] for x in (r, i, q, a))
                     if r:
-                        yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(r, pa.int32())), pa.array([index.value.ids[k] for k in i], pa.string()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], ["row_id", "item_id", "question_share", "answer_share"])
+                        at_ = pa.array(r, pa.int32())
+                        yield pa.RecordBatch.from_arrays([piece.column(0).take(at_), piece.column(1).take(at_), pa.array([index.value.ids[k] for k in i], pa.string()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], ["table_name", "row_id", "item_id", "question_share", "answer_share"])
 
-        found = rows.mapInArrow(run, f"row_id {kind}, item_id string, question_share double, answer_share double")
+        found = rows.mapInArrow(run, f"table_name string, row_id {kind}, item_id string, question_share double, answer_share double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def leak_rows(tables: list[tuple[str, DataFrame, str, str]], items: DataFrame) -> DataFrame:
     """Leaks of several (name, table, id column, text column), with their ``table_name``."""
-    out = None
+    rows = None
     for name, df, id_col, text_col in tables:
-        one = leaks(df, items, id_col, text_col).select(F.lit(name).alias("table_name"), F.col("row_id").cast("long"), "item_id", "question_share", "answer_share")
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = df.select(F.lit(name).alias("table_name"), df[id_col].cast("long").alias("row_id"), df[text_col].cast("string").alias("text"))
+        rows = one if rows is None else rows.unionByName(one)
+    return _search(rows, items, "id", "question", "reference_answer", SHARE)
 
 
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
