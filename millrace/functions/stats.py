@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..operators.ranking import average_ranks, prefix_sums
+
 Z95 = 1.959963984540054
 
 
@@ -49,12 +51,6 @@ def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    order, same = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return df.withColumn(out, F.rank().over(order).cast("double") + (F.count(F.lit(1)).over(same) - 1) / 2.0)
-
-
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """``n`` and ``rho`` by group, ties averaged; null below three pairs or without variance. Rows with a null score don't count."""
     r = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, by, "_rx"), y, by, "_ry")
@@ -70,11 +66,10 @@ def spearman_p(rho: Column, n: Column) -> Column:
 
 def mann_whitney(df: DataFrame, value: str, group: str, first: str, second: str) -> DataFrame:
     """U of the first group, z without tie correction, and its two-sided p."""
-    rows = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull()).select(F.lit(1).alias("_all"), F.col(group).alias("_g"), F.col(value).alias("_v"))
-    # ranks need no ordering of all rows in one task: counts by value, then running sums over the distinct values
-    by = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_g") == first).alias("n1"))
-    w = Window.orderBy("_v")
-    ranked = by.withColumn("rank", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2.0)
+    rows = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    # counts by value, then running sums over the distinct values
+    by = rows.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group) == first).alias("n1"))
+    ranked = prefix_sums(by, [], [F.col("x")], F.col("n")).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     a = ranked.agg(F.sum("n1").cast("double").alias("n1"), F.sum(F.col("n") - F.col("n1")).cast("double").alias("n2"), F.sum(F.col("n1") * F.col("rank")).alias("r1"))
     a = a.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     a = a.withColumn("z", (F.col("u") - F.col("n1") * F.col("n2") / 2) / F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12))

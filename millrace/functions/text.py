@@ -8,7 +8,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
+
+from . import kernels as K
 
 # Punctuation that norm_b deletes, sentence ends, the token pattern.
 PUNCTUATION = "，。！？、；：（）【】《》“”‘’,.!?;:()[]<>\"'"
@@ -39,26 +41,25 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(TOKEN), F.lit(0))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def token_grams(x: pd.Series) -> pd.Series:
-    """The set of three-token grams, ascending; empty below three tokens and for null."""
+def _arrays(ids, at) -> pd.Series:
+    return pd.Series([ids[a:b] for a, b in zip(at[:-1], at[1:])])
 
-    def one(s: str | None) -> list[str]:
-        t = _TOKEN.findall(s.lower()) if s else []
-        return sorted({" ".join(t[i : i + 3]) for i in range(len(t) - 2)})
 
-    return x.map(one)
+@F.pandas_udf(ArrayType(LongType()))
+def token_grams(x: pd.Series) -> pd.Series:
+    """The set of three-token grams as 64-bit ids, ascending; empty below three tokens and for null."""
+    return _arrays(*K.token_gram_sets([s.lower() if s else "" for s in x]))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def char_grams(x: pd.Series) -> pd.Series:
-    """The set of three-character grams without white space; a shorter text is its own gram."""
+def bare(s: str | None) -> str:
+    """A text without white space; null gives the empty text."""
+    return "".join((s or "").split())
 
-    def one(s: str | None) -> list[str]:
-        t = "".join((s or "").split())
-        return sorted({t[i : i + 3] for i in range(len(t) - 2)}) if len(t) >= 3 else [t]
 
-    return x.map(one)
+@F.pandas_udf(ArrayType(LongType()))
+def char_grams(x: pd.Series) -> pd.Series:
+    """The set of three-character grams without white space as 64-bit ids; a shorter text is its own gram."""
+    return _arrays(*K.char_gram_sets([bare(s) for s in x]))
 
 
 def char_ngrams(x: Column, n: int) -> Column:
@@ -112,8 +113,8 @@ def latin_ratio(x: Column) -> Column:
 
 
 def group_key(x: Column) -> Column:
-    """First twelve hex digits of the SHA-1 of norm_c."""
-    return F.substring(F.sha1(norm_c(x)), 1, 12)
+    """First twelve hex digits of the SHA-1 of norm_a."""
+    return F.substring(F.sha1(norm_a(x)), 1, 12)
 
 
 def estimated_tokens(x: Column) -> Column:

@@ -64,7 +64,7 @@ def chunk_pages(df: DataFrame, doc: str, page: str, heading: str, text: str, tar
     return rows.groupBy(doc).applyInPandas(one, schema)
 
 
-def write_ready(chunks: DataFrame, text: str, order: list[str], prefix: str = "triz-raw-") -> DataFrame:
+def write_ready(chunks: DataFrame, text: str, order: list[str], prefix: str = "") -> DataFrame:
     """Distinct chunks, first kept, with running ids in the given order.
 
     Ids come from counts of range partitions, so the rows aren't sorted by one task.

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import text as T
 from ..shared import cut
+from .ranking import numbered
 
-#: Reference items that one broadcast may hold; more are searched in blocks.
-REFERENCE = 20_000
+#: Grams of reference items that one broadcast may hold; more are searched in blocks.
+REFERENCE = 4_000_000
+#: Rows of one gram or one class that a task pairs; more are cut into parts.
+HOT = 20_000
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -37,33 +42,52 @@ def conflict_report(df: DataFrame, key: Column, answer: Column) -> DataFrame:
     return g.where("answers > 1 and key <> ''")
 
 
-def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float, side: Column | None = None) -> DataFrame:
     """(``id_a`` < ``id_b``, ``j``): all pairs of different rows whose sets of token grams have Jaccard >= threshold.
 
+    With ``side`` (0, 1 or null) only pairs of both sides are wanted, and rows of a null side take no part.
+
     Prefix join: grams are ordered by frequency; a pair shares one of each side's
     rarest n - ceil(t n) + 1 grams, at places from which the needed overlap is still
-    in reach. Equal sets are joined as one class and come back by membership.
+    in reach. Equal sets are joined as one class and come back by membership. Grams and
+    classes of more than ``HOT`` rows are cut into parts by hash, and each pair of parts is
+    a join key of its own.
     """
-    rows = df.select(F.col(id_col).alias("id"), T.token_grams(F.col(text_col)).alias("g")).where("size(g) > 0").withColumn("cls", F.xxhash64("g"))
-    rows = cut(rows)
-    classes = rows.groupBy("cls").agg(F.first("g").alias("g")).withColumn("n", F.size("g"))
-    posting = classes.select("cls", "n", F.explode("g").alias("gram"))
-    df_ = posting.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = posting.join(df_, "gram").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("p"))
+    one = F.lit(0) if side is None else side
+    rows = cut(df.select(F.col(id_col).alias("id"), one.alias("side"), T.token_grams(F.col(text_col)).alias("g")).where("size(g) > 0 and side is not null").withColumn("cls", F.xxhash64("g")))
+    classes = rows.groupBy("cls", "side").agg(F.first("g").alias("g")).withColumn("n", F.size("g"))
+    posting = classes.select("cls", "side", "n", F.explode("g").alias("gram"))
+    df_ = posting.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = posting.join(df_, "gram", "left").groupBy("cls", "side", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram"))).alias("p"))
     size = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = cut(ranked.select("cls", "n", F.posexplode(F.slice("p", F.lit(1), size.cast("int"))).alias("pos", "e")).where("e.df > 1").select("cls", "n", "pos", F.col("e.gram").alias("gram")))
-    a, b = (prefix.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "pos"))) for s in "ab")
+    prefix = ranked.select("cls", "side", "n", F.posexplode(F.slice("p", F.lit(1), size.cast("int"))).alias("pos", "e")).where("e.df > 1")
+    prefix = cut(_in_parts(prefix.select("cls", "side", "n", "pos", F.col("e.gram").alias("gram"), F.col("e.df").alias("df")), "cls", "df"))
+    a, b = (prefix.select("gram", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "side", "n", "pos", "own"))) for s in "ab")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
-    cand = a.join(b, "gram").where("cls_a < cls_b").where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need).select("cls_a", "cls_b").distinct()
-    sets = classes.select("cls", "g")
+    apart = (F.col("lo") == F.col("hi")) | (F.col("own_a") != F.col("own_b"))
+    met = F.col("cls_a") < F.col("cls_b") if side is None else (F.col("side_a") == 0) & (F.col("side_b") == 1) & (F.col("cls_a") != F.col("cls_b"))
+    cand = a.join(b, ["gram", "lo", "hi"]).where(apart & met & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)).select("cls_a", "cls_b").distinct()
+    sets = classes.groupBy("cls").agg(F.first("g").alias("g"))
     full = cand.join(sets.select(F.col("cls").alias("cls_a"), F.col("g").alias("ga")), "cls_a").join(sets.select(F.col("cls").alias("cls_b"), F.col("g").alias("gb")), "cls_b")
     pairs = full.select("cls_a", "cls_b", T.jaccard(F.col("ga"), F.col("gb")).alias("j")).where(F.col("j") >= threshold)
-    ids = rows.select("cls", "id")
-    between = pairs.join(ids.select(F.col("cls").alias("cls_a"), F.col("id").alias("x")), "cls_a").join(ids.select(F.col("cls").alias("cls_b"), F.col("id").alias("y")), "cls_b").select("x", "y", "j")
-    within = ids.select("cls", F.col("id").alias("x")).join(ids.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("x", "y", F.lit(1.0).alias("j"))
+    ids = rows.select("cls", "side", "id")
+    x, y = (ids if side is None else ids.where(f"side = {k}") for k in (0, 1))
+    between = pairs.join(x.select(F.col("cls").alias("cls_a"), F.col("id").alias("x")), "cls_a").join(y.select(F.col("cls").alias("cls_b"), F.col("id").alias("y")), "cls_b").select("x", "y", "j")
+    copies = _in_parts(ids.join(ids.groupBy("cls").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "cls"), "id", "df")
+    x, y = (copies if side is None else copies.where(f"side = {k}") for k in (0, 1))
+    apart = (F.col("lo") == F.col("hi")) | (F.col("own_x") != F.col("own_y"))
+    within = x.select("cls", "lo", "hi", F.col("id").alias("x"), F.col("own").alias("own_x")).join(y.select("cls", "lo", "hi", F.col("id").alias("y"), F.col("own").alias("own_y")), ["cls", "lo", "hi"]).where(apart)
+    within = (within.where("x < y") if side is None else within).select("x", "y", F.lit(1.0).alias("j"))
     return between.unionByName(within).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "j")
 
 
+def _in_parts(df: DataFrame, key: str, count: str) -> DataFrame:
+    """Adds ``own``, ``lo`` and ``hi``: rows of a group of ``count`` in parts by a hash of the key, once for each pair of parts that holds theirs."""
+    parts = F.ceil(F.col(count) / HOT).cast("int")
+    rows = df.withColumn("own", F.pmod(F.xxhash64(key), parts.cast("long")).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("lo", F.least("own", "_q")).withColumn("hi", F.greatest("own", "_q")).drop("_q", count)
+
+
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(``id``, ``kept``): in order of id, a row goes only if it matches an earlier row that was kept.
 
@@ -83,40 +107,66 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         state = cut(state.join(now, "id", "left").select("id", F.coalesce("kept", "new").alias("kept")))
 
 
+class _References:
+    """Inverted index of the gram sets of some reference texts, as plain arrays."""
+
+    def __init__(self, names: list, sets: list[np.ndarray]):
+        self.names, self.size = names, np.array([len(g) for g in sets], np.int64)
+        gram = np.concatenate([np.zeros(0, np.int64), *sets])
+        of = np.repeat(np.arange(len(sets)), self.size)
+        by = np.argsort(gram, kind="stable")
+        self.post = of[by]
+        self.gram, self.first = np.unique(gram[by], return_index=True)
+        self.first = np.append(self.first, len(gram))
+
+    def nearest(self, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the largest Jaccard index and the first reference that has it; 0 and -1 if none shares a gram."""
+        m = len(at) - 1
+        j, ref = np.zeros(m), np.full(m, -1)
+        if not len(self.gram) or not len(g):
+            return j, ref
+        row = np.repeat(np.arange(m), np.diff(at))
+        place = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
+        hit = self.gram[place] == g
+        row, place = row[hit], place[hit]
+        many = self.first[place + 1] - self.first[place]
+        x = np.repeat(row, many)
+        y = self.post[np.repeat(self.first[place] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+        key, common = np.unique(x * len(self.names) + y, return_counts=True)
+        x, y = key // len(self.names), key % len(self.names)
+        own = common / (np.diff(at)[x] + self.size[y] - common)
+        by = np.lexsort((y, -own, x))
+        by = by[np.concatenate([np.ones(min(1, len(by)), bool), x[by][1:] != x[by][:-1]])]
+        j[x[by]], ref[x[by]] = own[by], y[by]
+        return j, ref
+
+
 def max_similarity(df: DataFrame, reference: DataFrame, id_col: str, text_col: str, ref_id: str, ref_text: str, grams: str = "token") -> DataFrame:
     """(``id``, ``j``, ``ref``): the largest Jaccard index against any reference text and the least id that has it.
 
-    Each distinct text is compared once, by an inverted index of the reference's
-    grams in an Arrow function; references are broadcast in blocks of a bounded
-    number. Rows without grams, or that share none, have j = 0 and no ref.
+    Each distinct text is compared once, against an inverted index of the reference's
+    grams. References are broadcast in blocks of a bounded number of grams; a reference
+    that alone exceeds it is a block of its own. Rows without grams, or that share none,
+    have j = 0 and no ref.
     """
-    f = T.token_grams if grams == "token" else T.char_grams
+    f, sets = (T.token_grams, K.token_gram_sets) if grams == "token" else (T.char_grams, K.char_gram_sets)
+    ready = (lambda t: t.lower()) if grams == "token" else T.bare
     ref = reference.where(F.col(ref_text).isNotNull()).select(F.col(ref_id).alias("r"), f(F.col(ref_text)).alias("g"))
-    blocks = max(1, -(-ref.count() // REFERENCE))
-    texts = df.select(F.col(text_col).alias("text")).where("text is not null").distinct().select("text", f(F.col("text")).alias("g"))
+    total = ref.agg(F.coalesce(F.sum(F.size("g")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // REFERENCE))
+    texts = df.select(F.col(text_col).alias("text")).where("text is not null").distinct()
     kind = reference.schema[ref_id].dataType.simpleString()
     best = None
     for b in range(blocks):
-        part = (ref if blocks == 1 else ref.where(F.pmod(F.xxhash64("r"), F.lit(blocks)) == b)).orderBy("r").collect()
-        index: dict[str, list[int]] = {}
-        for i, row in enumerate(part):
-            for g in row.g:
-                index.setdefault(g, []).append(i)
-        shared = df.sparkSession.sparkContext.broadcast((index, [r.r for r in part], [len(r.g) for r in part]))
+        part = (ref if blocks == 1 else ref.where(F.pmod(F.xxhash64("r"), F.lit(blocks)) == b)).orderBy("r").collect()  # about REFERENCE grams
+        shared = df.sparkSession.sparkContext.broadcast(_References([r.r for r in part], [np.array(r.g, np.int64) for r in part]))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index, names, sizes = shared.value
             for pdf in batches:
-                js, refs = [], []
-                for g in pdf["g"]:
-                    common: dict[int, int] = {}
-                    for x in g:
-                        for i in index.get(x, ()):
-                            common[i] = common.get(i, 0) + 1
-                    top = min(((-(c / (len(g) + sizes[i] - c)), names[i]) for i, c in common.items()), default=(0.0, None))
-                    js.append(-top[0])
-                    refs.append(top[1])
-                yield pd.DataFrame({"text": pdf["text"], "j": js, "ref": refs})
+                for at in range(0, len(pdf), 500):
+                    own = pdf["text"].iloc[at : at + 500]
+                    j, of = shared.value.nearest(*sets([ready(t) for t in own]))
+                    yield pd.DataFrame({"text": own, "j": j, "ref": [None if k < 0 else shared.value.names[k] for k in of]})
 
         one = texts.mapInPandas(run, f"text string, j double, ref {kind}")
         best = one if best is None else best.unionByName(one)
@@ -137,8 +187,8 @@ def hash_order(seed: str, *key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(k.cast("string") for k in key)))
 
 
-def ratio_split(df: DataFrame, key: Column, seed: str, train: float, validation: float) -> DataFrame:
-    """Adds ``split``: the first floor(train n) rows of a shuffle, then floor(validation n), the rest test.
+def _hash_ranks(df: DataFrame, key: Column, seed: str) -> DataFrame:
+    """Adds ``_rank`` (from 1, in hash order) and ``_n`` (all rows).
 
     Ranks are made in 256 hash parts and shifted by the counts of the parts before,
     so no task orders all rows.
@@ -149,17 +199,26 @@ def ratio_split(df: DataFrame, key: Column, seed: str, train: float, validation:
     before = count.select("_b", (F.sum("_c").over(w) - F.col("_c")).alias("_before"))
     total = count.agg(F.sum("_c").alias("_n"))
     r = h.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))).join(F.broadcast(before), "_b").join(F.broadcast(total))
-    rank = F.col("_r") + F.col("_before")
+    return r.withColumn("_rank", F.col("_r") + F.col("_before")).drop("_h", "_b", "_r", "_before")
+
+
+def ratio_split(df: DataFrame, key: Column, seed: str, train: float, validation: float) -> DataFrame:
+    """Adds ``split``: the first floor(train n) rows of a shuffle, then floor(validation n), the rest test."""
+    r, rank = _hash_ranks(df, key, seed), F.col("_rank")
     at = F.floor(F.col("_n") * F.lit(train))
     split = F.when(rank <= at, "train").when(rank <= at + F.floor(F.col("_n") * F.lit(validation)), "validation").otherwise("test")
-    return r.withColumn("split", split).drop("_h", "_b", "_r", "_before", "_n")
+    return r.withColumn("split", split).drop("_rank", "_n")
+
+
+def share_sample(df: DataFrame, key: Column, seed: str, ratio: float) -> DataFrame:
+    """round(ratio n) rows in hash order."""
+    return _hash_ranks(df, key, seed).where(F.col("_rank") <= F.floor(F.col("_n") * F.lit(ratio) + 0.5)).drop("_rank", "_n")
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: Column, seed: str, ratio: float, least: int = 0) -> DataFrame:
     """round(ratio n) rows of each stratum, at least ``least``, in hash order."""
     n = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(stratum).orderBy("_h", key)
-    ranked = df.withColumn("_h", hash_order(seed, key)).withColumn("_r", F.row_number().over(w))
+    ranked = numbered(df.withColumn("_h", hash_order(seed, key)), [stratum], [F.col("_h"), key], "_r")
     same = ranked[stratum].eqNullSafe(n[stratum])
     take = F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(ratio) + 0.5))
     return ranked.join(n, same).where(F.col("_r") <= take).select(*(ranked[c] for c in df.columns))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranking import first_rows
 from ..shared import cut
 
 
@@ -156,9 +157,8 @@ def drop_template_tails(df: DataFrame, column: str, chars: int = 80, least: int
 
 
 def at_most_per_key(df: DataFrame, key: Column, order: list[Column], most: int) -> DataFrame:
-    """The first ``most`` rows of each key."""
-    w = Window.partitionBy("_k").orderBy(*order)
-    return df.withColumn("_k", key).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_k", "_n")
+    """The first ``most`` rows of each key; a hot key is cut down in hash parts first."""
+    return first_rows(df, [key], order, most)
 
 
 def contains_any(x: Column, phrases: list[str]) -> Column:
@@ -182,15 +182,20 @@ def below_percentile(df: DataFrame, score: str, q: float) -> DataFrame:
     return df.join(F.broadcast(cut)).where(F.col(score) <= F.col("_cut")).drop("_cut")
 
 
-def repeats_window(x: Column, size: int = 80, step: int = 200, most: int = 6000, least: int = 3) -> Column:
-    """Whether a window of ``size`` characters, taken every ``step`` up to ``most``, stands at least ``least`` times in the text."""
-    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(x), F.lit(most)) - size), F.lit(step))
+def repeats_window(x: Column, size: int = 80, step: int = 200, most: int = 6000, least: int = 3, longer: int = 500) -> Column:
+    """Whether a window of ``size`` characters, begun every ``step`` before place ``most``, stands at least ``least`` times in a text of more than ``longer``."""
+    last = F.least(F.length(x) - size, F.lit(most)) - 1
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(0), last) + 1, F.lit(step))
 
     def often(i: Column) -> Column:
-        w = F.substring(x, i, F.lit(size))
-        return (F.length(w) == size) & ((F.length(x) - F.length(F.replace(x, w, F.lit("")))) >= size * least)
+        return (F.length(x) - F.length(F.replace(x, F.substring(x, i, F.lit(size)), F.lit("")))) >= size * least
 
-    return F.coalesce(F.exists(begins, often), F.lit(False))
+    return F.when(F.length(x) > longer, F.exists(begins, often)).otherwise(False)
+
+
+def identity_denied(question: Column, answer: Column, asks: str, denies: str) -> Column:
+    """Whether a question asks who answers (pattern ``asks``) and the answer denies it (pattern ``denies``)."""
+    return F.coalesce(F.rlike(question, F.lit(f"(?i){asks}")) & F.rlike(answer, F.lit(denies)), F.lit(False))
 
 
 def failure_flags(x: Column, runaway: int = 30_000) -> Column:

@@ -73,6 +73,15 @@ def preferred(*columns: str) -> Column:
     return F.coalesce(*columns)
 
 
+def nested_number(x: Column, depth: int = 3) -> Column:
+    """The number of a JSON scalar, or of objects with ``after`` or, without it, ``value``, nested up to ``depth``; null for any other."""
+    out, at = x.try_cast("double"), x
+    for _ in range(depth):
+        at = F.coalesce(F.get_json_object(at, "$.after"), F.get_json_object(at, "$.value"))
+        out = F.coalesce(out, at.try_cast("double"))
+    return out
+
+
 def candidate_view(order: Column, verdict: Column, candidate: str = "B") -> Column:
     """A position verdict as the candidate's win, loss or tie: in order AB the candidate stands at B."""
     at = F.when(order == "AB", candidate).otherwise("A" if candidate == "B" else "B")

@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import gates as G
 from ..operators import scoring as E
+from ..operators.ranking import numbered
+from .q_dedup import norm_a_sql
 from .registry import query, table
 
 def _gates() -> list[G.Gate]:
@@ -62,7 +64,7 @@ def _(s, d):
     return table(s, d, "assemble_v5").select("record_id", F.md5(T.norm_c(F.col("instruction"))).alias("digest"))
 
 
-@query("t01_norm_a")
+@query("t01_norm_a", f"SELECT record_id, md5({norm_a_sql('instruction')}) AS digest FROM assemble_v5")
 def _(s, d):
     return table(s, d, "assemble_v5").select("record_id", F.md5(T.norm_a("instruction")).alias("digest"))
 
@@ -208,7 +210,10 @@ def _(s, d):
     return table(s, d, "data_build").agg(F.count(F.lit(1)).alias("n"), F.count_if(G.contains_any(F.col("output"), ["我无法", "i'm sorry"])).alias("hits"))
 
 
-@query("f29_failure_flags")
+_LOOP = "len(list_filter(range(0, least(length(text) - 80, 6000), 200), lambda i: (length(text) - length(replace(text, substring(text, i + 1, 80), ''))) >= 240)) > 0"
+
+
+@query("f29_failure_flags", f"WITH f AS (SELECT [CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(13) || chr(10)) = '' THEN 'empty' END, CASE WHEN length(text) > 30000 THEN 'runaway' END, CASE WHEN length(text) > 500 AND {_LOOP} THEN 'loop' END] AS l FROM documents) SELECT unnest AS flag, count(*) AS n FROM f, unnest(l) WHERE unnest IS NOT NULL GROUP BY 1")
 def _(s, d):
     flags = table(s, d, "documents").select(F.explode(G.failure_flags(F.col("text"))).alias("flag"))
     return flags.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
@@ -219,10 +224,13 @@ def _(s, d):
     return table(s, d, "decon_review_queue").where("a.j >= 0.42 and b.j >= 0.42").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f33_id_columns")
+@query("f33_id_columns", "SELECT 'id' AS name, count(id) AS filled, count(DISTINCT id) AS \"values\" FROM corpus_builder UNION ALL SELECT 'source_path', count(source_path), count(DISTINCT source_path) FROM corpus_builder")
 def _(s, d):
-    names = G.id_columns(table(s, d, "corpus_builder"))
-    return s.createDataFrame([(n,) for n in names], "name string")
+    """Columns that look like identifiers, with their non-null rows and distinct values."""
+    rows = table(s, d, "corpus_builder")
+    names = G.id_columns(rows)
+    c = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("v")) for n in names))).alias("x")).select("x.*")
+    return c.groupBy("name").agg(F.count("v").alias("filled"), F.count_distinct("v").alias("values"))
 
 
 @query("f34_row_filter", "SELECT file_type, count(*) AS n FROM corpus_builder WHERE title IS NOT NULL AND text IS NOT NULL AND file_type IN ('pdf', 'docx') GROUP BY file_type")
@@ -274,9 +282,7 @@ def _(s, d):
 
 @query("p11_round_robin", "WITH r AS (SELECT record_id, row_number() OVER (PARTITION BY subset ORDER BY record_id) AS k FROM assemble_v5) SELECT k % 4 AS opening, count(*) AS n FROM r GROUP BY 1")
 def _(s, d):
-    from pyspark.sql import Window
-
-    r = table(s, d, "assemble_v5").select(F.row_number().over(Window.partitionBy("subset").orderBy("record_id")).alias("k"))
+    r = numbered(table(s, d, "assemble_v5").select("subset", "record_id"), ["subset"], [F.col("record_id")])
     return r.groupBy((F.col("k") % 4).cast("long").alias("opening")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -299,7 +305,7 @@ def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.length(F.when(F.length(x) > 2000, F.concat(F.substring(x, 1, 2000), F.lit("..."))).otherwise(x)).alias("n"))
 
 
-@query("p17_group_key", "SELECT record_id, substring(sha1(lower(regexp_replace(instruction, '\\s+', '', 'g'))), 1, 12) AS k FROM assemble_v5 WHERE instruction IS NOT NULL")
+@query("p17_group_key", f"SELECT record_id, substring(sha1({norm_a_sql('instruction')}), 1, 12) AS k FROM assemble_v5 WHERE instruction IS NOT NULL")
 def _(s, d):
     return table(s, d, "assemble_v5").where("instruction is not null").select("record_id", T.group_key(F.col("instruction")).alias("k"))
 

@@ -12,6 +12,10 @@ from ..operators import gates as G
 from ..operators import projections as P
 from ..operators import scoring as E
 from ..operators.components import components
+from ..operators.ranking import numbered
+from ..shared import cut
+from .q_dedup import norm_a_sql
+from .q_scores import TWO_SIDED
 from .registry import query, table
 
 
@@ -50,23 +54,28 @@ def _(s, d):
     return P.diverse(g.select("id", "question"), "question", "id", low).select("id")
 
 
-@query("f31_chat_tags", "SELECT count(*) AS n FROM data_build WHERE instruction IS NOT NULL")
+@query("f31_chat_tags", "SELECT sample_id FROM data_build WHERE instruction IS NOT NULL AND sample_id % 4 NOT IN (0, 1)")
 def _(s, d):
+    """A quarter of the chats lack their closing tags, a quarter the assistant's opening: neither is valid."""
     chat = F.concat(T.chat_prompt("S", F.col("instruction")), F.coalesce("output", F.lit("")), F.lit("<|im_end|>"))
-    return table(s, d, "data_build").where(P.valid_chat(chat)).agg(_n().alias("n"))
+    chat = F.when(F.col("sample_id") % 4 == 0, F.replace(chat, F.lit("<|im_end|>"), F.lit(""))).when(F.col("sample_id") % 4 == 1, F.replace(chat, F.lit("<|im_start|>assistant"), F.lit(""))).otherwise(chat)
+    return table(s, d, "data_build").where("instruction is not null").where(P.valid_chat(chat)).select("sample_id")
 
 
-@query("f32_bad_calls", "SELECT id, CASE WHEN ref_set = 'A' THEN 2 ELSE 1 END AS calls FROM gold_items")
+@query("f32_bad_calls", "SELECT sample_id, 1 + CASE WHEN sample_id % 3 = 0 THEN 0 ELSE 1 END AS calls FROM data_build")
 def _(s, d):
+    """Two calls a row, one with the row's own text as its argument, cut off in a third of the rows."""
     call = lambda i, a: F.struct(F.lit(i).alias("id"), F.lit("f").alias("name"), a.alias("arguments"))
-    raw = F.to_json(F.array(call("1", F.lit('{"a": 1}')), call("2", F.when(F.col("ref_set") == "A", "{}").otherwise("{broken"))))
-    return table(s, d, "gold_items").select("id", F.size(F.from_json(P.without_bad_calls(raw), "array<struct<id:string>>")).alias("calls"))
+    own = F.to_json(F.struct(F.coalesce("instruction", F.lit("")).alias("q")))
+    raw = F.to_json(F.array(call("1", F.lit('{"a": 1}')), call("2", F.when(F.col("sample_id") % 3 == 0, F.substr(own, F.lit(1), (F.length(own) - 2).cast("int"))).otherwise(own))))
+    return table(s, d, "data_build").select("sample_id", F.size(F.from_json(P.without_bad_calls(raw), "array<struct<id:string>>")).alias("calls"))
 
 
-@query("f16_residual_zero", "SELECT CAST(0 AS BIGINT) AS residual")
+@query("f16_residual_zero", "SELECT count(*) FILTER (WHERE regexp_matches(regexp_replace(output, '<think>.*?</think>', '', 'gs'), '<think>|</think>')) AS residual, count(*) FILTER (WHERE contains(output, '<think>')) AS before FROM data_build WHERE output IS NOT NULL")
 def _(s, d):
-    x = table(s, d, "data_build").where("output is not null").select(T.strip_think(F.col("output")).alias("o"))
-    return x.agg(F.count_if(F.col("o").rlike(r"(?s)<think>.*</think>")).alias("residual"))
+    """Answers that still hold a mark of thinking after closed blocks went (unclosed ones), and those that held one before."""
+    x = table(s, d, "data_build").where("output is not null")
+    return x.agg(F.count_if(T.has_think(T.strip_think(F.col("output")))).alias("residual"), F.count_if(F.contains("output", F.lit("<think>"))).alias("before"))
 
 
 @query("p03_user_text", "SELECT sample_id, length(CASE WHEN trim(coalesce(input, '')) = '' THEN instruction ELSE instruction || chr(10) || chr(10) || input END) AS n FROM data_build")
@@ -74,18 +83,24 @@ def _(s, d):
     return table(s, d, "data_build").select("sample_id", F.length(T.user_text(F.col("instruction"), F.col("input"), "\n\n")).alias("n"))
 
 
-@query("p05_unwrapped", "SELECT id, question AS text FROM gold_items")
+@query("p05_unwrapped", "SELECT sample_id, md5(output) AS digest FROM data_build WHERE output IS NOT NULL AND NOT starts_with(ltrim(output), '{') AND NOT starts_with(ltrim(output), '[')")
 def _(s, d):
-    nested = F.to_json(F.struct(F.struct(F.col("question").alias("output")).alias("answer")))
-    return table(s, d, "gold_items").select("id", P.unwrapped(nested).alias("text"))
+    """Answers bare, wrapped once and wrapped twice, under different names."""
+    o = F.col("output")
+    one, two = F.to_json(F.struct(o.alias("response"))), F.to_json(F.struct(F.struct(o.alias("output")).alias("answer")))
+    raw = F.when(F.col("sample_id") % 3 == 0, o).when(F.col("sample_id") % 3 == 1, one).otherwise(two)
+    rows = table(s, d, "data_build").where("output is not null and not startswith(ltrim(output), '{') and not startswith(ltrim(output), '[')")
+    return rows.select("sample_id", raw.alias("raw")).select("sample_id", P.unwrapped("raw").alias("text")).select("sample_id", F.md5("text").alias("digest"))
 
 
-@query("p07_parsed_records", "SELECT id, CAST(2 AS INTEGER) AS records FROM gold_items")
+@query("p07_parsed_records", "SELECT sample_id, CASE sample_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS records, CASE WHEN sample_id % 4 < 3 THEN length(instruction) END AS chars FROM data_build WHERE instruction IS NOT NULL AND NOT regexp_matches(instruction, '[\\[\\]{}]')")
 def _(s, d):
-    item = F.to_json(F.struct(F.col("question").alias("q")))
-    raw = F.when(F.col("ref_set") == "A", F.concat(F.lit('text [{"q":"x"},'), item, F.lit("] end"))).otherwise(F.concat(item, F.lit("\n"), item))
-    # brackets inside a question would end the array early in other parsers; here the last one counts
-    return table(s, d, "gold_items").select("id", F.size(P.parsed_records(raw, "q:string")).alias("records"))
+    """Responses that are an array inside other text, JSON lines, an object around one record, or no JSON at all."""
+    rows = table(s, d, "data_build").where("instruction is not null").where(~F.col("instruction").rlike(r"[\[\]{}]"))
+    item, m = F.to_json(F.struct(F.col("instruction").alias("q"))), F.col("sample_id") % 4
+    raw = F.when(m == 0, F.concat(F.lit("text ["), item, F.lit(',{"q":"x"}] end'))).when(m == 1, F.concat(item, F.lit('\n{"q":"y"}'))).when(m == 2, F.concat(F.lit('{"items":['), item, F.lit("]}"))).otherwise(F.lit("no records here"))
+    r = rows.select("sample_id", P.parsed_records(raw, "q:string").alias("r"))
+    return r.select("sample_id", F.greatest(F.lit(0), F.coalesce(F.size("r"), F.lit(0))).alias("records"), F.length(F.try_element_at("r", F.lit(1))["q"]).alias("chars"))
 
 
 @query("p12_examples_appended", "SELECT g.id, length(g.question || coalesce(chr(10) || a.description_zh, '')) AS n FROM gold_items g LEFT JOIN subject_areas a ON a.name_zh = g.category")
@@ -117,9 +132,12 @@ def _(s, d):
     return _pairs(s, d).select("entry_id", P.candidate_view(F.lit("AB"), v).alias("view"))
 
 
-@query("p22_tag_from_name", "SELECT id, ref_set AS tag FROM gold_items")
+@query("p22_tag_from_name", "SELECT record_id, CASE WHEN record_id % 3 = 0 THEN '' ELSE coalesce(split, 'none') || '_' || style END AS tag FROM assemble_v5 WHERE style IS NOT NULL")
 def _(s, d):
-    return table(s, d, "gold_items").select("id", P.tag_of(F.concat(F.lit("eval_v4_"), "ref_set", F.lit("_20250301_010203.json"))).alias("tag"))
+    """Names with a tag of several parts, and others of another form."""
+    tag = F.concat_ws("_", F.coalesce("split", F.lit("none")), "style")
+    name = F.when(F.col("record_id") % 3 == 0, F.concat(F.lit("eval_"), tag, F.lit(".json"))).otherwise(F.concat(F.lit("eval_v4_"), tag, F.lit("_20250301_010203.json")))
+    return table(s, d, "assemble_v5").where("style is not null").select("record_id", P.tag_of(name).alias("tag"))
 
 
 @query("p24_assistant_chars", "SELECT sample_id, length(output) AS n FROM data_build WHERE output IS NOT NULL AND instruction IS NOT NULL AND NOT contains(output, '<|im')")
@@ -130,8 +148,7 @@ def _(s, d):
 
 @query("j02_aligned_metrics", f"WITH p AS ({_PAIRS}) SELECT entry_id, row_number() OVER (PARTITION BY subset ORDER BY entry_id) AS k, ja, jb FROM p")
 def _(s, d):
-    w = Window.partitionBy("subset").orderBy("entry_id")
-    return _pairs(s, d).select("entry_id", F.row_number().over(w).alias("k"), "ja", "jb")
+    return numbered(_pairs(s, d), ["subset"], [F.col("entry_id")]).select("entry_id", "k", "ja", "jb")
 
 
 @query("j18_key_sheet", "WITH k AS (SELECT entry_id, CASE WHEN substring(md5('7|' || entry_id), 1, 1) < '8' THEN 'A' ELSE 'B' END AS first FROM decon_review_queue), v AS (" + _PAIRS + ") SELECT CASE WHEN (jb > ja) = (first = 'A') THEN 'one' ELSE 'two' END AS arm, count(*) AS n FROM v JOIN k USING (entry_id) GROUP BY 1")
@@ -197,10 +214,10 @@ def _(s, d):
 
 @query("o02_drop_most_similar", "SELECT entry_id FROM (SELECT entry_id, row_number() OVER (PARTITION BY subset ORDER BY coalesce(a.j, 0) DESC, entry_id) AS k, count(*) OVER (PARTITION BY subset) AS n FROM decon_review_queue) WHERE k > floor(n * 0.15)")
 def _(s, d):
-    w = Window.partitionBy("subset")
     q = table(s, d, "decon_review_queue").select("entry_id", "subset", F.coalesce("a.j", F.lit(0.0)).alias("j"))
-    r = q.withColumn("k", F.row_number().over(w.orderBy(F.desc("j"), "entry_id"))).withColumn("n", _n().over(w))
-    return r.where(F.col("k") > F.floor(F.col("n") * F.lit(0.15))).select("entry_id")
+    n = q.groupBy(F.col("subset").alias("of")).agg(_n().alias("n"))
+    r = numbered(q, ["subset"], [F.desc("j"), F.col("entry_id")])
+    return r.join(F.broadcast(n), r["subset"].eqNullSafe(n["of"])).where(F.col("k") > F.floor(F.col("n") * F.lit(0.15))).select("entry_id")
 
 
 @query("o04_spread_verdict", f"WITH p AS ({_PAIRS}), m AS (SELECT origin, avg(ja) AS v FROM p GROUP BY 1) SELECT round(max(v) - min(v), 6) AS spread, CASE WHEN max(v) - min(v) < 0.01 THEN 'tie' ELSE 'ranked' END AS verdict FROM m")
@@ -229,25 +246,40 @@ def _(s, d):
 
 
 _G = "lower(regexp_replace(group_id, '^\\s+|\\s+$', '', 'g'))"
-_K = "substring(lower(regexp_replace(instruction, '\\s+', '', 'g')), 1, 12)"
+_K = f"substring({norm_a_sql('instruction')}, 1, 12)"
 
 
 @query("d11_union_groups", f"WITH RECURSIVE e AS (SELECT DISTINCT 'g:' || {_G} AS a, 'k:' || {_K} AS b FROM assemble_v5 WHERE group_id IS NOT NULL AND {_G} <> '' AND {_K} <> '' AND length({_K}) = 12), s AS (SELECT b FROM e GROUP BY b HAVING count(*) > 1), l AS (SELECT e.a, e.b FROM e JOIN s USING (b)), u AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT x AS node, x AS root FROM (SELECT DISTINCT x FROM u) UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node WHERE u.y > r.root) SELECT substring(node, 3) AS group_id, min(root) AS root FROM r WHERE starts_with(node, 'g:') GROUP BY node")
 def _(s, d):
     g = F.lower(F.regexp_replace("group_id", r"^\s+|\s+$", ""))
-    k = F.substring(T.norm_c(F.col("instruction")), 1, 12)
+    k = F.substring(T.norm_a(F.col("instruction")), 1, 12)
     e = table(s, d, "assemble_v5").where("group_id is not null").select(g.alias("g"), k.alias("k")).where("g <> '' and length(k) = 12").distinct()
     shared = e.groupBy("k").agg(_n().alias("n")).where("n > 1").select("k")
     c = components(e.join(shared, "k").select(F.concat(F.lit("g:"), "g").alias("x"), F.concat(F.lit("k:"), "k").alias("y")))
     return c.where("node like 'g:%'").select(F.expr("substring(node, 3)").alias("group_id"), F.col("label").alias("root"))
 
 
-@query("d14_moved_groups", f"WITH x AS (SELECT {_G} AS g, split, {_K} AS k FROM assemble_v5 WHERE group_id IS NOT NULL AND instruction IS NOT NULL), t AS (SELECT DISTINCT k FROM x WHERE split = 'train' AND length(k) = 12) SELECT DISTINCT g FROM x WHERE split IN ('validation', 'test') AND k IN (SELECT k FROM t)")
+_ROOTS = f"""WITH RECURSIVE x AS (SELECT record_id AS id, lower(trim(split)) AS split, CASE WHEN {_G} <> '' THEN {_G} END AS g, CASE WHEN length({_K}) = 12 THEN {_K} END AS k FROM assemble_v5),
+u AS (SELECT 'g:' || g AS x, 'k:' || k AS y FROM x WHERE g IS NOT NULL AND k IS NOT NULL UNION SELECT 'k:' || k, 'g:' || g FROM x WHERE g IS NOT NULL AND k IS NOT NULL),
+r AS (SELECT x AS node, x AS root FROM (SELECT DISTINCT x FROM u) UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node WHERE u.y > r.root), c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+o AS (SELECT id, split, coalesce(a.root, b.root, 'g:' || g, 'k:' || k, 'i:' || id) AS root FROM x LEFT JOIN c a ON a.node = 'g:' || g LEFT JOIN c b ON b.node = 'k:' || k)"""
+_TG = "CASE WHEN len(t) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END"
+_CROSS = f"""t AS (SELECT record_id AS id, lower(trim(split)) AS s, regexp_extract_all(lower(coalesce(instruction, '')), '[a-z0-9]+|[一-鿿]') AS t FROM assemble_v5), gr AS (SELECT id, s, {_TG} AS g FROM t), e AS (SELECT id, s, len(g) AS n, unnest(g) AS x FROM gr),
+hit AS (SELECT DISTINCT id FROM (SELECT a.id, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.s IN ('validation', 'test') AND b.s = 'train' GROUP BY a.id, b.id, a.n, b.n) WHERE 2 * o >= na + nb - o)"""
+
+
+@query("d14_moved_roots", f"{_ROOTS}, {_CROSS} SELECT o.id AS record_id, o.split FROM o JOIN (SELECT DISTINCT split, root FROM o JOIN hit USING (id)) m ON m.split = o.split AND m.root = o.root")
 def _(s, d):
-    g = F.lower(F.regexp_replace("group_id", r"^\s+|\s+$", ""))
-    x = table(s, d, "assemble_v5").where("group_id is not null and instruction is not null").select(g.alias("g"), "split", F.substring(T.norm_c(F.col("instruction")), 1, 12).alias("k"))
-    train = x.where("split = 'train' and length(k) = 12").select("k")
-    return x.where("split in ('validation', 'test')").join(train, "k", "left_semi").select("g").distinct()
+    """Rows of validation and test that go back to train: those of a root one of whose rows there is near a train row."""
+    g, k = F.lower(F.regexp_replace("group_id", r"^\s+|\s+$", "")), F.substring(T.norm_a(F.col("instruction")), 1, 12)
+    rows = cut(table(s, d, "assemble_v5").select(F.col("record_id").alias("id"), F.lower(F.trim("split")).alias("split"), F.when(g != "", F.concat(F.lit("g:"), g)).alias("g"), F.when(F.length(k) == 12, F.concat(F.lit("k:"), k)).alias("k"), "instruction"))
+    root = components(rows.where("g is not null and k is not null").select(F.col("g").alias("x"), F.col("k").alias("y")))
+    at = rows.join(root.select(F.col("node").alias("g"), F.col("label").alias("a")), "g", "left").join(root.select(F.col("node").alias("k"), F.col("label").alias("b")), "k", "left")
+    at = cut(at.select("id", "split", F.coalesce("a", "b", "g", "k", F.concat(F.lit("i:"), F.col("id").cast("string"))).alias("root")))
+    side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("validation", "test"), 1)
+    hits = D.near_pairs(rows, "id", "instruction", 0.5, side).select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    moved = at.where("split in ('validation', 'test')").join(hits, "id", "left_semi").select("split", "root").distinct()
+    return at.join(moved, ["split", "root"], "left_semi").select(F.col("id").alias("record_id"), "split")
 
 
 @query("d17_ratio_sample", "WITH h AS (SELECT sample_id, row_number() OVER (PARTITION BY subset ORDER BY md5('5|' || sample_id), sample_id) AS r, count(*) OVER (PARTITION BY subset) AS n FROM data_build) SELECT sample_id FROM h WHERE r <= floor(n * 0.4 + 0.5)")
@@ -293,16 +325,16 @@ def _(s, d):
     return S.paired_bootstrap(_pairs(s, d), "entry_id", "ja", "jb", ["style"], high=9750)
 
 
-@query("x09_spearman_p")
+@query("x09_spearman_p", f"WITH p AS ({_PAIRS}), r AS (SELECT style, rank() OVER (PARTITION BY style ORDER BY ja) + (count(*) OVER (PARTITION BY style, ja) - 1) / 2.0 AS x, rank() OVER (PARTITION BY style ORDER BY jb) + (count(*) OVER (PARTITION BY style, jb) - 1) / 2.0 AS y FROM p), c AS (SELECT style, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(x, y) END AS rho FROM r GROUP BY style), t AS (SELECT *, abs(rho) * sqrt(n - 1) AS z FROM c) SELECT style, n, round(rho, 6) AS rho, abs(z) < 1.959963984540054 AS not_significant FROM t")
 def _(s, d):
     r = S.spearman(_pairs(s, d), "ja", "jb", ["style"])
-    return r.select("style", "n", F.round("rho", 6).alias("rho"), F.round(S.spearman_p(F.col("rho"), F.col("n")), 9).alias("p"))
+    return r.select("style", "n", F.round("rho", 6).alias("rho"), (S.spearman_p(F.col("rho"), F.col("n")) > 0.05).alias("not_significant"))
 
 
-@query("x11_sign_test")
+@query("x11_sign_test", f"WITH p AS ({_PAIRS}), g AS (SELECT style, count(*) FILTER (WHERE jb > ja) AS k, count(*) AS n FROM p WHERE ja <> jb GROUP BY style), t AS (SELECT *, least(k, n - k) AS m FROM g) SELECT style, k, n, round({TWO_SIDED}, 6) AS p FROM t")
 def _(s, d):
     g = _pairs(s, d).where("ja <> jb").groupBy("style").agg(F.count_if(F.col("jb") > F.col("ja")).alias("k"), _n().alias("n"))
-    return g.select("style", "k", "n", S.sign_test("k", "n").alias("p"))
+    return g.select("style", "k", "n", F.round(S.sign_test("k", "n"), 6).alias("p"))
 
 
 @query("x15_arms_conflict", f"WITH p AS ({_PAIRS}) SELECT sign(avg(jb - ja) FILTER (WHERE style = 'short')) <> sign(avg(jb - ja) FILTER (WHERE style = 'long')) AS conflict FROM p")

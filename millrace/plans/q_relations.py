@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import scoring as E
 from ..sources import io
+from ..operators.ranking import first_rows, numbered
 from .registry import query, table
 
 
@@ -296,8 +297,8 @@ def _(s, d):
 
 @query("w10_stride", "SELECT record_id, CAST((row_number() OVER (PARTITION BY subset ORDER BY record_id) * 3 + 1) % 40 AS BIGINT) AS slot FROM assemble_v5 WHERE style = 'long'")
 def _(s, d):
-    w = Window.partitionBy("subset").orderBy("record_id")
-    return table(s, d, "assemble_v5").where("style = 'long'").select("record_id", ((F.row_number().over(w) * 3 + 1) % 40).cast("long").alias("slot"))
+    rows = numbered(table(s, d, "assemble_v5").where("style = 'long'").select("record_id", "subset"), ["subset"], [F.col("record_id")])
+    return rows.select("record_id", ((F.col("k") * 3 + 1) % 40).cast("long").alias("slot"))
 
 
 @query("w11_apportionment", "WITH c AS (SELECT subset, count(*) AS n FROM assemble_v5 WHERE subset IS NOT NULL GROUP BY 1), s AS (SELECT subset, 1000 * n / sum(n) OVER () AS x FROM c), r AS (SELECT subset, CAST(floor(x) AS BIGINT) AS f, row_number() OVER (ORDER BY round(x - floor(x), 9) DESC, subset) AS k, 1000 - CAST(sum(floor(x)) OVER () AS BIGINT) AS rest FROM s) SELECT subset, f + CASE WHEN k <= rest THEN 1 ELSE 0 END AS quota FROM r")
@@ -316,8 +317,8 @@ def _(s, d):
 
 @query("o01_longest_first_cap", "SELECT record_id FROM (SELECT record_id, row_number() OVER (PARTITION BY subset ORDER BY coalesce(length(output), 0) DESC, record_id) AS k FROM assemble_v5) WHERE k <= 100")
 def _(s, d):
-    w = Window.partitionBy("subset").orderBy(F.desc(F.coalesce(F.length("output"), F.lit(0))), "record_id")
-    return table(s, d, "assemble_v5").withColumn("k", F.row_number().over(w)).where("k <= 100").select("record_id")
+    rows = table(s, d, "assemble_v5").select("record_id", "subset", F.coalesce(F.length("output"), F.lit(0)).alias("n"))
+    return first_rows(rows, [F.col("subset")], [F.desc("n"), F.col("record_id")], 100).select("record_id")
 
 
 @query("o03_top_gaps", "SELECT entry_id, round(abs(a.j - b.j), 6) AS gap FROM decon_review_queue WHERE a.j IS NOT NULL AND b.j IS NOT NULL ORDER BY round(abs(a.j - b.j), 6) DESC, entry_id DESC LIMIT 10")

@@ -27,7 +27,7 @@ def _(s, d):
     return table(s, d, "gold_items").select("id", k.alias("k")).select("id", F.size("k.hits").cast("long").alias("hits"), F.round("k.rate", 6).alias("rate"))
 
 
-@query("e02_alias_hits")
+@query("e02_alias_hits", "WITH a AS (SELECT name_zh, area FROM subject_areas), k AS (SELECT id, reference_answer AS r, len(keywords) AS n, unnest(keywords) AS k FROM gold_items), h AS (SELECT id, n, k, contains(lower(coalesce(r, '')), lower(k)) OR EXISTS (SELECT 1 FROM a WHERE a.name_zh = k.k AND contains(lower(coalesce(r, '')), lower(a.area))) AS hit FROM k), s AS (SELECT id, count(*) FILTER (WHERE hit) / n AS rate FROM h GROUP BY id, n) SELECT g.id, round(s.rate, 6) AS rate FROM gold_items g LEFT JOIN s ON s.id = g.id")
 def _(s, d):
     names = table(s, d, "subject_areas").select(F.map_from_entries(F.collect_list(F.struct("name_zh", F.array("area"))).over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy())).alias("aliases")).limit(1)
     k = E.alias_hits(F.col("reference_answer"), F.col("keywords"), F.col("aliases"))
@@ -57,7 +57,7 @@ def _(s, d):
     return E.corpus_bleu(table(s, d, "decon_review_queue").select("subset", F.col("a.ref").alias("ref"), "instruction"), "instruction", "ref", ["subset"])
 
 
-@query("e14_rewards")
+@query("e14_rewards", "WITH x AS (SELECT sample_id, output, regexp_extract(output, '(?i)(?:answer|class)\\s*[:：is]*\\s*\\(?([A-HY])\\b', 1) AS m, regexp_extract(output, '(?:^|[^A-Za-z])([A-HY])(?:[^A-Za-z]|$)', 1) AS a, regexp_matches(lower(output), '(?:^|[^a-z])yes(?:[^a-z]|$)') AS y, regexp_matches(lower(output), '(?:^|[^a-z])no(?:[^a-z]|$)') AS n FROM data_build WHERE output IS NOT NULL) SELECT sample_id, CAST(y AND NOT n AS DOUBLE) AS yes, CAST(upper(CASE WHEN m <> '' THEN m ELSE a END) = 'A' AS DOUBLE) AS letter FROM x")
 def _(s, d):
     x = table(s, d, "data_build").where("output is not null").select("sample_id", "output")
     return x.select("sample_id", E.yes_no_reward(F.col("output"), F.lit("yes")).alias("yes"), E.letter_reward(F.col("output"), F.lit("A")).alias("letter"))
@@ -82,10 +82,13 @@ def _(s, d):
     return table(s, d, "documents").select(F.explode(tasks).alias("task")).groupBy("task").agg(_n().alias("n"))
 
 
-@query("x02_mcnemar")
+TWO_SIDED = "least(1.0, 2 * list_sum(list_transform(range(0, CAST(m AS BIGINT) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))))"
+
+
+@query("x02_mcnemar", f"WITH p AS ({_PAIRS}), c AS (SELECT count(*) FILTER (WHERE ja >= 0.45 AND jb < 0.45) AS only_a, count(*) FILTER (WHERE ja < 0.45 AND jb >= 0.45) AS only_b FROM p), n AS (SELECT *, only_a + only_b AS n, least(only_a, only_b) AS m FROM c) SELECT only_a, only_b, CASE WHEN n = 0 THEN 1 ELSE round({TWO_SIDED}, 6) END AS p FROM n")
 def _(s, d):
     c = E.confusion(_pairs(s, d), F.col("ja") >= 0.45, F.col("jb") >= 0.45)
-    return c.select("only_a", "only_b", S.mcnemar("only_a", "only_b").alias("p"))
+    return c.select("only_a", "only_b", F.round(S.mcnemar("only_a", "only_b"), 6).alias("p"))
 
 
 @query("x03_paired_bootstrap")
@@ -115,12 +118,13 @@ def _(s, d):
     return g.select("subset", "n", F.round(S.detectable_paired(F.col("sd"), F.col("n")), 6).alias("mde"))
 
 
-@query("x13_double_order")
+@query("x13_double_order", f"WITH p AS ({_PAIRS}), v AS (SELECT CASE WHEN jb - ja > 0.02 THEN 'B' WHEN ja - jb > 0.02 THEN 'A' ELSE 'tie' END AS x, CASE WHEN jb - ja > 0.05 THEN 'A' WHEN ja - jb > 0.05 THEN 'B' ELSE 'tie' END AS y FROM p), s AS (SELECT CASE x WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.0 ELSE 0.5 END AS sx, CASE y WHEN 'B' THEN 1.0 WHEN 'A' THEN 0.0 ELSE 0.5 END AS sy, CAST(x = 'B' AS INTEGER) + CAST(y = 'B' AS INTEGER) AS b FROM v), g AS (SELECT count(*) AS items, sum((sx + sy) / 2) AS wins, count(*) FILTER (WHERE sx <> sy) AS inconsistent, sum(b) / (2.0 * count(*)) AS b_rate FROM s), w AS (SELECT *, wins / items AS p, 1.959963984540054 AS z FROM g) SELECT items, round(wins, 6) AS wins, round(p, 6) AS p, round(greatest(0, (p + z * z / (2 * items) - z * sqrt(p * (1 - p) / items + z * z / (4 * items * items))) / (1 + z * z / items)), 6) AS low, round(least(1, (p + z * z / (2 * items) + z * sqrt(p * (1 - p) / items + z * z / (4 * items * items))) / (1 + z * z / items)), 6) AS high, round(b_rate, 6) AS b_rate, inconsistent, inconsistent > 0.1 * items AS void FROM w")
 def _(s, d):
     p = _pairs(s, d)
     v = lambda low: F.when(F.col("jb") - F.col("ja") > low, "B").when(F.col("ja") - F.col("jb") > low, "A").otherwise("tie")
     ab, ba = p.select("entry_id", F.lit("AB").alias("order"), v(0.02).alias("verdict")), p.select("entry_id", F.lit("BA").alias("order"), F.translate(v(0.05), "AB", "BA").alias("verdict"))
-    return E.double_order(ab.unionByName(ba), "entry_id", "order", "verdict")
+    r = E.double_order(ab.unionByName(ba), "entry_id", "order", "verdict")
+    return r.select("items", *(F.round(c, 6).alias(c) for c in ("wins", "p", "low", "high", "b_rate")), "inconsistent", "void")
 
 
 @query("x14_anchor_consistency", f"WITH p AS ({_PAIRS}) SELECT count(*) AS n, round(count(*) FILTER (WHERE abs(jb - ja) > 0.05) / count(*), 6) AS share, count(*) FILTER (WHERE abs(jb - ja) > 0.05) > 0.1 * count(*) AS alarm FROM p")

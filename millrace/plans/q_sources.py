@@ -29,12 +29,14 @@ def _(s, d):
     return io.read_jsonl(s, at, "sample_id long, output string").select("sample_id", F.md5(F.coalesce("output", F.lit(""))).alias("digest"))
 
 
-@query("s02_bad_lines", "SELECT count(*) AS n FROM gold_items")
+@query("s02_bad_lines", "SELECT sample_id, md5(coalesce(output, '')) AS digest FROM data_build WHERE sample_id % 5 NOT IN (0, 1)")
 def _(s, d):
-    at = _folder(s)
-    good = table(s, d, "gold_items").select(F.to_json(F.struct("id", "question")).alias("value"))
-    good.union(s.createDataFrame([("{broken",), ("",)], "value string")).write.text(at)
-    return io.read_jsonl(s, at, "id string, question string", bad_lines="skip").where("id is not null").agg(_n().alias("n"))
+    """A fifth of the lines are cut in their middle, a fifth blank: both are skipped."""
+    at, rows = _folder(s), table(s, d, "data_build")
+    line = F.to_json(F.struct("sample_id", "output"))
+    broken = F.when(F.col("sample_id") % 5 == 0, F.substr(line, F.lit(1), F.greatest(F.lit(1), F.floor(F.length(line) / 2)).cast("int"))).when(F.col("sample_id") % 5 == 1, "").otherwise(line)
+    rows.select(broken.alias("value")).write.text(at)
+    return io.read_jsonl(s, at, "sample_id long, output string", bad_lines="skip").select("sample_id", F.md5(F.coalesce("output", F.lit(""))).alias("digest"))
 
 
 @query("k03_k04_partitioned", "SELECT coalesce(split, '') AS split, count(*) AS n FROM assemble_v5 GROUP BY 1")
@@ -52,25 +54,35 @@ def _(s, d):
     return io.read_wrapped(s, at, "id:string,subset:string").groupBy("subset").agg(_n().alias("n"))
 
 
-@query("s07_csv", "SELECT doc_id, lang FROM documents")
+@query("s07_csv", "SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def _(s, d):
+    """Whole texts, with their quotes, line ends and commas, through the writer and the reader of CSV."""
     at = _folder(s)
-    table(s, d, "documents").select("doc_id", "lang", F.substring("text", 1, 50).alias("head")).write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "\\N").option("emptyValue", "").csv(at)
-    df = s.read.schema("doc_id long, lang string, head string").option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\\N").csv(at)
-    return df.select("doc_id", "lang")
+    io.write_csv(table(s, d, "documents").select("text", "doc_id", "lang"), at)
+    return io.read_csv(s, at, "text string, doc_id long, lang string").select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
-@query("s05_k07_files")
+@query("s05_k07_files", "SELECT coalesce(subset, 'none') AS category, count(*) > 0 AS found FROM data_build GROUP BY 1")
 def _(s, d):
-    f = io.list_files(s, f"{d}", "gold_items*.parquet")
-    return f.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "category")
+    """Files below a folder by their extension, without those of a folder to skip; the category is the first folder."""
+    at = _folder(s)
+    rows = table(s, d, "data_build").select(F.coalesce("subset", F.lit("none")).alias("subset"), F.col("sample_id").cast("string").alias("value"))
+    rows.write.partitionBy("subset").text(f"{at}/in")
+    rows.write.partitionBy("subset").text(f"{at}/in/skipped")
+    files = io.list_files(s, f"{at}/in", "*.txt", skip=("/skipped/",))
+    return files.groupBy(F.url_decode(F.regexp_extract("category", "subset=(.*)", 1)).alias("category")).agg((_n() > 0).alias("found"))
 
 
-@query("s10_chat_normaliser", "SELECT sample_id, CASE WHEN trim(coalesce(instruction, '')) = '' THEN 0 ELSE 1 END + CASE WHEN trim(coalesce(output, '')) = '' THEN 0 ELSE 1 END AS messages FROM data_build")
+@query("s10_chat_normaliser", "SELECT sample_id, CASE WHEN trim(coalesce(instruction, '')) = '' THEN 0 ELSE 1 END + CASE WHEN trim(coalesce(output, '')) = '' THEN 0 ELSE 1 END AS messages, length(CASE WHEN trim(coalesce(output, '')) <> '' THEN output WHEN trim(coalesce(instruction, '')) <> '' THEN instruction END) AS last FROM data_build")
 def _(s, d):
+    """Chat dumps of both shapes, lists and maps of history; system messages and blank ones go."""
     msg = lambda role, c: F.struct(F.lit(role).alias("role"), F.coalesce(c, F.lit("")).alias("content"))
-    raw = F.to_json(F.struct(F.array(msg("system", F.lit("s")), msg("user", F.col("instruction")), msg("assistant", F.col("output"))).alias("messages")))
-    return table(s, d, "data_build").select("sample_id", F.size(io.normalized_chat(raw)).alias("messages"))
+    user, answer = msg("user", F.col("instruction")), msg("assistant", F.col("output"))
+    by_list = F.to_json(F.struct(F.array(msg("system", F.lit("s")), user, answer).alias("messages")))
+    by_map = F.to_json(F.struct(F.struct(F.create_map(F.lit("m1"), user, F.lit("m2"), answer).alias("messages")).alias("history")))
+    raw = F.when(F.col("sample_id") % 2 == 0, by_list).otherwise(by_map)
+    m = table(s, d, "data_build").select("sample_id", io.normalized_chat(raw).alias("m"))
+    return m.select("sample_id", F.size("m").alias("messages"), F.length(F.try_element_at("m", F.lit(-1))["content"]).alias("last"))
 
 
 @query("s12_latest_file", "SELECT source_path, max(id) AS id FROM corpus_builder GROUP BY source_path")
@@ -90,25 +102,27 @@ def _(s, d):
     return io.metric_value(lines, "line", "app:hits")
 
 
-@query("s16_front_matter")
+@query("s16_front_matter", "SELECT id, trim(coalesce(category, '')) AS category, trim(coalesce(file_type, '')) AS file_type FROM corpus_builder")
 def _(s, d):
-    text = F.concat(F.lit("---\nname: "), F.col("id"), F.lit("\nset: "), F.col("ref_set"), F.lit("\n---\n"), F.col("question"))
-    m = table(s, d, "gold_items").select("id", C.front_matter(text).alias("m"))
-    return m.select("id", F.col("m")["set"].alias("ref_set"))
+    text = F.concat(F.lit("---\nkind: "), F.coalesce("category", F.lit("")), F.lit("\ntype:   "), F.coalesce("file_type", F.lit("")), F.lit("\n---\n"), F.coalesce("text", F.lit("")))
+    m = table(s, d, "corpus_builder").select("id", C.front_matter(text).alias("m"))
+    return m.select("id", F.col("m")["kind"].alias("category"), F.col("m")["type"].alias("file_type"))
 
 
-@query("s17_literal_lists", "SELECT id, len(keywords) AS n FROM gold_items")
+@query("s17_literal_lists", "SELECT record_id, CASE WHEN record_id % 10 = 0 OR contains(coalesce(subset, ''), chr(39)) THEN 0 ELSE 2 END AS n FROM assemble_v5")
 def _(s, d):
-    text = F.concat(F.lit("['"), F.array_join("keywords", "', '"), F.lit("']"))
-    text = F.when(F.size("keywords") == 0, F.lit("[]")).otherwise(text)
-    return table(s, d, "gold_items").select("id", F.size(C.literal_list(text)).cast("long").alias("n"))
+    """List cells as a program prints them; a tenth of them broken, which gives no items."""
+    text = F.concat(F.lit("['"), F.coalesce("subset", F.lit("")), F.lit("', '"), F.coalesce("style", F.lit("")), F.when(F.col("record_id") % 10 == 0, F.lit("")).otherwise(F.lit("']")))
+    return table(s, d, "assemble_v5").select("record_id", F.size(C.literal_list(text)).alias("n"))
 
 
-@query("p08_delimited_pairs", "SELECT ref_set, count(*) AS n FROM gold_items GROUP BY ref_set")
+@query("p08_delimited_pairs", "SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN sample_id % 2 = 0 THEN 1 ELSE 0 END AS n FROM data_build")
 def _(s, d):
-    text = F.concat(F.lit("【问题1】"), F.col("question"), F.lit("【回答1】"), F.coalesce("reference_answer", F.lit("")), F.lit("【问题2】x【回答2】y"))
-    pairs = table(s, d, "gold_items").select("ref_set", F.explode(C.delimited_pairs(text)).alias("p")).where("p.n = '1'")
-    return pairs.groupBy("ref_set").agg(_n().alias("n"))
+    """No, one or two pairs in each text, whose texts are the row's own."""
+    q, a = (F.concat(F.lit("x"), F.regexp_replace(F.coalesce(c, F.lit("")), "[【】]", "")) for c in ("instruction", "output"))
+    pair = lambda i: F.concat(F.lit(f"【问题{i}】"), q, F.lit(f"【回答{i}】"), a)
+    text = F.concat(F.when(F.col("sample_id") % 3 != 0, pair(1)).otherwise(""), F.when(F.col("sample_id") % 2 == 0, pair(2)).otherwise(""))
+    return table(s, d, "data_build").select("sample_id", F.size(C.delimited_pairs(text)).alias("n"))
 
 
 @query("r01_remaining", "SELECT subset, count(*) AS n FROM data_build WHERE sample_id NOT IN (SELECT record_id FROM assemble_v5 WHERE record_id IS NOT NULL AND style = 'long') GROUP BY subset")

@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .registry import QUERIES, SQL  # noqa: F401
-from . import q_gates, q_relations, q_dedup, q_scores, q_sources, q_tables, q_more  # noqa: F401  each registers its queries
+from . import q_gates, q_relations, q_dedup, q_scores, q_sources, q_tables, q_more, q_eval, q_build  # noqa: F401  each registers its queries
 
 FLAGSHIP = "v02_gate_funnel"

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranking import running_last
+
+
+#: How CSV writes null, so that it differs from the empty text.
+NULL = "\\N"
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, bad_lines: str = "fail") -> DataFrame:
     """JSON lines; blank lines are skipped. ``bad_lines``: fail, skip, or keep (with ``_corrupt_record``)."""
@@ -29,7 +35,7 @@ def read_wrapped(spark: SparkSession, path: str, item: str, field: str = "sample
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header, quoted line breaks, cells of any length and perhaps a byte order mark."""
     names = schema.split(",")[0].split()[0]
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).option("enforceSchema", True).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).option("nullValue", NULL).option("enforceSchema", True).csv(path)
     return df.withColumn(names, F.regexp_replace(names, "^﻿", "")) if dict(df.dtypes)[names] == "string" else df
 
 
@@ -38,6 +44,58 @@ def read_keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_csv(spark, path, schema) if path.endswith(".csv") else read_jsonl(spark, path, schema)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header that ``read_csv`` reads back as it was: every cell quoted, quotes doubled, null as ``\\N``."""
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", NULL).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_records(spark: SparkSession, path: str, item: str, field: str = "records") -> DataFrame:
+    """Rows of result documents: whole files that are a list of rows or an object with the list under ``field``; one schema reads both."""
+    names = [c.split()[0] for c in item.split(",")]
+    rows = spark.read.schema(f"{item}, {field} array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in item.split(','))}>>").option("multiLine", True).json(path)
+    return rows.select(F.explode(F.when(F.col(field).isNotNull(), F.col(field)).otherwise(F.array(F.struct(*names)))).alias("_r")).select("_r.*")
+
+
+def _plain_markup(x: Column) -> Column:
+    """Text of a page of markup: without scripts, styles and tags; the five named entities resolved."""
+    x = F.regexp_replace(F.regexp_replace(x, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
+
+
+#: How each type of file becomes text; more are added by name. Types that aren't here come out null.
+EXTRACTORS = {"txt": lambda x: x, "md": lambda x: x, "html": _plain_markup}
+
+
+def extracted(df: DataFrame, kind: str, content: str, extractors: dict) -> DataFrame:
+    """Adds ``extracted``: the text by the extractor of the row's type; null marks a file that failed."""
+    out = F.lit(None).cast("string")
+    for name, f in extractors.items():
+        out = F.when(F.col(kind) == name, f(F.col(content))).otherwise(out)
+    return df.withColumn("extracted", out)
+
+
+def session_messages(df: DataFrame, session: str, order: str, line: str) -> DataFrame:
+    """(``session``, ``order``, ``role``, ``content``, ``tools``, ``model``) of the messages in session logs of JSON lines.
+
+    A change of model holds for the lines after it in its session. The parts of a message's
+    content that are text are joined, the names of its tool calls collected; broken lines, other
+    roles and messages without text or tool calls are skipped.
+    """
+    part = "struct<type:string,text:string,name:string>"
+    d = F.from_json(line, f"type string, modelId string, message struct<role:string,content:array<{part}>>")
+    flat = F.get_json_object(line, "$.message.content")
+    rows = df.select(session, order, d.alias("d"), F.when(~F.startswith(flat, F.lit("[")), flat).alias("plain"))
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("model", F.last(F.when(F.col("d.type") == "model_change", F.col("d.modelId")), ignorenulls=True).over(w))
+    parts = F.col("d.message.content")
+    text = F.coalesce(F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: p["text"]), ""), F.col("plain"), F.lit(""))
+    tools = F.coalesce(F.transform(F.filter(parts, lambda p: p["type"] == "toolCall"), lambda p: F.coalesce(p["name"], F.lit("?"))), F.array().cast("array<string>"))
+    rows = rows.where("d.type = 'message' and d.message.role in ('user', 'assistant')").select(session, order, F.col("d.message.role").alias("role"), text.alias("content"), tools.alias("tools"), "model")
+    return rows.where("trim(content) <> '' or size(tools) > 0")
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*", skip: tuple[str, ...] = ()) -> DataFrame:
     """(``path``, ``length``, ``category``) of files below a folder; the category is the first folder or ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length")
@@ -79,9 +137,7 @@ def normalized_chat(raw: Column) -> Column:
 
 def carried_forward(df: DataFrame, value: str, by: list[str], order: str, out: str) -> DataFrame:
     """The last non-null value so far, within each group."""
-    from pyspark.sql import Window
-
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return running_last(df, value, by, order, out)
 
 
 def write_jsonl(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "error") -> None:

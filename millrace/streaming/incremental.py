@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import running_min
+
 
 def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in the output so far."""
@@ -19,9 +21,8 @@ def latest_snapshot(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 def best_so_far(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Adds ``best`` (running minimum) and ``new_best`` (whether this row sets it)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    before = F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("best", F.min(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("new_best", before.isNull() | (F.col(value) < before))
+    best = running_min(df, value, by, order, "best", "_before")
+    return best.withColumn("new_best", F.col("_before").isNull() | (F.col(value) < F.col("_before"))).drop("_before")
 
 
 def harvest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, fmt: str = "json") -> None:

@@ -24,8 +24,10 @@ def test_norms(spark):
 
 def test_tokens_and_grams(spark):
     assert column(spark, ["Ab1 中文été"], T.tokens) == [["ab1", "中", "文", "t"]]
-    assert column(spark, ["a b c d", "a b", None], T.token_grams) == [["a b c", "b c d"], [], []]
-    assert column(spark, ["ab c d", "ab"], T.char_grams) == [["abc", "bcd"], ["ab"]]
+    sets = [set(x) for x in column(spark, ["a b c d", "A b C", "b c d", "a b", None, "c b a"], T.token_grams)]
+    assert [len(x) for x in sets] == [2, 1, 1, 0, 0, 1] and sets[0] == sets[1] | sets[2] and not sets[5] & sets[0]
+    sets = [set(x) for x in column(spark, ["ab c d", "abc", "bcd", "a b", "ab", None, ""], T.char_grams)]
+    assert [len(x) for x in sets] == [2, 1, 1, 1, 1, 1, 1] and sets[0] == sets[1] | sets[2] and sets[3] == sets[4] != sets[5] == sets[6]
     assert column(spark, ["abc", "a", None], lambda c: T.char_ngrams(c, 2)) == [["ab", "bc"], [], []]
 
 
@@ -106,3 +108,18 @@ def test_index_quantile(spark):
     df = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9)] + [("b", 7)], "g string, v int")
     got = {r.g: r.q for r in S.quantile_index(df, "v", ["g"], 0.5, "q").collect()}
     assert got == {"a": 5, "b": 7}
+
+
+def test_kernels_against_plain_python():
+    import re
+
+    from millrace.functions import kernels as K
+
+    r = random.Random(4)
+    texts = ["".join(r.choice(["甲", "乙", "ab", "c1", " ", "，", "é", "😀"]) for _ in range(r.randrange(30))) for _ in range(200)] + ["", "a", "x" * 5000]
+    for kernel, plain in ((K.token_gram_sets, lambda t: re.findall(T.TOKEN, t)), (K.char_gram_sets, lambda t: list(t) if len(t) >= 3 else [t])):
+        g, at = kernel(texts)
+        got = [set(g[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+        want = [set(zip(t, t[1:], t[2:])) if len(t) >= 3 else {tuple(t)} if kernel is K.char_gram_sets else set() for t in map(plain, texts)]
+        assert all(len(got[i] & got[j]) == len(want[i] & want[j]) for i in range(0, len(texts), 3) for j in range(len(texts)))
+    assert K.token_gram_sets([])[1].tolist() == [0] and K.char_gram_sets([])[1].tolist() == [0]

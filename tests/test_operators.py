@@ -138,7 +138,7 @@ def test_tail_truncation_by_both_lists(spark, tmp_path):
 
 def test_loops(spark):
     unit = "".join(chr(0x4E00 + i) for i in range(80))
-    df = spark.createDataFrame([(1, unit * 5), (2, unit), (3, ""), (4, None), (5, "x" * 40_000)], "i int, x string")
+    df = spark.createDataFrame([(1, unit * 7), (2, unit), (3, ""), (4, None), (5, "x" * 40_000)], "i int, x string")
     got = {r.i: r.f for r in df.select("i", G.failure_flags(F.col("x")).alias("f")).collect()}
     assert got[1] == ["loop"] and got[2] == [] and got[3] == got[4] == ["empty"] and got[5] == ["runaway", "loop"]
 
@@ -152,7 +152,7 @@ def test_chunks_lose_nothing(spark):
     df = spark.createDataFrame([("d", 2, None, "乙 b\n\n丙"), ("d", 1, "h", "甲"), ("d", None, "z", None), ("e", 1, "h", "甲")], "doc string, p int, h string, t string")
     got = {(r.doc, r.chunk): r for r in C.chunk_pages(df, "doc", "p", "h", "t").collect()}
     assert got["d", 0].chunk_text == "甲\n乙 b\n丙" and got["d", 0].page_num == 1 and len(got) == 2
-    ready = C.write_ready(C.chunk_pages(df, "doc", "p", "h", "t"), "chunk_text", ["doc", "chunk"]).collect()
+    ready = C.write_ready(C.chunk_pages(df, "doc", "p", "h", "t"), "chunk_text", ["doc", "chunk"], "triz-raw-").collect()
     assert sorted(r.id for r in ready) == ["triz-raw-00000000", "triz-raw-00000001"]
 
 
