@@ -31,7 +31,8 @@ from . import kernels as K
 from . import setjoin as J
 
 TERM_BITS, RANK, POWER, ROUNDS = 16, 64, 4, 4
-#: The power iteration ends when the singular values change by less than this share (at most POWER passes).
+#: The power iteration ends when the leading singular values, as many as there are areas, change by less than
+#: this share (at most POWER passes); the others add detail.
 SETTLED = 0.05
 TERMS = 1 << TERM_BITS
 #: Labelled documents read at most for the first centroids.
@@ -240,13 +241,13 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"s": first.column("s"), "block": first.column("block"), "slot": first.column("slot"), "blob": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _bases(rows: DataFrame, weights) -> list[np.ndarray]:
+def _bases(rows: DataFrame, weights, lead: int) -> list[np.ndarray]:
     """The leading right singular vectors of both term spaces, by a block power iteration over all documents."""
     spark, w = rows.sparkSession, weights.value
     rng = np.random.default_rng(7)
     bases = [np.linalg.qr(rng.standard_normal((max(len(u), RANK), RANK)))[0].astype(np.float32)[: len(u)] for u in w.used]
     block = 2048
-    before = [np.zeros(RANK)] * 2
+    before = [np.zeros(lead)] * 2
     for _ in range(POWER):
         basis = spark.sparkContext.broadcast(bases)
 
@@ -275,7 +276,7 @@ def _bases(rows: DataFrame, weights) -> list[np.ndarray]:
             product[r.s][r.block : r.block + len(part)] = part
         bases = [np.linalg.qr(p)[0].astype(np.float32) if len(p) >= RANK else p.astype(np.float32) for p in product]
         bases = [b if b.shape[1:] == (RANK,) else np.zeros((len(b), RANK), np.float32) for b in bases]
-        values = [np.linalg.svd(p, compute_uv=False) if len(p) else np.zeros(RANK) for p in product]
+        values = [np.linalg.svd(p, compute_uv=False)[:lead] if len(p) else np.zeros(lead) for p in product]
         settled = all(len(v) == len(o) and (np.abs(v - o) <= SETTLED * v).all() for v, o in zip(values, before))
         before = values
         if settled:
@@ -362,7 +363,7 @@ def _pass(df: DataFrame, areas: DataFrame, labels: DataFrame | None, id_col: str
         labelled = numbered(rows.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.mode("a", True).alias("a")).select("a", "text"))
     by_area = None if labelled is None else _by_area(labelled, len(names))
     weights = spark.sparkContext.broadcast(Weights(_frequencies(texts), len(names), by_area))
-    shared = spark.sparkContext.broadcast(_bases(texts, weights))
+    shared = spark.sparkContext.broadcast(_bases(texts, weights, len(names)))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, n, spaces in _spaces(batches):
