@@ -171,6 +171,33 @@ def side_of(split: F.Column) -> F.Column:
     return F.when(name == "train", 0).when(name.isin("validation", "test"), 1)
 
 
+def class_pairs(df: DataFrame, id_col: str, text_col: str, split_col: str, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): the class and side of each row, and the pairs of different classes at or above the threshold that lie on both sides."""
+    src = J.source(df, id_col, text_col, side_of(df[split_col]))
+    bits = J.sketch_bits(df.count())
+    seen = cut(J.profile(src, bits, BINS), "kind")
+    members = seen.where("kind = 0").select("h", "l", "rid", "side")
+    order = J.Order(df.sparkSession, seen.where("kind = 1"), bits, src.rdd.getNumPartitions())
+    parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
+    reach = _reach(src, order, threshold)
+    spans = _shared_spans(_suffixes(src, order, reach, threshold, parts), threshold, parts)
+    pairs = cut(spans.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("w")))
+    return members, cut(J.summed(src, members, pairs, order, threshold, BINS))
+
+
+def counterparts(df: DataFrame, id_col: str = "record_id", text_col: str = "instruction", split_col: str = "split", threshold: tuple[int, int] = (1, 2)) -> DataFrame:
+    """(``id``, ``n``): of each evaluation row that has any, the number of similar training rows.
+
+    Counted by class, so copies are never expanded into pairs.
+    """
+    members, pairs = class_pairs(df, id_col, text_col, split_col, threshold)
+    size = cut(members.groupBy("h", "l").agg(F.count_if(F.col("side") == 0).alias("train"), F.count_if(F.col("side") == 1).alias("evals")))
+    both = pairs.select("ah", "al", "bh", "bl").unionByName(pairs.select(F.col("bh").alias("ah"), F.col("bl").alias("al"), F.col("ah").alias("bh"), F.col("al").alias("bl")))
+    near = both.join(size.where("train > 0").select(F.col("h").alias("bh"), F.col("l").alias("bl"), "train"), ["bh", "bl"]).select(F.col("ah").alias("h"), F.col("al").alias("l"), "train")
+    n = near.unionByName(size.select("h", "l", "train")).groupBy("h", "l").agg(F.sum("train").alias("n")).where("n > 0")
+    return members.where("side = 1").join(n, ["h", "l"]).select(F.col("rid").alias("id"), "n")
+
+
 def cross_split_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "instruction", split_col: str = "split", threshold: tuple[int, int] = (1, 2)) -> DataFrame:
     """(``record_id_a`` < ``record_id_b``): one row in train, one in validation or test, similar at or above the threshold.
 
@@ -182,16 +209,7 @@ def cross_split_pairs(df: DataFrame, id_col: str = "record_id", text_col: str =
     pair; copies are; ids may be of any type that has an order; an empty table gives no
     rows; only the three named columns are read.
     """
-    src = J.source(df, id_col, text_col, side_of(df[split_col]))
-    bits = J.sketch_bits(df.count())
-    seen = cut(J.profile(src, bits, BINS), "kind")
-    members = seen.where("kind = 0").select("h", "l", "rid", "side")
-    order = J.Order(df.sparkSession, seen.where("kind = 1"), bits, src.rdd.getNumPartitions())
-    parts = order.parts(df.sparkSession, 1.2 - threshold[0] / threshold[1])
-    reach = _reach(src, order, threshold)
-    spans = _shared_spans(_suffixes(src, order, reach, threshold, parts), threshold, parts)
-    pairs = cut(spans.groupBy("ah", "al", "bh", "bl").agg(F.sum("w").alias("w")))
-    found = cut(J.summed(src, members, pairs, order, threshold, BINS))
+    members, found = class_pairs(df, id_col, text_col, split_col, threshold)
     side = lambda k: members.select(F.col("h").alias(f"{k}h"), F.col("l").alias(f"{k}l"), F.col("rid").alias(f"r{k}"), F.col("side").alias(f"s{k}"))
     between = found.select("ah", "al", "bh", "bl").join(side("a"), ["ah", "al"]).join(side("b"), ["bh", "bl"]).where("sa <> sb").select("ra", "rb")
     within = J.copies(members, F.col("side") == 0, F.col("side") == 1)
@@ -268,15 +286,14 @@ def coverage(df: DataFrame, id_col: str = "record_id", text_col: str = "instruct
     return members.join(sums, ["h", "l"], "left").select("id", F.col("n").cast("long").alias("grams"), F.coalesce("c", F.lit(0)).alias("covered"))
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, covered: DataFrame | None = None, id_col: str = "record_id", split_col: str = "split", by: tuple[str, ...] = ("subset", "origin")) -> DataFrame:
+def overlap_report(df: DataFrame, hits: DataFrame, covered: DataFrame | None = None, id_col: str = "record_id", split_col: str = "split", by: tuple[str, ...] = ("subset", "origin")) -> DataFrame:
     """Evaluation rows with a counterpart in train, their pairs, and the grams that train covers, per split and ``by`` column.
 
-    Every group of evaluation rows has a row, of zeros if nothing overlaps.
-    ``covered`` is what ``coverage`` gives; without it those two columns are missing.
+    Every group of evaluation rows has a row, of zeros if nothing overlaps. ``hits`` is what
+    ``counterparts`` gives; ``covered`` is what ``coverage`` gives; without it those two columns are missing.
     """
     rows = df.where(side_of(df[split_col]) == 1).select(F.col(id_col).alias("_id"), F.col(split_col).alias("split"), *by)
-    hits = pairs.select(F.explode(F.array("record_id_a", "record_id_b")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(hits, "_id", "left")
+    rows = rows.join(hits.select(F.col("id").alias("_id"), F.col("n").alias("_n")), "_id", "left")
     more = []
     if covered is not None:
         rows = rows.join(covered.select(F.col("id").alias("_id"), "grams", "covered"), "_id", "left")

@@ -25,6 +25,8 @@ e AS (SELECT DISTINCT g, regexp_replace(m, '[^a-z0-9]', '', 'g') AS m FROM m WHE
 r AS (SELECT x AS node, x AS root FROM (SELECT DISTINCT x FROM l) UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node WHERE l.y > r.root), c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT a.node AS group_id_a, b.node AS group_id_b FROM c a JOIN c b ON a.root = b.root AND a.node < b.node"""
 
+P3_GROUPS = P3[: P3.rindex("\nSELECT")] + "\nSELECT node AS group_id, root AS component FROM c"
+
 P4 = _SETS + ", p AS (SELECT a.id AS i, b.id AS j, a.n AS na, b.n AS nb, count(*) AS o FROM e a JOIN f ON f.x = a.x JOIN e b ON b.x = a.x AND a.s = 'train' AND b.s IN ('validation', 'test') GROUP BY ALL) SELECT least(i, j) AS record_id_a, greatest(i, j) AS record_id_b FROM p WHERE 2 * o >= na + nb - o"
 
 _LETTERS = lambda c: f"regexp_replace({_fold(c)}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"

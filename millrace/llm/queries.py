@@ -56,7 +56,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_report", oracles.P4_REPORT)
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "assemble_v5")
-    return cross_split.overlap_report(rows, cross_split.cross_split_pairs(rows), cross_split.coverage(rows))
+    return cross_split.overlap_report(rows, cross_split.counterparts(rows), cross_split.coverage(rows))
 
 
 @query("p1_found", oracles.P1)
@@ -84,6 +84,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.related_pairs(table(spark, sf_dir, "assemble_v5"))
 
 
+@query("p3_groups", oracles.P3_GROUPS)
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relation of p3_found as membership: each related group id with the least id of its component."""
+    return group_splits.related_groups(table(spark, sf_dir, "assemble_v5"))
+
+
 @query("p3_splits")
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.assign_splits(table(spark, sf_dir, "assemble_v5"))

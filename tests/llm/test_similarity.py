@@ -101,7 +101,9 @@ def test_cross_split_equals_brute_force(spark, rows, hot, monkeypatch):
     found = cross_split.cross_split_pairs(df)
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    report = cross_split.overlap_report(df, found, by=("h",)).collect()
+    hits = {r.id: r.n for r in cross_split.counterparts(df).collect()}
+    assert hits == {i: n for i in range(len(rows)) if s[i] == 1 and (n := sum(i in p for p in want))}
+    report = cross_split.overlap_report(df, cross_split.counterparts(df), by=("h",)).collect()
     assert sum(r.pairs for r in report) == len(want) and sum(r.rows for r in report) == sum(x == 1 for x in s)
 
 
