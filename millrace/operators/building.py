@@ -8,6 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from .ranking import first_rows, numbered
+
 
 def _path(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -133,6 +136,40 @@ def term_coverage(df: DataFrame, group: str, terms: Column, key: str, quota: int
     return kept.select(F.col("g").alias(group), F.col("k").alias(key))
 
 
+def coverage_and_lengths(df: DataFrame, group: str, terms: Column, text: str, key: str, caps: dict[str, int], share: float = 0.6, buckets: int = 3, seed: str = "42") -> DataFrame:
+    """Groups above their cap cut to it: ``share`` of the places by term coverage, the rest at random over lengths; other groups stay whole.
+
+    What coverage leaves is put into ``buckets`` of equal numbers by length; each gives its
+    share of the places in hash order, and what rounding leaves open goes to the next rows in
+    hash order. Null groups have no cap.
+    """
+    cap = F.create_map(*(x for k, v in caps.items() for x in (F.lit(k), F.lit(v))))[F.col("g")]
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("n"), F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))).alias("h"), terms.alias("t")).withColumn("cap", cap)
+    size = rows.where("cap is not null").groupBy("g").agg(F.count(F.lit(1)).alias("all")).where(F.col("all") > cap).select("g", "all")
+    over = cut(rows.join(F.broadcast(size), "g"))
+    chosen = None
+    for g, c in sorted(caps.items()):  # a term table and a cap for each of a few named groups
+        one = term_coverage(over.where(F.col("g") == g), "g", F.col("t"), "k", int(c * share), seed)
+        chosen = one if chosen is None else chosen.unionByName(one)
+    chosen = cut(chosen)
+    pool = numbered(over.join(chosen, ["g", "k"], "left_anti").select("g", "k", "n", "h", "cap"), ["g"], [F.col("n"), F.col("k")], "r")
+    left = pool.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    pool = cut(pool.join(F.broadcast(left), "g").withColumn("b", F.least(F.lit(buckets - 1), F.floor((F.col("r") * buckets - 1) / F.col("m")))))
+    spare = F.col("cap") - F.floor(F.col("cap") * share)
+    part = pool.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c"), F.first(F.least(F.col("m"), F.lit(2**62))).alias("m"), F.first(spare).alias("spare"))
+    part = part.select("g", "b", F.least(F.col("c"), F.bround(F.col("spare") * F.col("c") / F.col("m")).cast("long")).alias("want"), "spare")
+    w = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("g", "b", F.greatest(F.lit(0), F.least("want", F.col("spare") - F.coalesce(F.sum("want").over(w), F.lit(0)))).alias("want"))  # a row for each bucket
+    joined = pool.join(F.broadcast(part), ["g", "b"])
+    picked = cut(first_rows(joined.select("g", "b", "k", "h", "want"), [F.col("g"), F.col("b")], [F.col("h"), F.col("k")], F.col("want")).select("g", "k"))
+    open_ = left.join(part.groupBy("g").agg(F.sum("want").alias("got")), "g").select("g", "got")
+    rest = pool.join(picked, ["g", "k"], "left_anti").join(F.broadcast(open_), "g").withColumn("want", spare - F.col("got"))
+    more = first_rows(rest.select("g", "k", "h", "want"), [F.col("g")], [F.col("h"), F.col("k")], F.col("want")).select("g", "k")
+    kept = chosen.unionByName(picked).unionByName(more)
+    whole = df.join(F.broadcast(size.select(F.col("g").alias(group))), group, "left_anti")
+    return whole.unionByName(df.join(kept.select(F.col("k").alias(key)), key, "left_semi").select(*df.columns))
+
+
 def report_json(stages: dict[str, DataFrame]) -> str:
     """Nested JSON of small frames, stage by stage, in order."""
     import json

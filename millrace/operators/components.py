@@ -30,7 +30,7 @@ def components(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         large = e.join(least, e.v == F.col("c"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        e = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), instead=e)
         after = _state(e)
         if after == before:
             break

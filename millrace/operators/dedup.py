@@ -104,7 +104,7 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         earlier = pairs.join(open_, "id_b").join(state.select(F.col("id").alias("id_a"), F.col("kept").alias("k")), "id_a")
         settled = earlier.groupBy("id_b").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.bool_or(F.col("k").isNull()).alias("waits"))
         now = settled.select(F.col("id_b").alias("id"), F.when(F.col("hit"), False).when(~F.col("waits"), True).alias("new"))
-        state = cut(state.join(now, "id", "left").select("id", F.coalesce("kept", "new").alias("kept")))
+        state = cut(state.join(now, "id", "left").select("id", F.coalesce("kept", "new").alias("kept")), instead=state)
 
 
 class _References:

@@ -70,6 +70,17 @@ def _(s, d):
     return got.select("event_id", "model", "content", F.array_join("tools", ",").alias("tools"))
 
 
+@query("s12_latest_by_tag", "SELECT style AS tag, max(split) AS last FROM assemble_v5 WHERE split IS NOT NULL AND style IS NOT NULL GROUP BY style")
+def _(s, d):
+    """One result file for each style and split, named by both; the last of each style by name, read again."""
+    at = _folder(s)
+    rows = table(s, d, "assemble_v5").where("split is not null and style is not null").select("style", "split").distinct()
+    for r in rows.orderBy("style", "split").collect():  # a few files
+        B.write_text(s, f"{at}/eval_{r.style}_{r.split}.json", r.split)
+    last = io.latest_files(s, at, "eval_*.json", "^eval_([^_]+)_")
+    return last.select("tag", F.regexp_extract("path", r"_([^_/]+)\.json$", 1).alias("last"))
+
+
 @query("s18_first_source", "SELECT origin, count(*) AS n FROM data_build GROUP BY origin")
 def _(s, d):
     rows = B.first_source(s, [(f"{d}/no_such.parquet", s.read.parquet), (f"{d}/data_build.parquet", s.read.parquet)], lambda: s.createDataFrame([("built-in",)], "origin string"))
@@ -197,6 +208,15 @@ def _(s, d):
     return back.groupBy("subset").agg(F.count_distinct("sample_id").alias("kept"), F.count_distinct("t").alias("terms"))
 
 
+@query("d20_rebalanced", "SELECT subset, CASE WHEN subset = 'contradiction_analysis' THEN least(count(*), 90) WHEN subset = 'principle_recommendation' THEN least(count(*), 70) ELSE count(*) END AS kept FROM data_build GROUP BY subset")
+def _(s, d):
+    """Two subsets cut to a cap, by term coverage and over lengths; the rows left of each subset."""
+    rows = table(s, d, "data_build").select("sample_id", "subset", "output")
+    terms = F.array_compact(F.array(*(F.when(F.contains(F.coalesce("output", F.lit("")), F.lit(t)), t) for t in _TERMS)))
+    kept = B.coverage_and_lengths(rows, "subset", terms, "output", "sample_id", {"contradiction_analysis": 90, "principle_recommendation": 70})
+    return kept.groupBy("subset").agg(_n().alias("kept"))
+
+
 @query("d25_quota_order", "WITH q AS (SELECT origin, least(count(*), 40) AS q FROM data_build WHERE origin IS NOT NULL GROUP BY origin), e AS (SELECT origin, unnest(range(1, q + 1)) AS left_over FROM q) SELECT origin, row_number() OVER (ORDER BY left_over DESC, origin DESC) AS place FROM e")
 def _(s, d):
     q = table(s, d, "data_build").where("origin is not null").groupBy("origin").agg(F.least(_n(), F.lit(40)).alias("q"))

@@ -346,7 +346,8 @@ def _(s, d):
 
 @query("x16_comparison_bundle")
 def _(s, d):
-    p = _pairs(s, d)
+    """Interval and exact test of each subset and of all rows (subset ``*``)."""
+    p = _pairs(s, d).withColumn("subset", F.explode(F.array(F.col("subset"), F.lit("*"))))
     boot = S.paired_bootstrap(p, "entry_id", "ja", "jb", ["subset"])
     c = p.groupBy("subset").agg(F.count_if((F.col("ja") >= 0.45) & (F.col("jb") < 0.45)).alias("b"), F.count_if((F.col("ja") < 0.45) & (F.col("jb") >= 0.45)).alias("c"))
     return boot.join(c.select("subset", S.mcnemar("b", "c").alias("p")), boot["subset"].eqNullSafe(c["subset"])).select(boot["*"], "p")

@@ -29,15 +29,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def drop(df: DataFrame | None) -> None:
+    """Remove the table of a frame that ``cut`` gave, once nothing reads it any more; other frames stay as they are."""
+    path = getattr(df, "_millrace_path", None)
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def cut(df: DataFrame, partition_by: str | None = None, instead: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result survives the loss of any executor and later uses don't repeat the
-    work before it. The table is removed when the program ends.
+    work before it. The table is removed when the program ends, or as soon as another one
+    takes its place: rounds of an iteration hand their last table over as ``instead``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop(instead)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out

@@ -116,6 +116,13 @@ def latest(df: DataFrame, by: list[str], order: Column, *columns: str) -> DataFr
     return df.groupBy(*by).agg(F.max_by(F.struct(*columns), order).alias("_r")).select(*by, "_r.*")
 
 
+def latest_files(spark: SparkSession, root: str, pattern: str, tag: str) -> DataFrame:
+    """(``tag``, ``path``): the last file by name of each tag, the first group of the pattern ``tag`` in the name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select(F.regexp_extract(name, tag, 1).alias("tag"), name.alias("name"), "path").groupBy("tag").agg(F.max_by("path", "name").alias("path"))
+
+
 def log_fields(lines: DataFrame, column: str, patterns: dict[str, str]) -> DataFrame:
     """One column for each pattern's first group, null where a line lacks it."""
     return lines.select("*", *(F.nullif(F.regexp_extract(column, p, 1), F.lit("")).alias(k) for k, p in patterns.items()))

@@ -217,3 +217,23 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         shared.shared_dir(Fake)
+
+
+def test_coverage_and_lengths(spark):
+    data = [(i, "a" if i < 90 else "b" if i < 95 else None, "t" * (i % 45), ["x"] if i == 3 else ["y", "z"] if i == 80 else []) for i in range(99)]
+    d = spark.createDataFrame(data, "i int, g string, t string, w array<string>")
+    got = B.coverage_and_lengths(d, "g", F.col("w"), "t", "i", {"a": 30, "b": 30, "c": 4}, share=0.2).collect()
+    a = [r for r in got if r.g == "a"]
+    assert len(a) == 30 == len({r.i for r in a}) and {3, 80} <= {r.i for r in a}
+    assert sum(r.g == "b" for r in got) == 5 and sum(r.g is None for r in got) == 4
+    thirds = [sum(len(r.t) // 15 == k for r in a) for k in range(3)]
+    assert min(thirds) >= 6 and max(thirds) <= 14
+    assert B.coverage_and_lengths(d.where("false"), "g", F.col("w"), "t", "i", {"a": 3}).count() == 0
+
+
+def test_a_table_goes_when_another_takes_its_place(spark):
+    one = shared.cut(spark.range(3))
+    assert B.exists(spark, one._millrace_path)
+    two = shared.cut(one.where("id > 0"), instead=one)
+    assert two.count() == 2 and not B.exists(spark, one._millrace_path)
+    shared.drop(spark.range(1))
