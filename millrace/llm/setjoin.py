@@ -178,8 +178,8 @@ class Order:
         self.shared = spark.sparkContext.broadcast(Sent(level, sides, mass))
 
     def parts(self, spark: SparkSession, share: float) -> int:
-        """Partitions for postings: at most about 1.5 million in each."""
-        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(self.grams * share / 1.5e6) + 1)
+        """Partitions for postings: about 300,000 in each, so that what a task holds doesn't follow the input."""
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(self.grams * share / 3e5) + 1)
 
 
 def least(t: tuple[int, int], n: np.ndarray) -> np.ndarray:
