@@ -31,8 +31,8 @@ from . import kernels as K
 from . import setjoin as J
 
 TERM_BITS, RANK, POWER, ROUNDS = 16, 64, 4, 4
-#: The power iteration ends when the leading singular values, as many as there are areas, change by less than
-#: this share (at most POWER passes); the others add detail.
+#: The power iteration ends when a pass moves less than this share of the leading singular values, as many as
+#: there are areas, out of the space (at most POWER passes); the others add detail.
 SETTLED = 0.05
 TERMS = 1 << TERM_BITS
 #: Labelled documents read at most for the first centroids.
@@ -241,13 +241,20 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"s": first.column("s"), "block": first.column("block"), "slot": first.column("slot"), "blob": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _bases(rows: DataFrame, weights, lead: int) -> list[np.ndarray]:
-    """The leading right singular vectors of both term spaces, by a block power iteration over all documents."""
+def _bases(rows: DataFrame, weights, lead: int, by_area: np.ndarray | None) -> list[np.ndarray]:
+    """The leading right singular vectors of both term spaces, by a block power iteration over all documents.
+
+    It starts from the areas' own directions, as far as labels show them, and random ones.
+    """
     spark, w = rows.sparkSession, weights.value
     rng = np.random.default_rng(7)
-    bases = [np.linalg.qr(rng.standard_normal((max(len(u), RANK), RANK)))[0].astype(np.float32)[: len(u)] for u in w.used]
+    start = [rng.standard_normal((max(len(u), RANK), RANK)) for u in w.used]
+    if by_area is not None:
+        for s, u in enumerate(w.used):
+            own = _unit(by_area[s][: RANK // 2, u] / np.maximum(1, by_area[s][: RANK // 2, -1:]) * w.idf[s][u])
+            start[s][: len(u), : len(own)] += 30 * np.sqrt(len(start[s])) * own.T
+    bases = [np.linalg.qr(x)[0].astype(np.float32)[: len(u)] for x, u in zip(start, w.used)]
     block = 2048
-    before = [np.zeros(lead)] * 2
     for _ in range(POWER):
         basis = spark.sparkContext.broadcast(bases)
 
@@ -274,11 +281,11 @@ def _bases(rows: DataFrame, weights, lead: int) -> list[np.ndarray]:
         for r in sums.collect():  # terms x rank numbers, whatever the data
             part = np.frombuffer(r.blob, np.float32).reshape(-1, RANK)
             product[r.s][r.block : r.block + len(part)] = part
+        # in a space that A'A maps onto itself, the leading values of the product are those of its part within the space
+        values = [(np.linalg.svd(p, compute_uv=False)[:lead], np.linalg.eigvalsh(b.T @ p)[::-1][:lead]) for p, b in zip(product, bases) if len(p) >= RANK]
+        settled = all((v - own <= SETTLED * v).all() for v, own in values)
         bases = [np.linalg.qr(p)[0].astype(np.float32) if len(p) >= RANK else p.astype(np.float32) for p in product]
         bases = [b if b.shape[1:] == (RANK,) else np.zeros((len(b), RANK), np.float32) for b in bases]
-        values = [np.linalg.svd(p, compute_uv=False)[:lead] if len(p) else np.zeros(lead) for p in product]
-        settled = all(len(v) == len(o) and (np.abs(v - o) <= SETTLED * v).all() for v, o in zip(values, before))
-        before = values
         if settled:
             break
     return bases
@@ -363,7 +370,7 @@ def _pass(df: DataFrame, areas: DataFrame, labels: DataFrame | None, id_col: str
         labelled = numbered(rows.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.mode("a", True).alias("a")).select("a", "text"))
     by_area = None if labelled is None else _by_area(labelled, len(names))
     weights = spark.sparkContext.broadcast(Weights(_frequencies(texts), len(names), by_area))
-    shared = spark.sparkContext.broadcast(_bases(texts, weights, len(names)))
+    shared = spark.sparkContext.broadcast(_bases(texts, weights, len(names), by_area))
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, n, spaces in _spaces(batches):
