@@ -12,56 +12,19 @@ import unicodedata
 
 import numpy as np
 
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+from ..functions.kernels import _M1, _M2, _M3, codes, mix, tokens  # noqa: F401  used by the operators as kernels of this module
+
 #: Width of a gram id. The row number of a batch takes the bits above it in the
 #: sort key, so a batch may hold 2**20 rows.
 GRAM_BITS = 44
 _GRAM_MASK = np.uint64((1 << GRAM_BITS) - 1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64 over uint64."""
-    x = x + _M1
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
 def fold(text: str | None) -> str:
     """NFKC, then lower case; null gives the empty text."""
     return unicodedata.normalize("NFKC", text).lower() if text else ""
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points of all texts with one separator 0 after each, start of each text and the end)."""
-    flat = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    return flat, np.concatenate([np.zeros(1, np.int64), ends])
-
-
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each token, row of each token) of folded texts, in text order.
-
-    Tokens are runs of ``[a-z0-9]`` and single characters U+4E00-U+9FFF.
-    """
-    c, at = codes(texts)
-    cjk = (c >= 0x4E00) & (c <= 0x9FFF)
-    word = ((c >= 97) & (c <= 122)) | ((c >= 48) & (c <= 57))
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    starts = np.flatnonzero(cjk | first)
-    h = c[starts].astype(np.uint64)
-    in_run = np.flatnonzero(word)
-    if len(in_run):
-        run = np.cumsum(first[in_run]) - 1
-        begin = np.flatnonzero(first)
-        offset = in_run - begin[run]
-        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(offset.max()), _M3 | np.uint64(1))]))
-        own = np.add.reduceat(mix(c[in_run].astype(np.uint64)) * power[offset], np.flatnonzero(first[in_run]))
-        h[first[starts]] = own
-    return mix(h), np.repeat(np.arange(len(texts)), np.diff(at))[starts]
-
-
 def _grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(44-bit id of the gram at each token, whether the n tokens lie in one row)."""
     if len(h) < n:
